@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidebook.llm import queries_chat, queries_mixing, queries_packing
+from tidebook.llm import queries_chat, queries_language, queries_mixing, queries_packing, queries_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": queries_mixing.op1_mix_sources,
         "op2_pack_documents": queries_packing.op2_pack_documents,
+        "op3_toxicity": queries_toxicity.op3_toxicity,
+        "op7_language": queries_language.op7_language,
         "op9_chat": queries_chat.op9_chat,
     }
 
