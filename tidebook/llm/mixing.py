@@ -160,7 +160,8 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     low = F.greatest(F.col("at"), F.col("block") * block_words)
     high = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
     segments = segments.select("key", "source_no", "block", (low - F.col("at")).alias("start"), (high - low).alias("length"))
-    taken = slots(spark, plan, shards, seed).join(segments, ["source_no", "block"]).select("shard", "slot", "epoch", "key", "start", "length")
+    # the planner can't see how many slots a shard has: without the hint it would broadcast them
+    taken = slots(spark, plan, shards, seed).hint("merge").join(segments, ["source_no", "block"]).select("shard", "slot", "epoch", "key", "start", "length")
     return placed.select("key", "doc_id", "size", "source_size", "target", "_h"), taken, sources
 
 
