@@ -52,32 +52,35 @@ def fingerprint(signatures: Column) -> Column:
     return F.array_join(signatures, "")
 
 
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("h")]
+
+
 def ranked(docs: DataFrame) -> DataFrame:
-    """doc_id, h (the text's hash), n (its code points), rank from 0 by descending doc_id (null last, ties by h), without a window over all rows: ranges, ranks
+    """kid (doc_id, or the least number for null), h (a hash of the text and of doc_id being null), n (code points), rank from 0 by descending doc_id (null last, ties by h), without a window over all rows: ranges, ranks
     within each, and the ranges' running counts."""
-    ids = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    ids = docs.select("doc_id", *_key(), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    order = [F.col("kid").desc(), F.col("h")]
     ids = stored(ids.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()), "fingerprint-order")
     sizes = ids.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition
     starts = sizes.select("chunk", F.coalesce(F.sum("rows").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ids.join(starts, "chunk").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("chunk").orderBy(*order)) - 1).select("doc_id", "h", "n", "rank")
+    return ids.join(starts, "chunk").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("chunk").orderBy(*order)) - 1).select("doc_id", "kid", "h", "n", "rank")
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Every document with its signatures, those of its edited text, those of the next document, and the edited text's SHA-256."""
     order = stored(ranked(docs), "fingerprint-ranks")
     total = order.count()
-    before = order.select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.col("rank").alias("to_rank"), F.floor(F.col("n") / 2).alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(1, total))).alias("rank"))
+    before = order.select(F.col("kid").alias("to_kid"), F.col("h").alias("to_h"), F.col("rank").alias("to_rank"), F.floor(F.col("n") / 2).alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(1, total))).alias("rank"))
     order = order.join(before, "rank")
-    # rows that repeat an id with its text differ in rank only: one of them brings the text
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    text = text.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))).filter("_k = 1").drop("_k")
-    same = lambda a, b, x="doc_id", y="h": F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.{x}")) & (F.col(f"{a}.h") == F.col(f"{b}.{y}"))
-    rows = text.alias("t").join(order.alias("o"), same("t", "o")).select("t.doc_id", "t.h", "t.text", "o.n", "o.rank", "o.to_id", "o.to_h", "o.to_rank", "o.need")
+    # the texts are dealt out once, by (kid, h). Rows that repeat an id with its text differ in rank only: one of them brings the text
+    text = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
+    text = text.withColumn("_k", F.row_number().over(Window.partitionBy("kid", "h").orderBy("kid"))).filter(F.greatest("_k", F.lit(1)) == 1).drop("_k")
+    rows = text.join(order, ["kid", "h"])
     rows = rows.withColumn("w", spots(F.col("text"))).withColumn("sigs", signatures(F.col("w"), F.col("text")))
     # each document sends its beginning, as much as is asked for, and its signatures to the one before it
-    sent = rows.select("to_id", "to_h", "to_rank", F.expr("left(text, cast(need as int))").alias("beginning"), F.col("sigs").alias("next_sigs"))
-    got = rows.alias("a").join(sent.alias("b"), same("a", "b", "to_id", "to_h") & (F.col("a.rank") == F.col("b.to_rank")))
+    sent = rows.select(F.col("to_kid").alias("kid"), F.col("to_h").alias("h"), F.col("to_rank").alias("r"), F.expr("left(text, cast(need as int))").alias("beginning"), F.col("sigs").alias("next_sigs"))
+    got = rows.select("doc_id", "kid", "h", "rank", "n", "text", "sigs").alias("a").join(sent.alias("b"), ["kid", "h"]).filter(F.col("a.rank") - F.col("b.r") == 0)
     got = got.select("a.doc_id", "a.n", "a.sigs", "b.next_sigs", F.concat(F.expr("left(a.text, cast(a.n - floor(a.n / 2) as int))"), F.col("b.beginning")).alias("edited"))
     got = got.withColumn("w", spots(F.col("edited"))).withColumn("edited_sigs", signatures(F.col("w"), F.col("edited")))
     return got.select("doc_id", F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "edited_sigs", "next_sigs")

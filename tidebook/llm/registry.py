@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import queries_chat, queries_language, queries_mixing, queries_packing, queries_quality, queries_toxicity
+from tidebook.llm import queries_chat, queries_fingerprints, queries_language, queries_mixing, queries_packing, queries_quality, queries_toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_pack_documents": queries_packing.op2_pack_documents,
         "op3_toxicity": queries_toxicity.op3_toxicity,
         "op4_quality_rules": queries_quality.op4_quality_rules,
+        "op5_fingerprints": queries_fingerprints.op5_fingerprints,
         "op7_language": queries_language.op7_language,
         "op9_chat": queries_chat.op9_chat,
     }
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL by query."""
-    return {"op4_quality_rules": queries_quality.SQL}
+    return {"op4_quality_rules": queries_quality.SQL, "op5_fingerprints": queries_fingerprints.SQL}
