@@ -141,9 +141,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5):
         if b - a >= width:
             yield np.unique(joined[a : b - width + 1])
         elif b > a:
-            s = np.uint64(b - a)
-            for k in range(a, b):
-                s = s + h[k] * _STEP[(k - a) % 5]
-            yield mix(np.array([s], np.uint64))
+            steps = np.array([_STEP[k % 5] for k in range(b - a)], np.uint64)
+            yield mix(np.add.reduce(h[a:b] * steps, keepdims=True) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
