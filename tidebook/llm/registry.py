@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import queries_chat, queries_fingerprints, queries_join, queries_language, queries_mixing, queries_packing, queries_quality, queries_toxicity
+from tidebook.llm import queries_chat, queries_fingerprints, queries_join, queries_language, queries_mixing, queries_packing, queries_quality, queries_repeats, queries_toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_fingerprints": queries_fingerprints.op5_fingerprints,
         "op6_ngram_join": queries_join.op6_ngram_join,
         "op7_language": queries_language.op7_language,
+        "op8_repeats": queries_repeats.op8_repeats,
         "op9_chat": queries_chat.op9_chat,
     }
 
