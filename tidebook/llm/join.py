@@ -27,7 +27,7 @@ from tidebook.llm.common import mix, pieces, shingle_sets, stored, utf8
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 WORDS_OF_SKETCH = 8
-SUMMARY = "doc_id long, n long, node long, prefix array<long>, sketch array<long>"
+SUMMARY = "doc_id long, h long, n long, node long, prefix array<long>, sketch array<long>"
 
 
 def _hashed(batch):
@@ -61,9 +61,9 @@ def summaries(docs: DataFrame) -> DataFrame:
                 prefix.append(s[: prefix_length(len(s))].view(np.int64))
                 sketch.append(np.packbits((np.bincount((s & np.uint64(64 * WORDS_OF_SKETCH - 1)).astype(np.int64), minlength=64 * WORDS_OF_SKETCH) & 1).astype(np.uint8)).view(np.int64))
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(sketch)], names=["doc_id", "n", "node", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(sketch)], names=["doc_id", "h", "n", "node", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(summarise, SUMMARY)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(summarise, SUMMARY)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def size_class(n: Column) -> Column:
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """documents: doc_id, n, node; nodes: node, n, rep (its smallest doc_id), sketch; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
+    """documents: doc_id, h, n, node; nodes: node, n, rep (its smallest doc_id), sketch; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(summaries(docs), "join-summaries")
     nodes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -163,7 +163,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
     pairs = pairs.join(half, ["x", "y"], "left_anti")
     second = compared(pairs, docs, nodes)
-    return rows.select("doc_id", "n", "node"), nodes, first.union(second)
+    return rows.select("doc_id", "h", "n", "node"), nodes, first.union(second)
 
 
 def _possible(na: str, nb: str, sa: str, sb: str) -> Column:
@@ -174,11 +174,11 @@ def _possible(na: str, nb: str, sa: str, sb: str) -> Column:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, component_id: the smallest doc_id that links lead to, the document's own included."""
+    """doc_id, h (the text's hash), n, component_id: the smallest doc_id that links lead to, the document's own included."""
     rows, nodes, links = linked(docs)
     roots = components(links)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(first, "root").select("node", "component_id", F.lit(True).alias("any"))
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "h", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -32,7 +32,7 @@ LANGUAGES_BROADCAST = 10_000
 
 def base(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, lang. The counts of the base rules, and both histograms (chars, common: arrays)."""
-    d = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
+    d = docs.select("doc_id", "lang", F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
     d = d.withColumn("n", F.size("w").cast("long"))
     d = d.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(5)])
@@ -54,6 +54,7 @@ def base(docs: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id",
         "lang",
+        "_h",
         F.col("n").alias("n_words"),
         F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -68,7 +69,7 @@ def base(docs: DataFrame) -> DataFrame:
     rest = F.col("word_chars") - F.col("_upper") - F.col("_digit") - F.col("n_symbols") - F.col("_mark")
     chars = F.array("_upper", "_digit", "n_symbols", "_mark", space, rest)
     others = F.col("n_words") - F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x)
-    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("chars"), F.concat("found", F.array(others)).alias("common"))
+    return d.select("doc_id", "lang", "_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("chars"), F.concat("found", F.array(others)).alias("common"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -98,7 +99,7 @@ def with_reference(counts: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """base(), with chars_distance, words_distance and kept. The references are made twice: from what passes the base rules, then from that of it whose
+    """base(), with chars_distance, words_distance, kept and _h, the text's hash. The references are made twice: from what passes the base rules, then from that of it whose
     characters are within FIRST_CHARS_DISTANCE of the first, so that junk doesn't set the standard."""
     counts = stored(base(docs), "quality")  # a few numbers of each document; the texts are read once
     ok = counts.filter(~F.col("base_failed"))
@@ -106,4 +107,4 @@ def judged(docs: DataFrame) -> DataFrame:
     d = with_reference(with_reference(counts, reference(near, "chars")), reference(near, "common"))
     d = d.withColumn("chars_distance", distance(F.col("chars"), F.col("ref_chars"))).withColumn("words_distance", distance(F.col("common"), F.col("ref_common")))
     near = ((F.col("word_chars") < MIN_CHARS) | F.coalesce(F.col("chars_distance") <= MAX_CHARS_DISTANCE, F.lit(True))) & ((F.col("n_words") < MIN_WORDS) | F.coalesce(F.col("words_distance") <= MAX_WORDS_DISTANCE, F.lit(True)))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", (~F.col("base_failed") & near).alias("kept"))
+    return d.select("doc_id", "_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", (~F.col("base_failed") & near).alias("kept"))

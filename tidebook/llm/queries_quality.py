@@ -8,7 +8,7 @@ from tidebook.llm.quality import COMMON, DIGIT, FIRST_CHARS_DISTANCE, MARK, MAX_
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts and the verdict for each document."""
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("chars_distance", "words_distance")
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("chars_distance", "words_distance", "_h")
 
 
 def sql(source: str = "documents", what: str = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept") -> str:

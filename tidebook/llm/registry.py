@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidebook.llm import queries_chat, queries_fingerprints, queries_join, queries_language, queries_mixing, queries_packing, queries_quality, queries_repeats, queries_toxicity
+import corpus_pipeline
+from tidebook.llm import queries_chat, queries_fingerprints, queries_join, queries_language, queries_mixing, queries_packing, queries_quality, queries_repeats, queries_site, queries_toxicity
 
 
 def queries() -> dict:
@@ -16,6 +17,8 @@ def queries() -> dict:
         "op7_language": queries_language.op7_language,
         "op8_repeats": queries_repeats.op8_repeats,
         "op9_chat": queries_chat.op9_chat,
+        "op10_site_quality": queries_site.op10_site_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -262,10 +262,10 @@ def merged(at: np.ndarray, till: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, id (its text's), n_bytes, n_removed, n_spans, kept_sha256 for each row; with_text: also kept (what is left, less what isn't whole UTF-8 any more; null: unchanged)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, _h (the text's hash), n_bytes, n_removed, n_spans, kept_sha256 for each row; with_text: also kept (what is left, less what isn't whole UTF-8 any more; null: unchanged)."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
     text_id = F.xxhash64("text", F.length("text"), F.crc32(F.col("text").cast("binary")))
-    rows = docs.select("doc_id", text_id.alias("id"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    rows = docs.select("doc_id", text_id.alias("id"), "_h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     rows = stored(rows, "repeats-rows")
     firsts = rows.filter("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("n"))
     firsts = stored(firsts, "repeats-firsts")
@@ -301,7 +301,7 @@ def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     choose = lambda whole, part, none: F.when(copy, whole).when(cut_here, part).otherwise(none)
     return out.select(
         "doc_id",
-        "id",
+        "_h",
         "n_bytes",
         choose(F.col("n_bytes"), F.col("cut_bytes"), F.lit(0)).cast("long").alias("n_removed"),
         choose(F.lit(1), F.col("cut_spans"), F.lit(0)).cast("long").alias("n_spans"),
