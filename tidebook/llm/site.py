@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import stored, utf8
+from tidebook.llm.common import pieces, stored, utf8
 
 TRAIN_ROWS, RIDGE, THRESHOLD, GROUPS_BROADCAST = 20_000, 1.0, 0.5, 100_000
 CONCENTRATION = (2.0, 10_000.0)
@@ -33,17 +33,20 @@ FEATURES = 11
 def rates(buf: np.ndarray, at: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """A row of FEATURES numbers for each text."""
     size = np.maximum(1, np.diff(at)).astype(float)
-    counts = []
-    for chosen in _BYTES.values():
-        flag = np.zeros(256, np.int64)
-        flag[list(chosen)] = 1
-        total = np.concatenate([[0], np.cumsum(flag[buf], dtype=np.int64)])
-        counts.append(total[at[1:]] - total[at[:-1]])
+    counts = np.zeros((len(_BYTES), len(texts)))
+    for i, j in pieces(at):
+        edge = at[i : j + 1] - at[i]
+        for k, chosen in enumerate(_BYTES.values()):
+            flag = np.zeros(256, np.uint8)
+            flag[list(chosen)] = 1
+            total = np.zeros(edge[-1] + 1, np.int64)
+            np.cumsum(flag[buf[at[i] : at[j]]], out=total[1:])
+            counts[k, i:j] = total[edge[1:]] - total[edge[:-1]]
     upper, digit, symbol, bar, mark, line = counts
-    words = [(t or "").split() for t in texts]
-    n = np.array([max(1, len(w)) for w in words], float)
-    different = np.array([len(set(w)) for w in words], float)
-    adjacent = np.array([sum(map(operator.eq, w, w[1:])) for w in words], float)
+    n, different, adjacent = np.ones(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        n[i], different[i], adjacent[i] = max(1, len(w)), len(set(w)), sum(map(operator.eq, w, w[1:]))
     log_n = np.log1p(n)
     return np.stack([log_n, upper / size, digit / size, np.sqrt(symbol / n), np.sqrt(bar / n), np.sqrt(mark / n), line / n, size / n / 10, adjacent / n, different / n, different / n * log_n], 1)
 
