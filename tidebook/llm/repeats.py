@@ -28,7 +28,7 @@ from tidebook.llm.common import mix, pieces, stored, utf8
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # suffixes of a string that have a whole gram in it
-SEGMENT, ANCHORS_IN_RANGE = 1 << 21, 1_000_000
+SEGMENT, ANCHORS_IN_RANGE, LEAST_RANGES = 1 << 21, 1_000_000, 64
 _FACTOR = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 4: 0xD6E8FEB86659FD93, 8: 0x9FB21C651E98DF25}
 _LATER = [(0, 0x9E3779B97F4A7C15), (GRAM, 0xBF58476D1CE4E5B9), (2 * GRAM, 0x94D049BB133111EB), (LENGTH - GRAM, 0xD6E8FEB86659FD93)]
 
@@ -270,7 +270,7 @@ def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     firsts = rows.filter("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("n"))
     firsts = stored(firsts, "repeats-firsts")
     size = firsts.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-int(size * 2 / (SPAN + 1)) // ANCHORS_IN_RANGE), docs.sparkSession.sparkContext.defaultParallelism)
+    parts = max(LEAST_RANGES, -(-int(size * 2 / (SPAN + 1)) // ANCHORS_IN_RANGE))
 
     long = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select(text_id.alias("id"), "text")
     suffixes = open_suffixes(long, parts).groupBy("id").agg(F.collect_list("at").alias("places"))  # of one text each

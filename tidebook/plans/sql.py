@@ -56,3 +56,101 @@ INSIDE = """ins AS (SELECT t.seq, t.locate, t.ts_ns, t.mtype, max(s.price) FILTE
 def query(select: str, *parts: str, variant: str = "plain") -> str:
     """WITH the tape and these parts, the select."""
     return "WITH " + ",\n".join([tape(variant), *parts]) + "\n" + select
+
+
+TICKS = "('A', 'F', 'E', 'C', 'X', 'D', 'U', 'P', 'Q', 'B')"
+
+
+def windows(n: int) -> str:
+    """tch: touches with their window; win: full windows at their close; feat: labelled rows."""
+    return f"""tc0 AS (SELECT t.seq, t.locate, t.ts_ns, t.mtype, t.qty, t.code, i.bid, i.ask, i.bid_qty, i.ask_qty, i.bid IS NOT NULL AND i.ask IS NOT NULL AND t.mtype <> 'H' AS valid,
+    CASE WHEN m.found THEN CASE m.side WHEN 'B' THEN -1 ELSE 1 END ELSE 0 END AS sign FROM tape t JOIN ins i USING (seq) LEFT JOIN mods m ON m.seq = t.seq AND m.mtype IN ('E', 'C') WHERE t.mtype IN {TICKS} OR t.mtype = 'H'),
+tc1 AS (SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, lag(bid_qty) OVER w AS pbq, lag(ask_qty) OVER w AS paq, coalesce(lag(valid) OVER w, false) AS pv FROM tc0 WINDOW w AS (PARTITION BY locate, mtype <> 'H' ORDER BY seq)),
+tc2 AS (SELECT *, valid AND pv AND NOT (bid = pb AND ask = pa AND bid_qty = pbq AND ask_qty = paq) AS upd FROM tc1),
+tc3 AS (SELECT *, (sum(upd::BIGINT) OVER w)::BIGINT AS k, last_value(CASE WHEN mtype = 'H' THEN code END IGNORE NULLS) OVER w = 'H' AS halted,
+    (CASE WHEN bid >= pb THEN bid_qty ELSE 0 END) - (CASE WHEN bid <= pb THEN pbq ELSE 0 END) - (CASE WHEN ask <= pa THEN ask_qty ELSE 0 END) + (CASE WHEN ask >= pa THEN paq ELSE 0 END) AS e, (bid_qty + ask_qty) / 2.0::DOUBLE AS depth
+  FROM tc2 WINDOW w AS (PARTITION BY locate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+tch AS (SELECT *, (k - upd::BIGINT) // {n} AS wid, upd AND k % {n} = 0 AS last_of, mtype = 'H' OR (upd AND coalesce(halted, false)) AS stained FROM tc3),
+wi0 AS (SELECT locate, wid, max(seq) FILTER (last_of) AS close_seq, sum(e) FILTER (upd)::DOUBLE AS flow, sum(depth) FILTER (upd) AS depth, sum(CASE WHEN mtype IN ('E', 'C') THEN sign * qty ELSE 0 END)::DOUBLE AS signed,
+    sum(CASE WHEN mtype IN ('E', 'C') THEN qty ELSE 0 END)::DOUBLE AS total, bool_or(stained) AS stained, min(ts_ns) FILTER (upd) AS start_ts FROM tch GROUP BY ALL),
+win AS (SELECT w.locate, w.wid, w.close_seq, c.ts_ns AS close_ts, w.start_ts >= 34200000000000 AND c.ts_ns < 57600000000000 AND NOT w.stained AND c.bid_qty + c.ask_qty > 0 AND c.ask > c.bid AS usable,
+    CASE WHEN w.depth / {n} > 0 THEN w.flow / (w.depth / {n}) ELSE 0 END AS ofi, (c.bid_qty - c.ask_qty)::DOUBLE / (c.bid_qty + c.ask_qty) AS queue_imbalance,
+    CASE WHEN (w.depth - c.depth) / {n - 1} > 0 THEN (w.flow - c.e) / ((w.depth - c.depth) / {n - 1}) ELSE 0 END AS ofi_lag1, (c.pbq - c.paq)::DOUBLE / (c.pbq + c.paq) AS queue_imbalance_lag1,
+    ((c.ask_qty * c.bid + c.bid_qty * c.ask)::DOUBLE / (c.bid_qty + c.ask_qty) - (c.bid + c.ask) / 2.0::DOUBLE) / 100.0::DOUBLE AS micro_dev, CASE WHEN w.total > 0 THEN w.signed / w.total ELSE 0 END AS trade_sign,
+    (c.bid + c.ask) / 2.0::DOUBLE AS mid, c.ask - c.bid AS spread, c.bid, c.ask, c.bid_qty, c.ask_qty
+  FROM wi0 w JOIN tch c ON c.seq = w.close_seq WHERE w.close_seq IS NOT NULL),
+wn AS (SELECT *, lead(wid) OVER w AS n_wid, lead(usable) OVER w AS n_usable, lead(mid) OVER w AS n_mid, lead(close_seq) OVER w AS n_seq FROM win WINDOW w AS (PARTITION BY locate ORDER BY wid)),
+feat AS (SELECT locate, wid, close_seq, close_ts, n_seq, ofi, queue_imbalance, micro_dev, trade_sign, ofi_lag1, queue_imbalance_lag1, mid / 10000.0::DOUBLE AS mid, spread / 100.0::DOUBLE AS spread_ticks, (n_mid - mid) / 100.0::DOUBLE AS label_ticks, (n_mid - mid) / (spread / 2.0::DOUBLE) AS label_halfspreads
+  FROM wn WHERE usable AND n_usable AND n_wid = wid + 1)"""
+
+
+GATE = """ob0 AS (SELECT t.seq, t.locate, t.ts_ns, t.mtype, t.code, i.bid, i.ask, CASE WHEN i.bid IS NULL OR i.ask IS NULL THEN 0 WHEN t.mtype IN ('A', 'F', 'E', 'C', 'X', 'D') THEN 1 WHEN t.mtype = 'U' AND m.found THEN 2 ELSE 0 END AS weight
+  FROM tape t JOIN ins i USING (seq) LEFT JOIN mods m ON m.seq = t.seq AND m.mtype = 'U'),
+ob1 AS (SELECT *, last_value(CASE WHEN mtype = 'H' THEN code END IGNORE NULLS) OVER w AS state, coalesce(last_value(CASE WHEN mtype = 'h' THEN code END IGNORE NULLS) OVER w = 'H', false) AS halt,
+    last_value(CASE WHEN mtype = 'H' THEN code END IGNORE NULLS) OVER (PARTITION BY locate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM ob0 WINDOW w AS (PARTITION BY locate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ob2 AS (SELECT *, coalesce(mtype = 'H' AND code = 'T' AND was <> 'T', false) AS opens FROM ob1),
+ob3 AS (SELECT *, sum(opens::INTEGER) OVER w AS reopening, last_value(CASE WHEN opens THEN ts_ns END IGNORE NULLS) OVER w AS opened_ts FROM ob2 WINDOW w AS (PARTITION BY locate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ob4 AS (SELECT *, weight > 0 AND bid >= ask AS bad, weight > 0 AND bid < ask AS clean, coalesce(ts_ns - opened_ts > 100000000, false) AS late FROM ob3),
+obs AS (SELECT *, reopening > 0 AND NOT opens AND coalesce(sum((mtype = 'Q' OR clean OR (bad AND late))::INTEGER) OVER (PARTITION BY locate, reopening ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS awaiting FROM ob4)"""
+
+
+def _buckets(x: str, edges: list) -> str:
+    return "(" + " + ".join(f"({x} >= {e})::INTEGER" for e in edges) + ")"
+
+
+def exits(edges: list[float]) -> str:
+    """ex: removed orders with exit and life; hist: counts by exit and bucket."""
+    table = "[" + ", ".join(f"{e!r}::DOUBLE" for e in edges) + "]"
+    return f"""ex AS (SELECT ref, locate, CASE WHEN end_by = 'U' THEN 'replaced' WHEN end_by IN ('E', 'C') AND executed = shares0 THEN 'filled' WHEN end_by IN ('E', 'C') OR executed > 0 THEN 'partial_then_gone' ELSE 'cancelled' END AS exit, greatest(0, end_ts - start_ts) AS life_ns FROM eps WHERE end_by IS NOT NULL),
+hist AS (SELECT exit, bucket, count(*) AS n, {table}[bucket + 1] AS low_ns FROM (SELECT exit, {_buckets("life_ns::DOUBLE", [repr(e) + "::DOUBLE" for e in edges[1:-1]])} AS bucket FROM ex) GROUP BY exit, bucket)"""
+
+
+def median(source: str, key: str, edges: list[float], within: bool) -> str:
+    """A select: the median of each key's histogram."""
+    table = "[" + ", ".join(f"{e!r}::DOUBLE" for e in edges) + "]"
+    lo, hi = f"{table}[bucket + 1]", f"{table}[bucket + 2]"
+    value = f"{lo} * pow({hi} / {lo}, (0.5 - below) / (cum - below))" if within else f"sqrt({lo} * {hi})"
+    return f"""SELECT {key}, round({value}, 3) AS median FROM (SELECT *, coalesce(lag(cum) OVER (PARTITION BY {key} ORDER BY bucket), 0) AS below FROM
+  (SELECT {key}, bucket, sum(n) OVER (PARTITION BY {key} ORDER BY bucket ROWS UNBOUNDED PRECEDING)::DOUBLE / sum(n) OVER (PARTITION BY {key}) AS cum FROM {source})) WHERE cum >= 0.5 AND below < 0.5"""
+
+
+FLOW = """flow AS (SELECT locate, sum((mtype IN ('A', 'F'))::BIGINT)::BIGINT AS adds, sum((mtype IN ('E', 'C'))::BIGINT)::BIGINT AS executes, sum((mtype = 'X')::BIGINT)::BIGINT AS cancels, sum((mtype = 'D')::BIGINT)::BIGINT AS deletes, sum((mtype = 'U')::BIGINT)::BIGINT AS replaces, sum((mtype = 'P')::BIGINT)::BIGINT AS trades,
+    coalesce(sum(qty) FILTER (mtype IN ('A', 'F', 'U')), 0)::BIGINT AS shares_added, coalesce(sum(qty) FILTER (mtype IN ('E', 'C')), 0)::BIGINT AS shares_executed, (coalesce(sum(qty) FILTER (mtype = 'X'), 0) + coalesce(sum(rests) FILTER (mtype = 'U' AND found), 0))::BIGINT AS shares_cancelled, coalesce(sum(qty) FILTER (mtype = 'P'), 0)::BIGINT AS shares_nondisplayed
+  FROM (SELECT t.locate, t.mtype, t.qty, m.found, m.rests FROM tape t LEFT JOIN mods m USING (seq)) GROUP BY locate)"""
+
+SIZES = """sizes AS (SELECT shares_low, CASE WHEN shares_low < 1000 THEN shares_low + 1 WHEN shares_low < 100000 THEN shares_low + 100 END AS shares_high, count(*) AS n
+  FROM (SELECT CASE WHEN qty < 1000 THEN qty WHEN qty < 100000 THEN qty // 100 * 100 ELSE 100000 END AS shares_low FROM tape WHERE mtype IN ('A', 'F', 'U')) GROUP BY shares_low)"""
+
+
+def minutes(every_ns: int) -> str:
+    return f"""sp0 AS (SELECT seq, ts_ns, (ts_ns - min(ts_ns) OVER ()) // {every_ns} AS cell FROM tape WHERE mtype IN {TICKS} AND ts_ns >= 34200000000000 AND ts_ns < 57600000000000),
+sp1 AS (SELECT min(seq) AS seq, min(ts_ns) AS ts_ns FROM sp0 GROUP BY cell),
+sp2 AS (SELECT s.locate, (p.ts_ns - 34200000000000) // 60000000000 AS minute, i.* EXCLUDE (seq, locate, ts_ns, mtype) FROM sp1 p CROSS JOIN (SELECT DISTINCT locate FROM tape) s ASOF JOIN ins i ON i.locate = s.locate AND i.seq <= p.seq WHERE i.bid IS NOT NULL AND i.ask IS NOT NULL),
+mins AS (SELECT locate, minute, count(*) AS samples, count(*) FILTER (ask > bid) AS two_sided, round(coalesce(sum((ask - bid) // 100) FILTER (ask > bid), 0)::DOUBLE / greatest(count(*) FILTER (ask > bid), 1), 6) AS mean_spread,
+    round(coalesce(sum(((ask - bid) // 100 = 1)::INTEGER) FILTER (ask > bid), 0)::DOUBLE / greatest(count(*) FILTER (ask > bid), 1), 6) AS one_tick, round(coalesce(sum(bid_qty) FILTER (ask > bid), 0)::DOUBLE / greatest(count(*) FILTER (ask > bid), 1), 6) AS bid_shares,
+    round(coalesce(sum(ask_qty) FILTER (ask > bid), 0)::DOUBLE / greatest(count(*) FILTER (ask > bid), 1), 6) AS ask_shares, round(coalesce(sum(bid_orders) FILTER (ask > bid), 0)::DOUBLE / greatest(count(*) FILTER (ask > bid), 1), 6) AS bid_orders,
+    round(coalesce(sum(ask_orders) FILTER (ask > bid), 0)::DOUBLE / greatest(count(*) FILTER (ask > bid), 1), 6) AS ask_orders FROM sp2 GROUP BY locate, minute)"""
+
+
+def queue(every: int, life_ns: int) -> str:
+    """pl: placements; qe: the events each sees; base: fills by trade-through and of the exact model."""
+    return f"""pl0 AS (SELECT seq, locate, ts_ns, CASE WHEN (seq // {every}) % 2 = 0 THEN 'B' ELSE 'S' END AS side, bid, ask, bid_qty, ask_qty FROM ins WHERE seq % {every} = 0 AND bid IS NOT NULL AND ask IS NOT NULL),
+pl AS (SELECT seq, locate, ts_ns, side, CASE side WHEN 'B' THEN bid ELSE ask END AS price, CASE side WHEN 'B' THEN bid_qty ELSE ask_qty END AS depth, ask - bid AS spread, coalesce((SELECT min(t.seq) FROM tape t WHERE t.mtype IN {TICKS} AND t.ts_ns >= pl0.ts_ns + {life_ns}), 4611686018427387904) AS last_seq FROM pl0),
+ev AS (SELECT m.seq, m.ts_ns, m.locate, m.side, m.price, CASE WHEN m.mtype IN ('E', 'C') THEN 'exec' ELSE 'cancel' END AS kind, CASE WHEN m.mtype IN ('E', 'C', 'X') THEN m.qty ELSE m.rests END AS qty, m.start_seq, s.shares AS after
+  FROM mods m LEFT JOIN states s ON s.locate = m.locate AND s.side = m.side AND s.price = m.price AND s.seq = m.seq WHERE m.found
+  UNION ALL SELECT seq, ts_ns, locate, unnest(['B', 'S']), price, 'print', qty, NULL, NULL FROM tape WHERE mtype = 'P'),
+qe AS (SELECT p.seq, p.side, p.price, p.depth, e.seq AS at, e.ts_ns AS at_ts, CASE WHEN e.price = p.price THEN e.kind ELSE 'through' END AS kind, e.qty::DOUBLE AS qty, e.start_seq > p.seq AS behind, e.after::DOUBLE AS after
+  FROM pl p JOIN ev e ON e.locate = p.locate AND e.side = p.side AND e.seq > p.seq AND e.seq <= p.last_seq AND (e.price = p.price OR (e.kind = 'exec' AND ((p.side = 'B' AND e.price < p.price) OR (p.side = 'S' AND e.price > p.price))))),
+thr AS (SELECT seq, min(at) FILTER (kind = 'through') AS through, min(at) FILTER (kind = 'exec' AND behind) AS exact, min(at) FILTER (kind = 'print') AS printed FROM qe GROUP BY seq),
+cum AS (SELECT seq, at, kind, depth, coalesce(sum(CASE WHEN kind = 'exec' THEN qty ELSE 0 END) OVER w, 0) AS execs, coalesce(sum(CASE WHEN kind IN ('exec', 'cancel') THEN qty ELSE 0 END) OVER w, 0) AS alls FROM qe WINDOW w AS (PARTITION BY seq ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cl AS (SELECT seq, min(at) FILTER (kind = 'exec' AND execs >= depth) AS conservative, min(at) FILTER (kind = 'exec' AND alls >= depth) AS optimistic FROM cum GROUP BY seq),
+nth AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY at) AS i FROM qe WHERE kind IN ('exec', 'cancel')),
+prop AS (WITH RECURSIVE r AS (SELECT seq, 0::BIGINT AS i, depth::DOUBLE AS a, NULL::BIGINT AS fill FROM pl UNION ALL
+    SELECT r.seq, n.i, CASE WHEN n.kind = 'exec' THEN greatest(0, r.a - n.qty) WHEN n.after + n.qty > 0 THEN greatest(0, r.a - n.qty * (r.a / (n.after + n.qty))) ELSE r.a END, CASE WHEN r.fill IS NULL AND n.kind = 'exec' AND r.a <= 0 THEN n.at ELSE r.fill END FROM r JOIN nth n ON n.seq = r.seq AND n.i = r.i + 1) SELECT seq, max(fill) AS proportional FROM r GROUP BY seq)"""
+
+
+def fills(models: list[str], rule4: bool = False) -> str:
+    """fl: a row for each placement and model."""
+    one = " UNION ALL ".join(f"SELECT seq, '{m}' AS model, least({m}, through{', printed' if rule4 else ''}) AS fill_seq, through, {'printed' if rule4 else 'NULL::BIGINT'} AS printed FROM pl LEFT JOIN thr USING (seq) LEFT JOIN cl USING (seq){' LEFT JOIN prop USING (seq)' if m == 'proportional' else ''}" for m in models)
+    return f"""fl AS (SELECT p.seq, p.locate, p.side, p.price, p.ts_ns, p.depth, p.spread, f.model, f.fill_seq, t.ts_ns AS fill_ts, CASE WHEN f.fill_seq IS NULL THEN 'expired' WHEN f.fill_seq = f.through THEN 'trade_through' WHEN f.fill_seq = f.printed THEN 'non_displayed_print' ELSE 'execution_behind' END AS reason
+  FROM ({one}) f JOIN pl p USING (seq) LEFT JOIN tape t ON t.seq = f.fill_seq)"""
