@@ -27,7 +27,8 @@ from tidebook.llm.common import mix, pieces, shingle_sets, stored, utf8
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 WORDS_OF_SKETCH = 8
-SUMMARY = "doc_id long, h long, n long, node long, prefix array<long>, sketch array<long>"
+TOKENS_IN_RANGE, LEAST_RANGES = 1_000_000, 64
+SUMMARY = "doc_id long, h long, n long, node long, prefix array<long>, sketch array<long>, wide binary"
 
 
 def _hashed(batch):
@@ -49,19 +50,32 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A set's parity sketch: of each place (by the hash, 512 places or the power of two from twice the set's size) whether it has an odd number of members."""
+    size = max(64 * WORDS_OF_SKETCH, 1 << (2 * max(1, len(s)) - 1).bit_length())
+    return (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The same sketch at a smaller power of two of places."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
 def summaries(docs: DataFrame) -> DataFrame:
     """One row for each document: the size and name of its set, its prefix and its sketch."""
 
     def summarise(batches):
         for b in batches:
-            n, node, prefix, sketch = [], [], [], []
+            n, node, prefix, sketch, wide = [], [], [], [], []
             for s in _hashed(b):
                 n.append(len(s))
                 node.append(node_of(s))
                 prefix.append(s[: prefix_length(len(s))].view(np.int64))
-                sketch.append(np.packbits((np.bincount((s & np.uint64(64 * WORDS_OF_SKETCH - 1)).astype(np.int64), minlength=64 * WORDS_OF_SKETCH) & 1).astype(np.uint8)).view(np.int64))
+                bits = parities(s)
+                wide.append(np.packbits(bits).tobytes())
+                sketch.append(np.packbits(folded(bits, 64 * WORDS_OF_SKETCH)).view(np.int64))
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(sketch)], names=["doc_id", "h", "n", "node", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(sketch), pa.array(wide, pa.binary())], names=["doc_id", "h", "n", "node", "prefix", "sketch", "wide"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(summarise, SUMMARY)
 
@@ -83,8 +97,21 @@ def enough(a: Column, b: Column, both: Column) -> Column:
 
 
 def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (x, y: nodes), those that link."""
-    pairs = stored(pairs, "join-pairs")
+    """Of pairs (x, y: nodes), those that link. First by their wide sketches, which few unlike pairs pass, then by the whole sets."""
+    wide = nodes.select("node", "n", "wide")
+
+    def near(batches):
+        for b in batches:
+            keep = []
+            for k, (s, t, a, c) in enumerate(zip(*(b.column(x).to_pylist() for x in ("s", "t", "a", "c")))):
+                s, t = np.unpackbits(np.frombuffer(s, np.uint8)), np.unpackbits(np.frombuffer(t, np.uint8))
+                size = min(len(s), len(t))
+                if (DENOMINATOR + NUMERATOR) * int(np.count_nonzero(folded(s, size) != folded(t, size))) <= (DENOMINATOR - NUMERATOR) * (a + c):
+                    keep.append(k)
+            yield b.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+
+    both = pairs.join(wide.toDF("x", "a", "s"), "x").join(wide.toDF("y", "c", "t"), "y")
+    pairs = stored(both.select("x", "y", "a", "c", "s", "t").mapInArrow(near, "x long, y long"), "join-pairs")
     used = pairs.select("x").union(pairs.select("y")).distinct().toDF("node")
     wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
     n = wanted.count()
@@ -125,15 +152,64 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
 
 
+def index_lists(rows: DataFrame) -> DataFrame:
+    """rows: node, n, prefix. token, pivot, node, n, at for every token that two nodes have in their prefixes.
+
+    Tokens travel in arrays, by ranges of their hashes. A token that several nodes of a batch of rows share is settled there: one of them goes to the token's range, to meet
+    the other batches', and the rest are dealt out by node, so that a frequent token comes to its range once from each batch. The pivot is then that of the token's part of
+    the list; pairs across the parts are left to round 2.
+    """
+    total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(LEAST_RANGES, -(-total // TOKENS_IN_RANGE))
+
+    def ask(batches):
+        for b in batches:
+            prefix, node, n = b.column("prefix"), b.column("node").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
+            size = np.diff(prefix.offsets.to_numpy())
+            row = np.repeat(np.arange(len(node)), size)
+            token = prefix.flatten().to_numpy()
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.lexsort((node[row], token))
+            token, row, at = token[order], row[order], at[order]
+            edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            width = np.diff(np.concatenate([edge, [len(token)]]))
+            first = np.repeat(edge, width)
+            shared = np.zeros(len(token), bool) if not len(token) else np.repeat(node[row[edge]] != node[row[edge + width - 1]], width)
+            sent = np.arange(len(token)) == first
+            part = np.where(sent, (token.view(np.uint64) >> np.uint64(20)) % np.uint64(parts), np.abs(node[row]) % parts).astype(np.int32)
+            keep = np.flatnonzero(sent | shared)
+            out = []
+            for p in np.unique(part[keep]):
+                k = keep[part[keep] == p]
+                out.append((p, token[k].tobytes(), node[row[first[k]]].tobytes(), node[row[k]].tobytes(), n[row[k]].astype("<i4").tobytes(), at[k].astype("<i4").tobytes(), (shared[k].astype(np.uint8) + 2 * sent[k]).astype(np.uint8).tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=["part", "token", "pivot", "node", "n", "at", "flag"])
+
+    def answer(key, t):
+        whole = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+        token, pivot, node, n, at, flag = whole("token", "<i8"), whole("pivot", "<i8").copy(), whole("node", "<i8"), whole("n", "<i4"), whole("at", "<i4"), whole("flag", "u1")
+        keep = (flag & 1) == 1
+        asked = np.flatnonzero(flag & 2)
+        order = asked[np.lexsort((node[asked], token[asked]))]
+        if len(order):
+            edge = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+            width = np.diff(np.concatenate([edge, [len(order)]]))
+            pivot[order] = np.repeat(node[order[edge]], width)
+            keep[order] |= np.repeat(node[order[edge]] != node[order[edge + width - 1]], width)
+        k = np.flatnonzero(keep)
+        return pa.table({"token": token[k], "pivot": pivot[k], "node": node[k], "n": n[k].astype(np.int64), "at": at[k].astype(np.int64)})
+
+    blobs = rows.mapInArrow(ask, "part int, token binary, pivot binary, node binary, n binary, at binary, flag binary")
+    return blobs.groupBy("part").applyInArrow(answer, "token long, pivot long, node long, n long, at long")
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents: doc_id, h, n, node; nodes: node, n, rep (its smallest doc_id), sketch; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(summaries(docs), "join-summaries")
-    nodes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     nodes = stored(nodes, "join-nodes")
-    posting = rows.filter("n > 0 and doc_id is not null").select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    heads = posting.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("token", "pivot")
-    lists = stored(posting.join(heads, "token").select("token", "pivot", "node", "n", "at").distinct(), "join-lists")
+    lists = stored(index_lists(rows.filter("n > 0 and doc_id is not null").select("node", "n", "prefix")).distinct(), "join-lists")
 
     # round 1: against the pivots
     half = lists.select(F.col("pivot").alias("x"), F.col("node").alias("y")).filter("x <> y").distinct()
