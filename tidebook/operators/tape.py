@@ -44,13 +44,14 @@ def tape(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
     wants = F.col("mtype").isin("E", "C", "X", "D", "U") & (F.col("nb") > 0)
     e = e.withColumn("target", F.when(wants, F.col("nb") - F.col("c") % F.least(F.col("nb"), F.lit(20))))
     # the add that a modify names is the target-th of its symbol
-    named = e.filter(add).select(F.col("locate").alias("l"), (F.col("nb") + 1).alias("k"), F.col("seq").alias("named"))
+    named = e.filter(add).select(F.col("locate").alias("l"), (F.col("nb") + 1).alias("k"), F.col("seq").alias("named"), (F.col("c") % 2 == 0).alias("named_bid"))
     e = e.join(named, (F.col("locate") == F.col("l")) & (F.col("target") == F.col("k")), "left").drop("l", "k")
     half = F.floor(F.col("c") / 2)
+    bid = F.when(F.col("mtype") == "U", F.coalesce("named_bid", F.lit(True))).otherwise(F.col("c") % 2 == 0)  # a replacement stays on its order's side
     if full:
-        price = F.when(F.col("c") % 2 == 0, 1_000_000 + 100 * (half % 9 - 5)).otherwise(1_000_000 + 100 * (half % 9 - 3))
+        price = F.when(bid, 1_000_000 + 100 * (half % 9 - 5)).otherwise(1_000_000 + 100 * (half % 9 - 3))
     else:
-        price = F.when(F.col("c") % 2 == 0, 1_000_000 - 100 * (half % 5)).otherwise(1_000_100 + 100 * (half % 5))
+        price = F.when(bid, 1_000_000 - 100 * (half % 5)).otherwise(1_000_100 + 100 * (half % 5))
     code = F.when(F.col("mtype") == "H", F.element_at(F.array(*map(F.lit, "HPQT")), (F.floor(F.col("c") / 23) % 4 + 1).cast("int"))).when(F.col("mtype") == "h", F.when(F.floor(F.col("c") / 23) % 2 == 0, "H").otherwise("T")).when(F.col("mtype") == "Q", F.element_at(F.array(*map(F.lit, "OCHI")), (F.floor(F.col("c") / 23) % 4 + 1).cast("int")))
     return e.select(
         "seq",

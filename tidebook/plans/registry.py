@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidebook.plans import market
+
 FLAGSHIP = "inside_after_every_message"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(market.QUERIES)
+SQL: dict[str, str] = dict(market.SQL)

@@ -9,8 +9,8 @@ _PLAIN = f"CASE WHEN event_type IN ('view', 'purchase') THEN 'A' WHEN event_type
 _FULL = f"""CASE WHEN event_type = 'view' THEN CASE c % 23 WHEN 0 THEN 'P' WHEN 1 THEN 'Q' WHEN 2 THEN 'H' WHEN 3 THEN 'h' WHEN 4 THEN 'B' ELSE 'A' END
   WHEN event_type = 'purchase' THEN 'A' WHEN event_type = 'signup' THEN 'F' WHEN event_type = 'click' THEN CASE WHEN c % 7 = 0 THEN 'C' ELSE 'E' END ELSE {_ERROR} END"""
 _PRICE = {
-    "plain": "CASE WHEN c % 2 = 0 THEN 1000000 - 100 * ((c // 2) % 5) ELSE 1000100 + 100 * ((c // 2) % 5) END",
-    "full": "CASE WHEN c % 2 = 0 THEN 1000000 + 100 * ((c // 2) % 9 - 5) ELSE 1000000 + 100 * ((c // 2) % 9 - 3) END",
+    "plain": "CASE WHEN bid THEN 1000000 - 100 * ((c // 2) % 5) ELSE 1000100 + 100 * ((c // 2) % 5) END",
+    "full": "CASE WHEN bid THEN 1000000 + 100 * ((c // 2) % 9 - 5) ELSE 1000000 + 100 * ((c // 2) % 9 - 3) END",
 }
 
 
@@ -21,7 +21,7 @@ t2 AS (SELECT *, coalesce(sum((mtype IN ('A', 'F'))::BIGINT) OVER (PARTITION BY
 t3 AS (SELECT *, CASE WHEN mtype IN ('E', 'C', 'X', 'D', 'U') AND nb > 0 THEN nb - c % least(nb, 20) END AS target FROM t2),
 tape AS (SELECT t3.seq, t3.locate, t3.ts_ns, t3.mtype, CASE WHEN t3.mtype IN ('A', 'F') THEN t3.seq ELSE a.seq END AS ref, CASE WHEN t3.mtype = 'U' THEN t3.seq + 1000000000 END AS new_ref,
   CASE WHEN t3.mtype IN ('A', 'F') THEN CASE WHEN t3.c % 2 = 0 THEN 'B' ELSE 'S' END END AS side,
-  CASE WHEN t3.mtype IN ('A', 'F', 'U', 'P', 'C', 'Q') THEN {_PRICE[variant].replace("c %", "t3.c %").replace("(c //", "(t3.c //")} END::BIGINT AS price,
+  CASE WHEN t3.mtype IN ('A', 'F', 'U', 'P', 'C', 'Q') THEN {_PRICE[variant].replace("c //", "t3.c //").replace("bid", "CASE WHEN t3.mtype = 'U' THEN coalesce(a.c % 2 = 0, true) ELSE t3.c % 2 = 0 END")} END::BIGINT AS price,
   CASE WHEN t3.mtype NOT IN ('D', 'H', 'h', 'B') THEN CASE WHEN t3.mtype = 'Q' THEN 100 * ((t3.c // 10) % 3) ELSE 100 * (1 + (t3.c // 10) % 7) END END::BIGINT AS qty,
   'SYM' || t3.locate AS stock,
   CASE t3.mtype WHEN 'H' THEN ['H', 'P', 'Q', 'T'][(t3.c // 23) % 4 + 1] WHEN 'h' THEN CASE WHEN (t3.c // 23) % 2 = 0 THEN 'H' ELSE 'T' END WHEN 'Q' THEN ['O', 'C', 'H', 'I'][(t3.c // 23) % 4 + 1] END AS code, t3.c AS "match"
@@ -139,14 +139,14 @@ pl AS (SELECT seq, locate, ts_ns, side, CASE side WHEN 'B' THEN bid ELSE ask END
 ev AS (SELECT m.seq, m.ts_ns, m.locate, m.side, m.price, CASE WHEN m.mtype IN ('E', 'C') THEN 'exec' ELSE 'cancel' END AS kind, CASE WHEN m.mtype IN ('E', 'C', 'X') THEN m.qty ELSE m.rests END AS qty, m.start_seq, s.shares AS after
   FROM mods m LEFT JOIN states s ON s.locate = m.locate AND s.side = m.side AND s.price = m.price AND s.seq = m.seq WHERE m.found
   UNION ALL SELECT seq, ts_ns, locate, unnest(['B', 'S']), price, 'print', qty, NULL, NULL FROM tape WHERE mtype = 'P'),
-qe AS (SELECT p.seq, p.side, p.price, p.depth, e.seq AS at, e.ts_ns AS at_ts, CASE WHEN e.price = p.price THEN e.kind ELSE 'through' END AS kind, e.qty::DOUBLE AS qty, e.start_seq > p.seq AS behind, e.after::DOUBLE AS after
+qe AS (SELECT p.seq, p.side, p.price, p.depth, e.seq AS "at", e.ts_ns AS at_ts, CASE WHEN e.price = p.price THEN e.kind ELSE 'through' END AS kind, e.qty::DOUBLE AS qty, e.start_seq > p.seq AS behind, e.after::DOUBLE AS after
   FROM pl p JOIN ev e ON e.locate = p.locate AND e.side = p.side AND e.seq > p.seq AND e.seq <= p.last_seq AND (e.price = p.price OR (e.kind = 'exec' AND ((p.side = 'B' AND e.price < p.price) OR (p.side = 'S' AND e.price > p.price))))),
-thr AS (SELECT seq, min(at) FILTER (kind = 'through') AS through, min(at) FILTER (kind = 'exec' AND behind) AS exact, min(at) FILTER (kind = 'print') AS printed FROM qe GROUP BY seq),
-cum AS (SELECT seq, at, kind, depth, coalesce(sum(CASE WHEN kind = 'exec' THEN qty ELSE 0 END) OVER w, 0) AS execs, coalesce(sum(CASE WHEN kind IN ('exec', 'cancel') THEN qty ELSE 0 END) OVER w, 0) AS alls FROM qe WINDOW w AS (PARTITION BY seq ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cl AS (SELECT seq, min(at) FILTER (kind = 'exec' AND execs >= depth) AS conservative, min(at) FILTER (kind = 'exec' AND alls >= depth) AS optimistic FROM cum GROUP BY seq),
-nth AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY at) AS i FROM qe WHERE kind IN ('exec', 'cancel')),
+thr AS (SELECT seq, min("at") FILTER (kind = 'through') AS through, min("at") FILTER (kind = 'exec' AND behind) AS exact, min("at") FILTER (kind = 'print') AS printed FROM qe GROUP BY seq),
+cum AS (SELECT seq, "at", kind, depth, coalesce(sum(CASE WHEN kind = 'exec' THEN qty ELSE 0 END) OVER w, 0) AS execs, coalesce(sum(CASE WHEN kind IN ('exec', 'cancel') THEN qty ELSE 0 END) OVER w, 0) AS alls FROM qe WINDOW w AS (PARTITION BY seq ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cl AS (SELECT seq, min("at") FILTER (kind = 'exec' AND execs >= depth) AS conservative, min("at") FILTER (kind = 'exec' AND alls >= depth) AS optimistic FROM cum GROUP BY seq),
+nth AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY "at") AS i FROM qe WHERE kind IN ('exec', 'cancel')),
 prop AS (WITH RECURSIVE r AS (SELECT seq, 0::BIGINT AS i, depth::DOUBLE AS a, NULL::BIGINT AS fill FROM pl UNION ALL
-    SELECT r.seq, n.i, CASE WHEN n.kind = 'exec' THEN greatest(0, r.a - n.qty) WHEN n.after + n.qty > 0 THEN greatest(0, r.a - n.qty * (r.a / (n.after + n.qty))) ELSE r.a END, CASE WHEN r.fill IS NULL AND n.kind = 'exec' AND r.a <= 0 THEN n.at ELSE r.fill END FROM r JOIN nth n ON n.seq = r.seq AND n.i = r.i + 1) SELECT seq, max(fill) AS proportional FROM r GROUP BY seq)"""
+    SELECT r.seq, n.i, CASE WHEN n.kind = 'exec' THEN greatest(0, r.a - n.qty) WHEN n.after + n.qty > 0 THEN greatest(0, r.a - n.qty * (r.a / (n.after + n.qty))) ELSE r.a END, CASE WHEN r.fill IS NULL AND n.kind = 'exec' AND r.a <= 0 THEN n."at" ELSE r.fill END FROM r JOIN nth n ON n.seq = r.seq AND n.i = r.i + 1) SELECT seq, max(fill) AS proportional FROM r GROUP BY seq)"""
 
 
 def fills(models: list[str], rule4: bool = False) -> str:
