@@ -145,3 +145,17 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5):
             yield mix(np.add.reduce(h[a:b] * steps, keepdims=True) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+# --- arrays that travel in binary columns -----------------------------------------
+
+
+def packed32(x: np.ndarray, ascending: bool = False) -> bytes:
+    """32-bit numbers by byte planes (ascending: their differences), which a shuffle's compression then finds short."""
+    x = np.asarray(x).astype("<i4")
+    return np.diff(x, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() if ascending else x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked32(raw: bytes, ascending: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    return np.cumsum(x, dtype=np.int32) if ascending else x

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.llm.common import mix, pieces, stored, utf8
+from tidebook.llm.common import mix, packed32, pieces, stored, unpacked32, utf8
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # suffixes of a string that have a whole gram in it
@@ -100,7 +100,7 @@ def _split(part: np.ndarray, order_by=None):
 
 
 def _row(part, kind, h, row, at, n=b"", context=b"", ids=b"", firsts=b""):
-    return (part, kind, h.tobytes() if len(h) else b"", row.astype("<i4").tobytes(), at.astype("<i4").tobytes(), n, context, ids, firsts)
+    return (part, kind, h.tobytes() if len(h) else b"", packed32(row, True), packed32(at), n, context, ids, firsts)
 
 
 def _batch(rows):
@@ -156,9 +156,9 @@ def open_suffixes(texts: DataFrame, parts: int) -> DataFrame:
     def answer(key, t):
         h, ident, at, sure = [], [], [], []
         for kind, x, row, place, ids in zip(*(t.column(k).to_pylist() for k in ("kind", "h", "row", "at", "ids"))):
-            own = np.frombuffer(ids, "<i8")[np.frombuffer(row, "<i4")]
+            own = np.frombuffer(ids, "<i8")[unpacked32(row, True)]
             ident.append(own)
-            at.append(np.frombuffer(place, "<i4"))
+            at.append(unpacked32(place))
             h.append(np.frombuffer(x, "<u8") if kind == 0 else np.zeros(len(own), np.uint64))
             sure.append(np.full(len(own), kind == 1))
         h, ident, at, sure = map(np.concatenate, (h, ident, at, sure))
@@ -209,17 +209,17 @@ def repeats(texts: DataFrame, parts: int) -> DataFrame:
                 for p, k in _split(part):
                     k = np.sort(chosen[k])
                     own, index = np.unique(row[k], return_inverse=True)
-                    out.append(_row(p, kind, (), index, place[k], count[k].astype("<i4").tobytes(), b"".join(contexts[i] for i in k) if kind == 0 else b"", ids[own].tobytes(), firsts[own].tobytes()))
+                    out.append(_row(p, kind, (), index, place[k], packed32(count[k]), b"".join(contexts[i] for i in k) if kind == 0 else b"", ids[own].tobytes(), firsts[own].tobytes()))
             yield _batch(out)
 
     def answer(key, t):
         ident, first, place, count, sure, context = [], [], [], [], [], []
         for kind, row, at, n, raw, ids, firsts in zip(*(t.column(k).to_pylist() for k in ("kind", "row", "at", "n", "context", "ids", "firsts"))):
-            row = np.frombuffer(row, "<i4")
+            row = unpacked32(row, True)
             ident.append(np.frombuffer(ids, "<i8")[row])
             first.append(np.frombuffer(firsts, "<i8")[row])
-            place.append(np.frombuffer(at, "<i4"))
-            count.append(np.frombuffer(n, "<i4"))
+            place.append(unpacked32(at))
+            count.append(unpacked32(n))
             sure.append(np.full(len(row), kind == 1))
             context.append(raw)
         ident, first, place, count, sure = map(np.concatenate, (ident, first, place, count, sure))
