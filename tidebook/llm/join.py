@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import mix, pieces, shingle_sets, stored, utf8
+from tidebook.llm.common import mix, packed32, pieces, shingle_sets, stored, unpacked32, utf8
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 WORDS_OF_SKETCH = 8
-TOKENS_IN_RANGE, LEAST_RANGES = 1_000_000, 64
+TOKENS_IN_RANGE, LEAST_RANGES, PIVOT_PASSES = 1_000_000, 64, 2
 SUMMARY = "doc_id long, h long, n long, node long, prefix array<long>, sketch array<long>, wide binary"
 
 
@@ -181,13 +181,26 @@ def index_lists(rows: DataFrame) -> DataFrame:
             out = []
             for p in np.unique(part[keep]):
                 k = keep[part[keep] == p]
-                out.append((p, token[k].tobytes(), node[row[first[k]]].tobytes(), node[row[k]].tobytes(), n[row[k]].astype("<i4").tobytes(), at[k].astype("<i4").tobytes(), (shared[k].astype(np.uint8) + 2 * sent[k]).astype(np.uint8).tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=["part", "token", "pivot", "node", "n", "at", "flag"])
+                own = np.unique(np.concatenate([row[k], row[first[k]]]))
+                order_k = np.argsort(row[k], kind="stable")
+                k = k[order_k]
+                pivot = np.where(shared[k] & ~sent[k], np.searchsorted(own, row[first[k]]), -1)
+                flag = (shared[k].astype(np.uint8) + 2 * sent[k]).astype(np.uint8)
+                out.append((p, token[k].tobytes(), packed32(pivot), packed32(np.searchsorted(own, row[k]), True), packed32(at[k]), flag.tobytes(), node[own].tobytes(), packed32(n[own])))
+            kinds = (pa.int32(), *[pa.binary()] * 7)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["part", "token", "pivot", "row", "at", "flag", "nodes", "sizes"])
 
     def answer(key, t):
-        whole = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-        token, pivot, node, n, at, flag = whole("token", "<i8"), whole("pivot", "<i8").copy(), whole("node", "<i8"), whole("n", "<i4"), whole("at", "<i4"), whole("flag", "u1")
+        token, pivot, node, n, at, flag = [], [], [], [], [], []
+        for x, p, r, a, f, own, sizes in zip(*(t.column(c).to_pylist() for c in ("token", "pivot", "row", "at", "flag", "nodes", "sizes"))):
+            own, r, p = np.frombuffer(own, "<i8"), unpacked32(r, True), unpacked32(p)
+            token.append(np.frombuffer(x, "<i8"))
+            node.append(own[r])
+            pivot.append(np.where(p >= 0, own[p], own[r]))
+            n.append(unpacked32(sizes)[r])
+            at.append(unpacked32(a))
+            flag.append(np.frombuffer(f, "u1"))
+        token, pivot, node, n, at, flag = map(np.concatenate, (token, pivot, node, n, at, flag))
         keep = (flag & 1) == 1
         asked = np.flatnonzero(flag & 2)
         order = asked[np.lexsort((node[asked], token[asked]))]
@@ -199,7 +212,7 @@ def index_lists(rows: DataFrame) -> DataFrame:
         k = np.flatnonzero(keep)
         return pa.table({"token": token[k], "pivot": pivot[k], "node": node[k], "n": n[k].astype(np.int64), "at": at[k].astype(np.int64)})
 
-    blobs = rows.mapInArrow(ask, "part int, token binary, pivot binary, node binary, n binary, at binary, flag binary")
+    blobs = rows.mapInArrow(ask, "part int, token binary, pivot binary, row binary, at binary, flag binary, nodes binary, sizes binary")
     return blobs.groupBy("part").applyInArrow(answer, "token long, pivot long, node long, n long, at long")
 
 
@@ -211,33 +224,36 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = stored(nodes, "join-nodes")
     lists = stored(index_lists(rows.filter("n > 0 and doc_id is not null").select("node", "n", "prefix")).distinct(), "join-lists")
 
-    # round 1: against the pivots
-    half = lists.select(F.col("pivot").alias("x"), F.col("node").alias("y")).filter("x <> y").distinct()
+    # round 1: against the pivots; then, in the lists that have several classes, against others, drawn by a hash
     info = nodes.select("node", "n", "sketch")
-    half = half.join(info.toDF("x", "nx", "sx"), "x").join(info.toDF("y", "ny", "sy"), "y").filter(_possible("nx", "ny", "sx", "sy")).select("x", "y")
-    first = compared(half, docs, nodes)
-
-    # round 2: what the classes leave open
+    done = lists.select(F.col("pivot").alias("x"), F.col("node").alias("y")).filter("x <> y").distinct()
+    done = done.join(info.toDF("x", "nx", "sx"), "x").join(info.toDF("y", "ny", "sy"), "y").filter(_possible("nx", "ny", "sx", "sy")).select("x", "y")
+    first = compared(done, docs, nodes)
+    for again in range(PIVOT_PASSES):
+        roots = components(first)
+        known = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = known.groupBy("token").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(again), "node")).alias("head"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+        more = known.join(heads, "token").filter(F.col("root") != F.col("head.root")).select(F.least("node", F.col("head.node")).alias("x"), F.greatest("node", F.col("head.node")).alias("y")).distinct()
+        more = more.join(info.toDF("x", "nx", "sx"), "x").join(info.toDF("y", "ny", "sy"), "y").filter(_possible("nx", "ny", "sx", "sy")).select("x", "y")
+        first = stored(first.union(compared(more, docs, nodes)), "join-links")
+
+    # round 2: what the classes leave open. What a posting needs is joined by node, then all of it is dealt out by token, once
     roots = components(first)
-    known = lists.select("token", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_lists = known.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    known = known.join(open_lists, "token", "left_semi").withColumn("block", size_class(F.col("n")))
-    known = stored(known, "join-open")
-    blocks = known.groupBy("token", "block").agg(F.min("n").alias("least_n"), F.min("at").alias("least_at"), F.min("root").alias("low"), F.max("root").alias("high"))
-    probe = known.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    room = F.least(F.col("n") - F.col("at"), F.lit(2**62))
-    skip = (F.col("low") == F.col("high")) & (F.col("low") == F.col("root"))
-    reach = (DENOMINATOR + NUMERATOR) * room >= NUMERATOR * (F.col("n") + F.greatest(F.col("least_n"), F.col("n")))
-    probe = probe.join(blocks, ["token", "block"]).filter(~skip & reach).select("token", "block", "node", "n", "at", "root")
-    probe = probe.join(info.select("node", "sketch"), "node")
-    index = known.join(info.select("node", "sketch"), "node")
-    a, b = probe.alias("a"), index.alias("b")
+    known = lists.select("token", "node", "n", "at").join(info.select("node", "sketch"), "node").join(roots, "node", "left")
+    known = known.withColumn("root", F.coalesce("root", "node")).withColumn("block", size_class(F.col("n")))
+    open_lists = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
+    known = known.join(open_lists, "token", "left_semi")
+    blocks = known.groupBy("token", "block").agg(F.min("n").alias("least_n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = blocks.groupBy("token").agg(F.collect_list(F.struct("block", "least_n", "low", "high")).alias("blocks"))  # a block for each quarter more of size
+    reach = lambda x: (DENOMINATOR + NUMERATOR) * (F.col("n") - F.col("at")) >= NUMERATOR * (F.col("n") + F.greatest(x["least_n"], F.col("n")))
+    alone = lambda x: (x["low"] == x["high"]) & (x["low"] == F.col("root"))
+    probe = known.join(blocks, "token").withColumn("into", F.transform(F.filter("blocks", lambda x: x["block"].between(F.col("block"), F.col("block") + 1) & reach(x) & ~alone(x)), lambda x: x["block"])).filter(F.size("into") > 0).drop("blocks")
+    a, b = probe.alias("a"), known.alias("b")
     ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     overlap = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     bound = (DENOMINATOR + NUMERATOR) * overlap >= NUMERATOR * (F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") == F.col("b.block")) & ordered & (F.col("a.root") != F.col("b.root")) & bound & _possible("a.n", "b.n", "a.sketch", "b.sketch"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.array_position(F.col("a.into"), F.col("b.block")) > 0) & ordered & (F.col("a.root") != F.col("b.root")) & bound & _possible("a.n", "b.n", "a.sketch", "b.sketch"))
     pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-    pairs = pairs.join(half, ["x", "y"], "left_anti")
     second = compared(pairs, docs, nodes)
     return rows.select("doc_id", "h", "n", "node"), nodes, first.union(second)
 
