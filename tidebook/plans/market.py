@@ -44,10 +44,10 @@ class Book:
         return windows.labelled(self.windows(lag1))
 
     def reached(self) -> DataFrame:
-        return queue.reached(queue.placements(self.inside, EVERY), queue.events(self.mods, self.states, self.tape), self.tape, LIFE_NS)
+        return self._kept("reached", lambda: queue.reached(queue.placements(self.inside, EVERY), queue.events(self.mods, self.states, self.tape), self.tape, LIFE_NS))
 
     def fills(self, rule4: bool = False, models: list[str] | None = None) -> DataFrame:
-        return queue.fills(self.reached(), rule4, models=models or SQL_MODELS)
+        return self._kept("fills", lambda: queue.fills(self.reached(), rule4, models=models or SQL_MODELS))
 
 
 QUERIES: dict = {}
@@ -159,10 +159,6 @@ _TTF = f"ttf AS (SELECT model, bucket, count(*) AS n, [{', '.join(repr(e) + '::D
 query("time_to_fill_histogram", _book("SELECT model, bucket, n, low_ns FROM ttf", *_QUEUE, _TTF))(lambda b: queue.time_to_fill(b.fills()))
 query("median_time_to_fill", _book(S.median("ttf", "model", _FILL, True), *_QUEUE, _TTF))(lambda b: micro.median_of_histogram(queue.time_to_fill(b.fills()), "model", *micro.FILL_TIMES, True).select("model", F.round("median", 3).alias("median")))
 query("cancel_attribution")(lambda b: queue.cancel_attribution(b.reached()))
-_VAL = f"""vl0 AS (SELECT fl.*, h, (SELECT min(t.seq) FROM tape t WHERE t.mtype IN {S.TICKS} AND t.ts_ns >= fl.fill_ts + h * 1000000000) AS tick_seq FROM fl, (VALUES (1), (10), (60)) v(h) WHERE fill_seq IS NOT NULL),
-vl AS (SELECT v.seq, v.model, v.h, v.depth, v.spread, CASE v.side WHEN 'B' THEN (i.bid + i.ask) / 2.0::DOUBLE - v.price ELSE v.price - (i.bid + i.ask) / 2.0::DOUBLE END AS value FROM vl0 v ASOF JOIN ins i ON i.locate = v.locate AND i.seq <= v.tick_seq WHERE v.tick_seq IS NOT NULL AND i.bid IS NOT NULL AND i.ask IS NOT NULL)"""
-query("value_at_horizon", _book("SELECT model, h, count(*) AS valued, round(avg(value), 6) AS value, round(avg(CASE WHEN spread > 0 THEN value / (spread / 2.0::DOUBLE) ELSE 0 END), 6) AS value_hs FROM vl GROUP BY ALL", *_QUEUE, _VAL))(lambda b: queue.values(b.fills(), b.inside, b.tape).groupBy("model", "h").agg(F.count(F.lit(1)).alias("valued"), F.round(F.avg("value"), 6).alias("value"), F.round(F.avg("value_hs"), 6).alias("value_hs")))
-
 # --- strategy -------------------------------------------------------------------------
 
 _PNL = """qt AS (SELECT close_seq AS seq, locate, lead_seq AS exit_seq, lead_mid AS exit_mid, CASE WHEN queue_imbalance > 0 THEN 'B' ELSE 'S' END AS side, CASE WHEN queue_imbalance > 0 THEN bid ELSE ask END AS price, spread FROM (SELECT *, lead(close_seq) OVER w AS lead_seq, lead(mid) OVER w AS lead_mid FROM win WINDOW w AS (PARTITION BY locate ORDER BY wid)) WHERE usable AND queue_imbalance <> 0),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidebook.plans import market
+from tidebook.plans import inference, market
 
 FLAGSHIP = "inside_after_every_message"
-QUERIES: dict = dict(market.QUERIES)
-SQL: dict[str, str] = dict(market.SQL)
+QUERIES: dict = market.QUERIES | inference.QUERIES
+SQL: dict[str, str] = market.SQL | inference.SQL
