@@ -19,28 +19,28 @@ from tidebook.llm.repeats import removed
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": F.xxhash64("text")})
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the quality rules reject goes."""
-    verdict = judged(docs.select("doc_id", "text", "lang")).filter("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), "_h").distinct()
-    return _keyed(docs).join(verdict, ["_id", "_h"], "left_semi").select(*docs.columns)
+    verdict = judged(docs.select("doc_id", "text", "lang")).filter("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), F.col("_h").alias("__h")).distinct()
+    return _keyed(docs).join(verdict, ["__id", "__h"], "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of the n-gram join, the document with the smallest id stays."""
-    stay = classes(docs).filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("h").alias("_h")).distinct()
-    rows = _keyed(docs).join(stay, ["_id", "_h"], "left_semi")
-    once = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))).filter((F.greatest("_row", F.lit(1)) == 1) | F.col("doc_id").isNull())
+    stay = classes(docs).filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("h").alias("__h")).distinct()
+    rows = _keyed(docs).join(stay, ["__id", "__h"], "left_semi")
+    once = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__id"))).filter((F.greatest("__row", F.lit(1)) == 1) | F.col("doc_id").isNull())
     return once.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a passage of 50 bytes or more that an earlier document has goes."""
-    cut = removed(docs, with_text=True).filter("kept is not null").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "_h", F.col("kept").alias("_kept")).dropDuplicates(["_id", "_h"])
-    rows = _keyed(docs).join(cut, ["_id", "_h"], "left").withColumn("text", F.coalesce("_kept", "text"))
-    return rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    cut = removed(docs, with_text=True).filter("kept is not null").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("_h").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__h"])
+    rows = _keyed(docs).join(cut, ["__id", "__h"], "left").withColumn("text", F.coalesce("__kept", "text"))
+    return rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,11 +169,11 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mixture as documents: each piece that a slot takes is a row of docs' columns, with that piece as its text (whole words, with the white space between them)."""
     sizes, taken, _ = mixture(docs, **kw)
     names = docs.columns
-    pieces = taken.join(sizes.select("key", F.col("doc_id").alias("_id"), "_h"), "key")
-    per_doc = pieces.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "start", "length"))).alias("_taken"))  # a document's own pieces: its size / block_words * 3 at most
+    pieces = taken.join(sizes.select("key", F.col("doc_id").alias("__mix_id"), F.col("_h").alias("__mix_h")), "key")
+    per_doc = pieces.groupBy("__mix_id", "__mix_h").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "start", "length"))).alias("__mix_taken"))  # a document's own pieces: its size / block_words * 3 at most
     # rows that repeat an id with its text share their pieces: the first of them is cut
-    first = docs.withColumn("_t", F.xxhash64("text")).withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("doc_id"))).filter("_row = 1")
-    joined = first.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))).select(*names, "_taken")
+    first = docs.withColumn("__mix_t", F.xxhash64("text")).withColumn("__mix_row", F.row_number().over(Window.partitionBy("doc_id", "__mix_t").orderBy("doc_id"))).filter("__mix_row = 1")
+    joined = first.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_t") == F.col("__mix_h"))).select(*names, "__mix_taken")
     out = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("text", T.StringType())])
 
     def cut(batches):
@@ -182,7 +182,7 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
         word = re.compile(WORD)
         for batch in batches:
             rows, texts = [], []
-            for i, (text, taken) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_taken").to_pylist())):
+            for i, (text, taken) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__mix_taken").to_pylist())):
                 spans = [m.span() for m in word.finditer(text or "")]
                 for t in taken:
                     rows.append(i)
