@@ -3,7 +3,8 @@
 Each document becomes its token ids and an end id. A longer document than a sequence is cut into pieces of the full length, but for a shorter first one. Full
 pieces fill a sequence each. The others (one for each document at most) are dealt by a hash of doc_id to groups of about GROUP documents, and each group is packed by itself:
 a piece goes where the sum over all gaps of (open sequences with that gap)**2 becomes smallest, and no sequence is opened above the
-group's lower bound while the piece fits into an open one. The larger 70 % come in a pseudorandom order, the smaller ones, largest first, after them.
+group's lower bound while the piece fits into an open one. The larger part comes in a pseudorandom order, the smaller pieces, largest first, after it; of
+a few such parts (LARGE_SHARES) the one that needs the fewest sequences counts.
 
 A null text counts as empty: its only id is the end id. Ties go to the smallest gap. Rows that repeat are packed once each. An empty table gives
 no sequences. Columns other than doc_id and text are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.tokens import default_path, encoding
 
-LENGTH, END_ID, GROUP, LARGE_SHARE = 2048, 0, 20_000, 0.7
+LENGTH, END_ID, GROUP, LARGE_SHARES = 2048, 0, 20_000, (0.7, 0.3, 0.0)
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
@@ -86,10 +87,13 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
         part = np.flatnonzero(sizes < length)
         own = sizes[part]
         down = np.argsort(-own, kind="stable")
-        large = int(len(own) * LARGE_SHARE)
-        order = np.concatenate([np.random.Generator(np.random.PCG64(len(own))).permutation(down[:large]), down[large:]])
+        tries = []
+        for share in LARGE_SHARES:
+            large = int(len(own) * share)
+            tries.append(pack_sizes(own, np.concatenate([np.random.Generator(np.random.PCG64(len(own))).permutation(down[:large]), down[large:]]), length))
+        best = min(tries, key=lambda t: t[2])
         bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        bins[part], offsets[part], used = pack_sizes(own, order, length)
+        bins[part], offsets[part], used = best
         full = sizes == length
         bins[full] = used + np.arange(full.sum())
         bins += (key[0].as_py() if hasattr(key[0], "as_py") else int(key[0])) << 40
