@@ -6,10 +6,13 @@ both, the near-duplicate stage keeps one. Every stage's operator states how it t
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.llm import common
 from tidebook.llm.common import stored, table
 from tidebook.llm.join import classes
 from tidebook.llm.mixing import mixed_documents
@@ -22,12 +25,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
 
 
+#: Tables that the stages run so far have written for themselves.
+_LEFT: list[str] = []
+
+
+def _stage(f):
+    """A stage begins by deleting what earlier stages wrote for themselves, unless its docs still read it: write a stage's result before running the next."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _LEFT[:] = common.drop_unused(spark, _LEFT, docs)
+        before = len(common.STORED)
+        out = f(spark, docs, sf_dir)
+        _LEFT.extend(common.STORED[before:])
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the quality rules reject goes."""
     verdict = judged(docs.select("doc_id", "text", "lang")).filter("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), F.col("_h").alias("__h")).distinct()
     return _keyed(docs).join(verdict, ["__id", "__h"], "left_semi").select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of the n-gram join, the document with the smallest id stays."""
     stay = classes(docs).filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("h").alias("__h")).distinct()
@@ -36,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.select(*docs.columns)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a passage of 50 bytes or more that an earlier document has goes."""
     cut = removed(docs, with_text=True).filter("kept is not null").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("_h").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__h"])
@@ -43,11 +67,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces that the mixture takes, as documents."""
     return mixed_documents(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece's sequence and place."""
     return packed(docs.select("doc_id", "text")).drop("ids")

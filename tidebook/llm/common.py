@@ -30,11 +30,27 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Where stored() has written, in order.
+STORED: list[str] = []
+
+
+def drop_unused(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
+    """Deletes those stored tables that docs doesn't read; returns the rest."""
+    used = docs.inputFiles()
+    keep = [p for p in paths if any(p.rpartition("/")[2] in u for u in used)]
+    jvm = spark.sparkContext._jvm
+    for p in set(paths) - set(keep):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return keep
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and survives lost executors. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
