@@ -41,7 +41,12 @@ def split(data: bytes, prefixed: bool = True):
 
 def framing(head: bytes, probe: int = 64) -> bool:
     """Whether the session is length-prefixed (also where both forms fit)."""
-    good = lambda prefixed: all(s in ("ok", "end_marker", "truncated") for _, (_, s, _) in zip(range(probe), split(head, prefixed)))
+
+    def good(prefixed: bool) -> bool:
+        seen = [(at, s) for _, (at, s, _) in zip(range(probe), split(head, prefixed))]
+        fits = all(s in ("ok", "end_marker", "truncated") for _, s in seen) and seen[:1] != [] and seen[0][1] == "ok"
+        return fits and (prefixed or all(head[at : at + 2] == bytes(2) for at, _ in seen))
+
     return good(True) or not good(False)
 
 
