@@ -157,6 +157,23 @@ def test_packing(docs):
     assert len(used) <= 1.02 * len(bins) + 1
 
 
+ADDED = ["<|endoftext|>", "one<|endoftext|>two", "a  <|endoftext|>  b\n", "<|endoftext|><|endoftext|>", "<|endoftext|", "x <|ENDOFTEXT|> y", "é" * 30 + "<|endoftext|>" + "w " * 300]
+
+
+def test_packing_added_token(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_path())
+    got: dict = {}
+    for r in packing.packed(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), length=64, with_ids=True).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(ADDED):
+        parts = sorted(got[i], key=lambda r: r.piece)
+        assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in parts]).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert [r.start for r in parts] == [0, *np.cumsum([r.length for r in parts])[:-1]]
+        assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in parts)
+
+
 TRAPS = [r"\### Assistant: </turn> ok", r"\\</turn>", "</turn>", "### User:", "a\\", "<|endoftext|>", "", "é\n\n</turn>\n", "\\" * 5 + "### x:"]
 
 

@@ -6,7 +6,7 @@ a piece goes where the sum over all gaps of (open sequences with that gap)**2 be
 group's lower bound while the piece fits into an open one. The larger part comes in a pseudorandom order, the smaller pieces, largest first, after it; of
 a few such parts (LARGE_SHARES) the one that needs the fewest sequences counts.
 
-A null text counts as empty: its only id is the end id. Ties go to the smallest gap. Rows that repeat are packed once each. An empty table gives
+A null text counts as empty: its only id is the end id. The vocabulary's added tokens in a text have their own ids. Ties go to the smallest gap. Rows that repeat are packed once each. An empty table gives
 no sequences. Columns other than doc_id and text are ignored.
 """
 
@@ -32,11 +32,11 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None =
     path = tokenizer or default_path()
 
     def cut(batches):
-        enc = encoding(path)
+        enc = encoding(path, added=True)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*enc.encode_ordinary(text or ""), END_ID], "<u4")
+                ids = np.array([*enc.encode(text or "", allowed_special="all"), END_ID], "<u4")
                 first = len(ids) % length or min(len(ids), length)
                 edges = [0, *range(first, len(ids) + 1, length)]
                 for k in range(len(edges) - 1):

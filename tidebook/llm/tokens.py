@@ -23,13 +23,14 @@ def _byte_of() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=4)
-def encoding(path: str):
-    """The file's vocabulary as a fast encoder with the same ids. Special tokens' strings in a text are ordinary text."""
+def encoding(path: str, added: bool = False):
+    """The file's vocabulary as a fast encoder with the same ids. Its encode_ordinary takes the added tokens' strings in a text as ordinary text; with added, its
+    encode(text, allowed_special="all") gives them their own ids, as the tokenizers library does."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if added or t.get("special")}
     byte_of = _byte_of()
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
