@@ -127,3 +127,27 @@ def test_query_equals_sql(spark, name):
     rows = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))
     norm = lambda d: d.apply(lambda c: c.astype(float).round(6) if c.dtype.kind in "if" else c)
     assert rows(norm(got)) == rows(norm(want))
+
+
+def test_levels_after_every_message(spark):
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {p.split('/')[-1][:-8]} AS SELECT * FROM '{p}'")
+    got = [tuple(r) for r in registry.QUERIES["level_asof_every_message"](spark, SF).collect()]
+    states = con.sql(registry.SQL["level_depth_running"]).df()
+    tape = registry.QUERIES["inside_after_every_message"](spark, SF).select("seq", "locate").toPandas()
+    con.register("st", states)
+    con.register("tp", tape)
+    want = con.sql("SELECT p.seq, p.locate, s.side, s.price, s.shares, s.orders FROM tp p JOIN st s ON s.locate = p.locate AND s.orders > 0 AND s.seq <= p.seq AND p.seq < s.until").fetchall()
+    assert len({r[0] for r in got}) > len(tape) // 2
+    assert sorted(got) == sorted(want)
+    assert sorted(r for r in got if r[0] % 100 == 0) == sorted(con.sql(registry.SQL["level_asof_lookup"]).fetchall())
+
+
+def test_levels_at_gaps_and_block_edges(spark):
+    messages = [(s, 1) for s in (1, 511, 512, 513, 2000, 2000, 5000)] + [(700, 2)]
+    states = [(1, "B", 10, 1, 5, 1, 512), (1, "B", 10, 512, 0, 0, 2000), (1, "B", 10, 2000, 7, 2, levels.FAR), (1, "S", 11, 513, 3, 1, 514), (2, "S", 9, 9000, 1, 1, levels.FAR)]
+    st = spark.createDataFrame(states, "locate int, side string, price long, seq long, shares long, orders long, until long")
+    want = [(q, loc, s[1], s[2], s[4], s[5]) for q, loc in messages for s in states if s[0] == loc and s[5] > 0 and s[3] <= q < s[6]]
+    assert sorted(map(tuple, levels.at_every(spark.createDataFrame(messages, "seq long, locate int"), st).collect())) == sorted(want)
+    assert levels.at_every(spark.createDataFrame([], "seq long, locate int"), st).count() == 0

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FAR = 2**62
+#: Messages are looked up by blocks of so many sequence numbers.
+BLOCK = 512
 
 
 def level_states(deltas: DataFrame) -> DataFrame:
@@ -63,6 +65,18 @@ def inside(messages: DataFrame, states: DataFrame) -> DataFrame:
     return both.select(*messages.columns, *[F.col(f"{s}.{f}").alias(n) for s, f, n in (("B", "price", "bid"), ("S", "price", "ask"), ("B", "shares", "bid_qty"), ("S", "shares", "ask_qty"), ("B", "orders", "bid_orders"), ("S", "orders", "ask_orders"))])
 
 
+def at_every(messages: DataFrame, states: DataFrame) -> DataFrame:
+    """messages: seq, locate. seq, locate, side, price, shares, orders: the levels with orders after every message. Each state goes to the blocks that it holds in, and meets the
+    symbol's messages of the block there: an equi-join in which no key has more than a block's messages and states."""
+    last = messages.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    block = lambda c: F.floor(c / BLOCK).cast("long")
+    asked = messages.groupBy("locate", block(F.col("seq")).alias("block")).agg(F.collect_list("seq").alias("seqs"))  # BLOCK at most
+    held = states.filter("orders > 0").filter(F.col("seq") <= last).withColumn("to", F.least(F.col("until") - 1, F.lit(last)))
+    held = held.select("locate", "side", "price", "shares", "orders", F.col("seq").alias("from"), "to", F.explode(F.sequence(block(F.col("seq")), block(F.col("to")))).alias("block"))
+    met = held.join(asked, ["locate", "block"]).withColumn("seq", F.explode(F.filter("seqs", lambda x: (x >= F.col("from")) & (x <= F.col("to")))))
+    return met.select("seq", "locate", "side", "price", "shares", "orders")
+
+
 def fifo(eps: DataFrame, at_seq: int | None = None) -> DataFrame:
     """The levels after at_seq (null: at the end): shares, orders and the references in queue order."""
     live = eps.filter(F.col("end_seq").isNull()) if at_seq is None else eps.filter((F.col("start_seq") <= at_seq) & (F.coalesce("end_seq", F.lit(FAR)) > at_seq))

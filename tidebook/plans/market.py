@@ -100,6 +100,7 @@ query("fifo_at_end", S.query("SELECT locate, side, price, string_agg(ref::VARCHA
 query("level_asof_lookup", S.query("SELECT p.seq, p.locate, s.side, s.price, s.shares, s.orders FROM (SELECT seq, locate FROM tape WHERE seq % 100 = 0) p JOIN states s ON s.locate = p.locate AND s.orders > 0 AND s.seq <= p.seq AND p.seq < s.until", S.ORDERS, S.LEVELS))(
     lambda b: b.tape.filter("seq % 100 = 0").select("seq", "locate").alias("p").join(b.states.filter("orders > 0").alias("s"), (F.col("s.locate") == F.col("p.locate")) & (F.col("s.seq") <= F.col("p.seq")) & (F.col("p.seq") < F.col("s.until"))).select("p.seq", "p.locate", "s.side", "s.price", "s.shares", "s.orders")
 )
+query("level_asof_every_message")(lambda b: levels.at_every(b.tape.select("seq", "locate"), b.states))  # the lookup above for every message
 _INS = "seq, locate, ts_ns, mtype, bid, ask, bid_qty, ask_qty, bid_orders, ask_orders"
 query("inside_after_every_message", _book(f"SELECT {_INS} FROM ins"))(lambda b: b.inside)
 query("book_invariants", S.query("SELECT count(*) AS states, count(*) FILTER (orders < 0 OR shares < 0) AS negative, count(*) FILTER (orders = 0 AND shares <> 0) AS empty_with_shares, count(*) FILTER (orders > 0 AND shares = 0) AS orders_without_shares, (SELECT count(*) FROM (SELECT locate, side, price, sum(remaining) AS r, count(*) AS c FROM eps WHERE end_seq IS NULL GROUP BY ALL) x JOIN states s ON s.locate = x.locate AND s.side = x.side AND s.price = x.price AND s.until = 4611686018427387904 WHERE s.shares <> x.r OR s.orders <> x.c) AS levels_off FROM states", S.ORDERS, S.LEVELS))(
