@@ -74,6 +74,36 @@ def test_join(docs):
     assert {i: (r.n, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_join_repeated_ids(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    data = []
+    for k in range(30):  # each id has several texts; one of them is like another id's
+        like = say(60)
+        own = [say(60), say(61), like, say(62), say(40)]
+        rng.shuffle(own)
+        data += [(k, t) for t in own] + [(1000 + k, like + " changed"), (1000 + k, say(60))]
+    data += [(5, data[0][1]), (6, None), (6, "")]
+    sets = [shingles(t) for _, t in data]
+    root = [*range(len(data))]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least: dict = {}
+    for i, (d, _) in enumerate(data):
+        least[find(i)] = min(d, least.get(find(i), d))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = join.classes(d).select("doc_id", "n", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(s), least[find(k)]) for k, ((i, _), s) in enumerate(zip(data, sets)))
+
+
 def test_repeats(docs):
     seen, want = {}, {}
     for i, text, *_ in corpus():

@@ -81,14 +81,14 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, items (sorted): the sets of the documents in wanted (doc_id, node)."""
+    """node, items (sorted): the sets of the documents in wanted (doc_id, h, node). A repeated id's texts are told apart by their hashes."""
 
     def whole(batches):
         for b in batches:
             own = [*_hashed(b)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "items"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").mapInArrow(whole, "node long, items binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).select("node", "text").mapInArrow(whole, "node long, items binary")
 
 
 def enough(a: Column, b: Column, both: Column) -> Column:
@@ -113,7 +113,7 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(wide.toDF("x", "a", "s"), "x").join(wide.toDF("y", "c", "t"), "y")
     pairs = stored(both.select("x", "y", "a", "c", "s", "t").mapInArrow(near, "x long, y long"), "join-pairs")
     used = pairs.select("x").union(pairs.select("y")).distinct().toDF("node")
-    wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
+    wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), "node")
     n = wanted.count()
     sets = stored(sets_of(docs, F.broadcast(wanted) if n <= 1_000_000 else wanted).dropDuplicates(["node"]), "join-sets")
 
@@ -217,10 +217,10 @@ def index_lists(rows: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """documents: doc_id, h, n, node; nodes: node, n, rep (its smallest doc_id), sketch; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
+    """documents: doc_id, h, n, node; nodes: node, n, rep (its smallest doc_id), rep_h (the hash of its text), sketch; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(summaries(docs), "join-summaries")
-    nodes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    nodes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("h", F.struct("doc_id", "h")).alias("rep_h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     nodes = stored(nodes, "join-nodes")
     lists = stored(index_lists(rows.filter("n > 0 and doc_id is not null").select("node", "n", "prefix")).distinct(), "join-lists")
 
