@@ -5,7 +5,7 @@ hash among the first n - ceil(4n/5) + 1 of each, so the index lists, for every h
 
 1. Each list's smallest node is its pivot. Every other node of a list is compared with the pivot: the sets that turn out to be alike form classes.
 2. What is known of a class answers for its members: a list within one class needs no more comparisons. The lists that are left are cut into blocks by the size of the sets;
-   a probing set skips a block if no place in it allows the overlap it takes, by the bounds of sizes and places that are kept for the block, or if
+   a probing set skips a block if its own place doesn't allow the overlap that it takes, by the least size that is kept for the block, or if
    the block has only its own class. Within the blocks that are left, pairs of different classes which pass the same bounds, and whose parity
    sketches (512 bits) differ in no more bits than two such sets can, are compared.
 
