@@ -120,6 +120,45 @@ def test_repeats(docs):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows(repeats.removed(docs)).items()} == want
 
 
+def test_same_strings_by_bytes_where_names_fall_together(monkeypatch):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("ab") for _ in range(70))
+    contexts = [shared[k : k + 55] for k in (0, 5, 9)] + ["".join(rng.choice("ab") for _ in range(rng.randrange(50, 85))) for _ in range(40)]
+    raw = "".join(contexts).encode()
+    size = np.array([len(c) for c in contexts])
+    begin = np.cumsum(size) - size
+    strings = [raw[i + k : i + k + 50] for i, n in zip(begin, size) for k in range(n - 49)]
+    for weak in (False, True):  # a bad hash of 16 bytes puts unlike strings into one bucket
+        if weak:
+            monkeypatch.setattr(repeats, "gram_ids", lambda buf: np.zeros(len(buf) - 15, np.uint64))
+        start, bucket = repeats.same_strings(raw, begin, size - 49)
+        assert [raw[i : i + 50] for i in start] == strings
+        for i, a in enumerate(strings):
+            same = [j for j, b in enumerate(strings) if a == b]
+            assert [j for j, b in enumerate(bucket) if bucket[i] >= 0 and b == bucket[i]] == (same if len(same) > 1 else [])
+
+
+def test_repeats_with_text(spark):
+    p = "größer als alles, was je am Ende der langen Straße geschah, sagte er überall"
+    texts = [p + " one", "zwei " + p, "ü" * 30 + p[7:], "drei " + p[:60] + "é", None, "", "kurz", p + " one", p + " one"]
+    data = [(i, t, f"x{i}", "clash") for i, t in enumerate(texts)] + [(None, p, "n", "clash"), (0, p + " one", "again", "clash"), (1, "ein anderer Text unter derselben Nummer, lang genug: " + p, "other", "clash")]
+    d = spark.createDataFrame(data, "doc_id int, text string, tag string, n_removed_ string")
+    got = {r.tag: r for r in repeats.removed(d, with_text=True).collect()}
+    assert len(got) == len(data)
+    plain = {r.tag: r for r in repeats.removed(d).collect()}
+    for doc, text, tag, clash in data:
+        b = (text or "").encode()
+        earlier = {x[k : k + 50] for i, t, *_ in data if doc is not None and i is not None and i < doc for x in [(t or "").encode()] for k in range(len(x) - 49)}
+        gone = {k + j for k in range(len(b) - 49) if b[k : k + 50] in earlier for j in range(50)}
+        assert (plain[tag].doc_id, plain[tag].n_bytes, plain[tag].n_removed, plain[tag].kept_sha256) == (doc, len(b), len(gone), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone)).hexdigest())
+        at, left = 0, ""
+        for c in text or "":
+            n = len(c.encode())
+            left += "" if gone & set(range(at, at + n)) else c
+            at += n
+        assert (got[tag].text, got[tag].n_removed, got[tag].n_removed_) == (text and left, len(gone), clash)
+
+
 def test_long_texts_are_worked_on_in_parts(monkeypatch):
     rng = np.random.default_rng(0)
     buf = rng.integers(97, 100, 5000).astype(np.uint8)

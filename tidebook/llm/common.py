@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset: one in the warehouse, or, in a single JVM, in the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+        master = spark.sparkContext.master
+        alone = master == "local" or master.startswith("local[")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -49,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and survives lost executors. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     STORED.append(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -175,3 +177,22 @@ def packed32(x: np.ndarray, ascending: bool = False) -> bytes:
 def unpacked32(raw: bytes, ascending: bool = False) -> np.ndarray:
     x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
     return np.cumsum(x, dtype=np.int32) if ascending else x
+
+
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True) if raw else b""
+
+
+def unzipped(raw: bytes) -> bytes:
+    return _ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw else b""
+
+
+def zipped32(x: np.ndarray, ascending: bool = False) -> bytes:
+    return zipped(packed32(x, ascending))
+
+
+def unzipped32(raw: bytes, ascending: bool = False) -> np.ndarray:
+    return unpacked32(unzipped(raw), ascending)

@@ -1,17 +1,19 @@
 """Repeated passages by a sparse suffix array, refined by bucket pointers.
 
-Suffixes start in buckets by their first 16 bytes: a bucket's identifier is 64 bits made from those of shorter strings, id(2q, i) = f(id(q, i), id(q, i + q)) for
-q = 1, 2, 4, 8. Each 50-byte string is filed under one suffix that starts in it, its anchor: the last of those with the least identifier among its 35 suffixes that
-have 16 bytes in it. That choice depends on the string alone, so equal strings are filed under equal suffixes at equal places, and only anchors, about one in 18 suffixes, are sorted.
-
-1. Anchors are dealt out by ranges of bucket identifiers and sorted. A bucket whose suffixes come from one text only is finished. (What a batch of rows can settle by itself isn't
-   sent again for each of its rows: a frequent bucket comes once from each batch.)
-2. The other buckets are refined: to the strings filed under them, by sorting on the identifiers at the later offsets 16, 32 and 34, which are known by then. In each refined
-   bucket, the strings that aren't in the smallest doc_id that it has are repeats; the bytes they cover are removed.
-
-Whole equal texts (by a 64-bit hash: among n texts, a false one has a chance of n**2 / 2**65) are one text: its first document stands for it, and the others, from 50 bytes on, are removed altogether. Null counts as empty; texts under 50 bytes lose nothing. Rows with a null
-doc_id are neither before nor after another: they keep everything. Rows with equal ids aren't before each other. An empty table gives no rows. Columns other than doc_id and text are
-ignored. Texts of any length are worked on in parts of SEGMENT bytes that overlap by 49.
+Suffixes start in buckets by their first 16 bytes: a bucket's name is 64 bits made from those of shorter strings, id(2q, i) = f(id(q, i), id(q, i + q)) for
+q = 1, 2, 4, 8. Each 50-byte string is filed under one suffix that starts in it, its anchor: the last of those with the least name among its 35 suffixes that
+have 16 bytes in it. That choice depends on the string alone, so equal strings are filed under equal suffixes at equal places, and only anchors, about one in 18 suffixes, travel.
+
+1. Anchors are dealt out by ranges of bucket names and sorted. A bucket whose suffixes come from one text only is finished. (What a batch of rows can settle by itself isn't
+   sent again for each of its rows: a frequent bucket comes once from each batch.) Names travel as 32 bits within their range: two that fall together only keep a bucket open.
+2. The strings filed under the other anchors come together by range, with their bytes. There, each suffix of them points to its bucket of 16 bytes. Buckets are refined in rounds by sorting
+   on the pointers of later offsets: (i, i + 16) gives the buckets of 32 bytes, and those updated pointers, at (i, i + 18), give the buckets of 50. A suffix alone in its bucket is finished and leaves
+   the rounds, with all strings that hold it. Strings that end in one bucket are compared byte by byte. Those that aren't in the smallest doc_id that the bucket has are repeats; the bytes
+   they cover are removed.
+
+Whole equal texts (by 128 bits of their SHA-256) are one text: its first document stands for it, and the others, from 50 bytes on, are removed altogether. Null counts as empty; texts under 50 bytes lose nothing. Rows with a null
+doc_id are neither before nor after another: they keep everything. Rows with equal ids aren't before each other. Rows that repeat get one result each. An empty table gives no rows.
+Columns other than doc_id and text stay as they are; names beginning with __rep_ are the operator's own. Texts of any length are worked on in parts of SEGMENT bytes that overlap by 49.
 """
 
 from __future__ import annotations
@@ -20,26 +22,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.llm.common import mix, packed32, pieces, stored, unpacked32, utf8
+from tidebook.llm.common import mix, pieces, stored, unzipped, unzipped32, utf8, zipped, zipped32
 
 LENGTH, GRAM = 50, 16
+HALF = 2 * GRAM  # what a pointer covers after the first round
 SPAN = LENGTH - GRAM + 1  # suffixes of a string that have a whole gram in it
-SEGMENT, ANCHORS_IN_RANGE, LEAST_RANGES = 1 << 21, 1_000_000, 64
+SEGMENT, ANCHORS_IN_RANGE, LEAST_RANGES, REFINED_BYTES = 1 << 21, 2_000_000, 24, 1 << 22
 _FACTOR = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 4: 0xD6E8FEB86659FD93, 8: 0x9FB21C651E98DF25}
-_LATER = [(0, 0x9E3779B97F4A7C15), (GRAM, 0xBF58476D1CE4E5B9), (2 * GRAM, 0x94D049BB133111EB), (LENGTH - GRAM, 0xD6E8FEB86659FD93)]
+ID = 16  # bytes of a text's name
 
-BLOBS = "part int, kind int, h binary, row binary, at binary, n binary, context binary, ids binary, firsts binary"
-_BLOBS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("h", "row", "at", "n", "context", "ids", "firsts"))])
-FOUND = "id long, at binary, till binary"
-_FOUND = pa.schema([("id", pa.int64()), ("at", pa.binary()), ("till", pa.binary())])
+ASKED = "part int, kind int, h binary, row binary, at binary, n binary, sub binary, context binary, ids binary, firsts binary"
+_ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("h", "row", "at", "n", "sub", "context", "ids", "firsts"))])
 
 
 def gram_ids(buf: np.ndarray) -> np.ndarray:
-    """The bucket identifier of each suffix that has GRAM bytes."""
+    """The bucket name of each suffix that has GRAM bytes."""
     h = buf.astype(np.uint64) + np.uint64(1)
     for q, c in _FACTOR.items():
         h = h[:-q] * np.uint64(c) + h[q:]
@@ -47,7 +48,7 @@ def gram_ids(buf: np.ndarray) -> np.ndarray:
 
 
 def anchored(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts back to back: all identifiers; the starts of all 50-byte strings; and their anchors."""
+    """Of texts back to back: all names; the starts of all 50-byte strings; and their anchors."""
     if len(buf) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_ids(buf)
@@ -74,7 +75,7 @@ def chunks(buf: np.ndarray, at: np.ndarray):
 
 
 def anchor_runs(buf: np.ndarray, at: np.ndarray):
-    """For each chunk: bytes, base, and of each anchor its identifier, row, place, and the first and last start of the strings filed under it (places in the chunk)."""
+    """For each chunk: bytes, base, and of each anchor its name, row, place, and the first and last start of the strings filed under it (places in the chunk)."""
     for part, offsets, rows, base in chunks(buf, at):
         h, start, anchor = anchored(part, offsets)
         if not len(start):
@@ -86,91 +87,151 @@ def anchor_runs(buf: np.ndarray, at: np.ndarray):
         yield part, base - inner, h[anchor[new]], rows[text[new]], anchor[new], start[new], start[last]
 
 
-def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
+def _range(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _split(part: np.ndarray, order_by=None):
+def _any_range(ids: np.ndarray, parts: int) -> int:
+    """Where a batch sends what it has settled by itself."""
+    return int.from_bytes(ids[0].tobytes()[:4], "little") % parts
+
+
+def _split(part: np.ndarray):
     """Places of equal parts: (part, places)."""
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(part) else np.zeros(0, np.int64)
-    for k, e in enumerate(edges):
-        places = order[e : edges[k + 1] if k + 1 < len(edges) else len(order)]
-        yield int(part[places[0]]), places
+    order, edge = _groups(part)
+    for a, b in zip(edge, [*edge[1:], len(order)]):
+        yield int(part[order[a]]), order[a:b]
+
 
+def _ids(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), f"V{ID}")
 
-def _row(part, kind, h, row, at, n=b"", context=b"", ids=b"", firsts=b""):
-    return (part, kind, h.tobytes() if len(h) else b"", packed32(row, True), packed32(at), n, context, ids, firsts)
+
+def _asked(part, kind, ids, row, at, h=b"", n=b"", sub=b"", context=b"", firsts=None):
+    own, index = np.unique(row, return_inverse=True)
+    return (part, kind, h, zipped32(index, True), zipped32(at, True), n, sub, context, ids[own].tobytes(), zipped(b"" if firsts is None else firsts[own].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
 
 
 def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_BLOBS), _BLOBS)], schema=_BLOBS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_ASKED), _ASKED)], schema=_ASKED)
 
 
 def _groups(key: np.ndarray):
-    """Sorted order and the start of each run of equal keys."""
+    """Sorted order (stable) and the start of each run of equal keys."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
-def _mixed(order, edge, value) -> np.ndarray:
-    """For each item, whether its group has two values."""
-    if not len(order):
-        return np.zeros(0, bool)
-    v = value[order]
-    two = np.minimum.reduceat(v, edge) != np.maximum.reduceat(v, edge)
-    out = np.zeros(len(order), bool)
-    out[order] = np.repeat(two, np.diff(np.concatenate([edge, [len(order)]])))
-    return out
+def _mixed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item, whether its key has two values; and an item of each key."""
+    order = np.argsort(key)
+    k, v = key[order], value[order]
+    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    out = np.zeros(len(key), bool)
+    if len(edge):
+        two = np.minimum.reduceat(v, edge) != np.maximum.reduceat(v, edge)
+        out[order] = np.repeat(two, np.diff(np.concatenate([edge, [len(k)]])))
+    return out, order[edge]
 
 
 def open_suffixes(texts: DataFrame, parts: int) -> DataFrame:
-    """texts: id, text. id, at: the places of each text's anchors whose buckets have other texts too (several rows for a text)."""
+    """texts: id, text, each text once. id, at: the places of each text's anchors whose buckets have other texts too (several rows for a text)."""
 
     def ask(batches):
         for b in batches:
             buf, at = utf8(b.column("text"))
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            hs, rows, places = [], [], []
-            for _, base, h, row, anchor, _, _ in anchor_runs(buf, at):
-                hs.append(h)
-                rows.append(row)
-                places.append(anchor + base)
-            if not hs:
+            ids = _ids(b.column("id"))
+            runs = [(h, row, anchor + base) for _, base, h, row, anchor, _, _ in anchor_runs(buf, at)]
+            if not runs:
                 continue
-            h, row, place = map(np.concatenate, (hs, rows, places))
-            order, edge = _groups(h)
-            sure = _mixed(order, edge, ids[row])
+            h, row, place = (np.concatenate([r[k] for r in runs]) for k in range(3))
+            sure, one = _mixed(h, row)
             sent = ~sure
-            sent[order[edge]] = True  # one of each bucket that is settled here, for the others
-            out = []
-            for kind, chosen in ((0, np.flatnonzero(sent)), (1, np.flatnonzero(sure))):
-                part = _ranges(h[chosen], parts) if kind == 0 else np.abs(ids[row[chosen]]) % parts
-                for p, k in _split(part):
-                    k = np.sort(chosen[k])
-                    own, index = np.unique(row[k], return_inverse=True)
-                    out.append(_row(p, kind, h[k] if kind == 0 else (), index, place[k], ids=ids[own].tobytes()))
+            sent[one] = True  # one of each bucket that is settled here, for the others
+            k = np.flatnonzero(sure)
+            out = [_asked(_any_range(ids, parts), 1, ids, row[k], place[k])] if len(k) else []
+            chosen = np.flatnonzero(sent)
+            for p, k in _split(_range(h[chosen], parts)):
+                k = chosen[k]
+                out.append(_asked(p, 0, ids, row[k], place[k], h=h[k].astype("<u4").tobytes()))
             yield _batch(out)
 
     def answer(key, t):
-        h, ident, at, sure = [], [], [], []
+        kinds, own, h, ident, at, sure = [], [], [], [], [], []
         for kind, x, row, place, ids in zip(*(t.column(k).to_pylist() for k in ("kind", "h", "row", "at", "ids"))):
-            own = np.frombuffer(ids, "<i8")[unpacked32(row, True)]
-            ident.append(own)
-            at.append(unpacked32(place))
-            h.append(np.frombuffer(x, "<u8") if kind == 0 else np.zeros(len(own), np.uint64))
-            sure.append(np.full(len(own), kind == 1))
-        h, ident, at, sure = map(np.concatenate, (h, ident, at, sure))
-        asked = np.flatnonzero(~sure)
-        order, edge = _groups(h[asked])
-        keep = sure
-        keep[asked] = _mixed(order, edge, ident[asked])
+            row = unzipped32(row, True).astype(np.int64)
+            ident.append(row + (len(own) << 32))  # each text comes from one batch, so other blobs' rows are other texts
+            own.append(np.frombuffer(ids, f"V{ID}"))
+            at.append(unzipped32(place, True))
+            h.append(np.frombuffer(x, "<u4") if kind == 0 else np.zeros(len(row), np.uint32))
+            sure.append(np.full(len(row), kind == 1))
+        h, ident, at, keep = map(np.concatenate, (h, ident, at, sure))
+        asked = np.flatnonzero(~keep)
+        keep[asked] = _mixed(h[asked], ident[asked])[0]
         keep = np.flatnonzero(keep)
-        out = [(i, at[keep[k]].tobytes()) for i, k in _split(ident[keep])]
-        return pa.table({"id": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([x[1] for x in out], pa.binary())})
+        out = [(own[i >> 32][i & 0xFFFFFFFF].tobytes(), at[keep[k]].astype("<i4").tobytes()) for i, k in _split(ident[keep])]
+        return pa.table({"id": pa.array([x[0] for x in out], pa.binary()), "at": pa.array([x[1] for x in out], pa.binary())})
+
+    return texts.select("id", "text").mapInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, "id binary, at binary")
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Bucket pointers: the number of each key's bucket, -1 where it is alone in it."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    edge = np.flatnonzero(new)
+    size = np.diff(np.concatenate([edge, [len(k)]]))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.where(np.repeat(size, size) > 1, np.cumsum(new) - 1, -1)
+    return out
+
+
+def _runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def _refine(pointer: np.ndarray, at: np.ndarray, later: int) -> np.ndarray:
+    """Sorts the suffixes at `at` on the pointers of themselves and of the suffixes `later` bytes on; a finished one finishes those that hold it. Their new pointers."""
+    a, b = pointer[at], pointer[at + later]
+    rest = np.flatnonzero((a >= 0) & (b >= 0))
+    out = np.full(len(at), -1, np.int64)
+    if len(rest):
+        out[rest] = _ranked(a[rest] * np.int64(len(pointer)) + b[rest])
+    return out
+
 
-    return texts.select("id", "text").mapInArrow(ask, BLOBS).groupBy("part").applyInArrow(answer, "id long, at binary")
+def same_strings(raw: bytes, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts back to back, each with `count` strings of LENGTH bytes from `begin` on: all starts, and for each the number of the bucket of its string, -1 where no other start has that string."""
+    buf = np.frombuffer(raw, np.uint8)
+    pointer = np.full(len(buf), -1, np.int64)
+    at = _runs(begin, count + LENGTH - GRAM)
+    pointer[at] = _ranked(gram_ids(buf)[at])
+    at = _runs(begin, count + LENGTH - HALF)
+    refined = _refine(pointer, at, GRAM)
+    pointer[:] = -1
+    pointer[at] = refined
+    start = _runs(begin, count)
+    bucket = _refine(pointer, start, LENGTH - HALF)
+    # names are 64 bits of a hash: what fell together is compared by its bytes
+    rest = np.flatnonzero(bucket >= 0)
+    if len(rest):
+        word = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+        order = rest[np.argsort(bucket[rest], kind="stable")]
+        alike = bucket[order[1:]] == bucket[order[:-1]]
+        a, b = start[order[:-1][alike]], start[order[1:][alike]]
+        differ = np.zeros(len(a), bool)
+        for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+            differ |= word[a + k] != word[b + k]
+        if differ.any():
+            wrong = rest[np.isin(bucket[rest], bucket[order[1:][alike][differ]])]
+            strings: dict[bytes, list[int]] = {}
+            for i in wrong.tolist():
+                strings.setdefault(raw[start[i] : start[i] + LENGTH], []).append(i)
+            for k, own in enumerate(strings.values()):
+                bucket[own] = len(buf) + k if len(own) > 1 else -1
+    return start, bucket
 
 
 def repeats(texts: DataFrame, parts: int) -> DataFrame:
@@ -179,10 +240,10 @@ def repeats(texts: DataFrame, parts: int) -> DataFrame:
     def ask(batches):
         for b in batches:
             buf, at = utf8(b.column("text"))
-            ids, firsts = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "first"))
+            ids, firsts = _ids(b.column("id")), b.column("first").to_numpy(zero_copy_only=False)
             opened = [np.unique(np.frombuffer(b"".join(x), "<i4")).astype(np.int64) + (np.int64(k) << 32) for k, x in enumerate(b.column("places").to_pylist())]
             opened = np.concatenate([*opened, np.zeros(0, np.int64)])
-            hs, rows, places, counts, contexts = [], [], [], [], []
+            runs, contexts = [], []
             for part, base, h, row, anchor, lo, hi in anchor_runs(buf, at):
                 key = (row.astype(np.int64) << 32) + anchor + base
                 k = np.searchsorted(opened, key)
@@ -190,67 +251,81 @@ def repeats(texts: DataFrame, parts: int) -> DataFrame:
                 chosen = np.flatnonzero(opened[k] == key) if len(opened) else np.zeros(0, np.int64)
                 raw = part.tobytes()
                 contexts += [raw[i : j + LENGTH] for i, j in zip(lo[chosen].tolist(), hi[chosen].tolist())]
-                hs.append(h[chosen])
-                rows.append(row[chosen])
-                places.append((lo + base)[chosen])
-                counts.append((hi - lo + 1)[chosen])
+                runs.append((h[chosen], row[chosen], (lo + base)[chosen], (hi - lo + 1)[chosen]))
             if not contexts:
                 continue
-            h, row, place, count = map(np.concatenate, (hs, rows, places, counts))
+            h, row, place, count = (np.concatenate([r[k] for r in runs]) for k in range(4))
             # a context that a smaller doc_id of this batch has too is settled here
             seen: dict[bytes, int] = {}
             sure = np.zeros(len(h), bool)
             for i in np.argsort(firsts[row], kind="stable").tolist():
                 if seen.setdefault(contexts[i], firsts[row[i]]) < firsts[row[i]]:
                     sure[i] = True
-            out = []
-            for kind, chosen in ((0, np.flatnonzero(~sure)), (1, np.flatnonzero(sure))):
-                part = _ranges(h[chosen], parts) if kind == 0 else np.abs(ids[row[chosen]]) % parts
-                for p, k in _split(part):
-                    k = np.sort(chosen[k])
-                    own, index = np.unique(row[k], return_inverse=True)
-                    out.append(_row(p, kind, (), index, place[k], packed32(count[k]), b"".join(contexts[i] for i in k) if kind == 0 else b"", ids[own].tobytes(), firsts[own].tobytes()))
+            seen.clear()
+            k = np.flatnonzero(sure)
+            out = [_asked(_any_range(ids, parts), 1, ids, row[k], place[k], n=zipped(count[k].astype(np.uint8).tobytes()))] if len(k) else []
+            chosen = np.flatnonzero(~sure)
+            for p, k in _split(_range(h[chosen], parts)):
+                k = chosen[k]
+                out.append(_asked(p, 0, ids, row[k], place[k], n=zipped(count[k].astype(np.uint8).tobytes()), sub=(h[k] >> np.uint64(8)).astype(np.uint8).tobytes(), context=zipped(b"".join([contexts[i] for i in k.tolist()])), firsts=firsts))
             yield _batch(out)
 
     def answer(key, t):
-        ident, first, place, count, sure, context = [], [], [], [], [], []
-        for kind, row, at, n, raw, ids, firsts in zip(*(t.column(k).to_pylist() for k in ("kind", "row", "at", "n", "context", "ids", "firsts"))):
-            row = unpacked32(row, True)
-            ident.append(np.frombuffer(ids, "<i8")[row])
-            first.append(np.frombuffer(firsts, "<i8")[row])
-            place.append(unpacked32(at))
-            count.append(unpacked32(n))
+        own, ident, first, place, count, sub, sure, context = [], [], [], [], [], [], [], []
+        for kind, row, at, n, s, raw, ids, firsts in zip(*(t.column(k).to_pylist() for k in ("kind", "row", "at", "n", "sub", "context", "ids", "firsts"))):
+            row = unzipped32(row, True).astype(np.int64)
+            ident.append(row + (len(own) << 32))
+            own.append(np.frombuffer(ids, f"V{ID}"))
+            place.append(unzipped32(at, True).astype(np.int64))
+            count.append(np.frombuffer(unzipped(n), np.uint8).astype(np.int64))
             sure.append(np.full(len(row), kind == 1))
-            context.append(raw)
-        ident, first, place, count, sure = map(np.concatenate, (ident, first, place, count, sure))
+            first.append(np.ascontiguousarray(np.frombuffer(unzipped(firsts), np.uint8).reshape(8, -1).T).view("<i8").ravel()[row] if kind == 0 else np.zeros(len(row), np.int64))
+            sub.append(np.frombuffer(s, np.uint8) if kind == 0 else np.zeros(len(row), np.uint8))
+            context.append(unzipped(raw) if kind == 0 else b"")
+        ident, first, place, count, sub, sure = map(np.concatenate, (ident, first, place, count, sub, sure))
         found = [(ident[sure], place[sure], place[sure] + count[sure] + LENGTH - 1)]
-        asked = ~sure
-        ident, first, place, count = ident[asked], first[asked], place[asked].astype(np.int64), count[asked].astype(np.int64)
-        if len(ident):
-            buf = np.frombuffer(b"".join(context), np.uint8)
-            ids = gram_ids(buf)
-            begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
-            entry = np.repeat(np.arange(len(count)), count)
-            step = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-            at = begin[entry] + step
-            refined = np.zeros(len(at), np.uint64)
-            for later, c in _LATER:  # identifiers at later offsets
-                refined += ids[at + later] * np.uint64(c)
-            order, edge = _groups(refined)
-            least = np.empty(len(order), np.int64)
-            own = first[entry]
-            least[order] = np.repeat(np.minimum.reduceat(own[order], edge), np.diff(np.concatenate([edge, [len(order)]])))
-            again = np.flatnonzero(own > least)
+        asked = np.flatnonzero(~sure)
+        whole = b"".join(context)
+        del context
+        till = np.cumsum(count[asked] + LENGTH - 1)
+        since = till - (count[asked] + LENGTH - 1)
+        shares = min(256, 1 + len(whole) // REFINED_BYTES)
+        share = (sub[asked].astype(np.int64) * shares) >> 8
+        for s in range(shares):  # equal strings have equal anchors, and so one share
+            mine = np.flatnonzero(share == s)
+            if not len(mine):
+                continue
+            # equal contexts are one, of the smallest doc_id that has it
+            names: dict[bytes, int] = {}
+            no = np.fromiter((names.setdefault(whole[i:j], len(names)) for i, j in zip(since[mine].tolist(), till[mine].tolist())), np.int64, len(mine))
+            e = asked[mine]
+            lowest = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, no, first[e])
+            size = np.fromiter(map(len, names), np.int64, len(names))
+            begin, n = np.cumsum(size) - size, size - (LENGTH - 1)
+            _, bucket = same_strings(b"".join(names), begin, n)
+            names.clear()
+            least = np.repeat(lowest, n)  # of each start, the smallest doc_id that has its string
+            rest = np.flatnonzero(bucket >= 0)
+            if len(rest):
+                order, edge = _groups(bucket[rest])
+                least[rest[order]] = np.repeat(np.minimum.reduceat(least[rest[order]], edge), np.diff(np.concatenate([edge, [len(order)]])))
+            entry = np.repeat(np.arange(len(e)), n[no])
+            step = np.arange(len(entry)) - np.repeat(np.cumsum(n[no]) - n[no], n[no])
+            again = np.flatnonzero(first[e][entry] > least[(np.cumsum(n) - n)[no][entry] + step])
             if len(again):
-                start = place[entry[again]] + step[again]
-                new = np.flatnonzero(np.concatenate([[True], (entry[again][1:] != entry[again][:-1]) | (start[1:] != start[:-1] + 1)]))
+                entry, at = e[entry[again]], step[again]
+                new = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (at[1:] != at[:-1] + 1)]))
                 last = np.concatenate([new[1:], [len(again)]]) - 1
-                found.append((ident[entry[again[new]]], start[new], start[last] + LENGTH))
+                found.append((ident[entry[new]], place[entry[new]] + at[new], place[entry[new]] + at[last] + LENGTH))
         ident, at, till = (np.concatenate([f[k] for f in found]) for k in range(3))
-        out = [(i, at[k].astype("<i4").tobytes(), till[k].astype("<i4").tobytes()) for i, k in _split(ident)]
-        return pa.table([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
+        out = []
+        for i, k in _split(ident):
+            a, z = merged(at[k], till[k])
+            out.append((own[i >> 32][i & 0xFFFFFFFF].tobytes(), a.astype("<i4").tobytes(), z.astype("<i4").tobytes()))
+        return pa.table({n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("id", "at", "till"))})
 
-    return texts.mapInArrow(ask, BLOBS).groupBy("part").applyInArrow(answer, FOUND)
+    return texts.select("id", "first", "text", "places").mapInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, "id binary, at binary, till binary")
 
 
 def merged(at: np.ndarray, till: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,50 +336,70 @@ def merged(at: np.ndarray, till: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[new], till[np.concatenate([new[1:], [len(at)]])[: len(new)] - 1]
 
 
+def maximal(found: DataFrame) -> DataFrame:
+    """id, cut: the maximal removed runs of each text."""
+
+    def join(batches):
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("till", pa.int32())]))
+        for b in batches:
+            out = []
+            for runs in b.column("runs").to_pylist():
+                at, till = merged(*(np.frombuffer(b"".join(r[k] for r in runs), "<i4") for k in ("at", "till")))
+                out.append([{"at": a, "till": z} for a, z in zip(at.tolist(), till.tolist())])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], names=["id", "cut"])
+
+    return found.groupBy("id").agg(F.collect_list(F.struct("at", "till")).alias("runs")).mapInArrow(join, "id binary, cut array<struct<at:int,till:int>>")
+
+
+def without(raw: Column, cut: Column) -> Column:
+    """What is left of a binary without the runs in cut, as a string of those bytes."""
+    edges = F.concat(F.array(F.lit(0)), F.transform(cut, lambda r: r["till"]))
+    ends = F.concat(F.transform(cut, lambda r: r["at"]), F.array(F.octet_length(raw)))
+    return F.array_join(F.zip_with(edges, ends, lambda i, j: F.substring(raw, i + 1, j - i).cast("string")), "")
+
+
+def _whole_characters(raw: Column, cut: Column) -> Column:
+    """The runs, widened to whole UTF-8 characters."""
+    inner = lambda at: F.hex(F.substring(raw, at + 1, F.lit(1))).rlike("^[89AB]")
+    back = lambda at: F.when(~inner(at), at).when(~inner(at - 1), at - 1).when(~inner(at - 2), at - 2).otherwise(at - 3)
+    on = lambda at: F.when(~inner(at), at).when(~inner(at + 1), at + 1).when(~inner(at + 2), at + 2).otherwise(at + 3)
+    return F.transform(cut, lambda r: F.struct(back(r["at"]).alias("at"), on(r["till"]).alias("till")))
+
+
 def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, _h (the text's hash), n_bytes, n_removed, n_spans, kept_sha256 for each row; with_text: also kept (what is left, less what isn't whole UTF-8 any more; null: unchanged)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
-    text_id = F.xxhash64("text", F.length("text"), F.crc32(F.col("text").cast("binary")))
-    rows = docs.select("doc_id", text_id.alias("id"), "_h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    rows = stored(rows, "repeats-rows")
-    firsts = rows.filter("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("n"))
-    firsts = stored(firsts, "repeats-firsts")
+    """docs' columns but text, with n_bytes, n_removed, n_spans, kept_sha256 for each row; with_text: also text, what is left of it (characters of which a byte goes, go; null stays null)."""
+    own = [c for c in docs.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    name = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 2 * ID))
+    known = docs.withColumns({"__rep_id": name, "__rep_bytes": F.octet_length(text).cast("long"), "__rep_doc": F.col("doc_id").cast("long")})
+    rows = stored(known.select(*own, "__rep_id", "__rep_bytes", "__rep_doc", F.sha2(text.cast("binary"), 256).alias("__rep_sha")), "repeats-rows")
+    firsts = stored(rows.filter("__rep_doc is not null").groupBy("__rep_id").agg(F.min("__rep_doc").alias("__rep_first"), F.first("__rep_bytes").alias("n")), "repeats-firsts")
     size = firsts.agg(F.sum("n")).first()[0] or 0
     parts = max(LEAST_RANGES, -(-int(size * 2 / (SPAN + 1)) // ANCHORS_IN_RANGE))
 
-    long = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select(text_id.alias("id"), "text")
-    suffixes = open_suffixes(long, parts).groupBy("id").agg(F.collect_list("at").alias("places"))  # of one text each
-    # each text once, dealt out by id; both joins below use the same exchange
-    once = long.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("id"))).filter(F.greatest("_k", F.lit(1)) == 1).select("id", "text")
-    seeds = suffixes.join(firsts.select("id", "first"), "id")
-    found = repeats(once.join(seeds, "id").select("id", "first", "text", "places"), parts)
-    stretches = found.groupBy("id").agg(F.collect_list(F.struct("at", "till")).alias("runs"))
-
-    def cut(batches):
-        for b in batches:
-            n, spans, sha, kept = [], [], [], []
-            for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
-                raw = text.encode()
-                at, till = merged(*(np.frombuffer(b"".join(r[k] for r in runs), "<i4").astype(np.int64) for k in ("at", "till")))
-                edges = [0, *np.stack([at, till], 1).ravel().tolist(), len(raw)]
-                left = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
-                n.append(len(raw) - len(left))
-                spans.append(len(at))
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "ignore") if with_text else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["id", "cut_bytes", "cut_spans", "cut_sha", "kept"])
-
-    result = once.join(stretches, "id").mapInArrow(cut, "id long, cut_bytes long, cut_spans long, cut_sha string, kept string")
-    out = rows.join(firsts.select("id", "first"), "id", "left").join(result, "id", "left")
-    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
-    cut_here = F.col("doc_id").isNotNull() & F.col("cut_bytes").isNotNull() & ~copy
-    choose = lambda whole, part, none: F.when(copy, whole).when(cut_here, part).otherwise(none)
-    return out.select(
-        "doc_id",
-        "_h",
-        "n_bytes",
-        choose(F.col("n_bytes"), F.col("cut_bytes"), F.lit(0)).cast("long").alias("n_removed"),
-        choose(F.lit(1), F.col("cut_spans"), F.lit(0)).cast("long").alias("n_spans"),
-        choose(F.lit(hashlib.sha256(b"").hexdigest()), F.col("cut_sha"), F.col("sha")).alias("kept_sha256"),
-        *([choose(F.lit(""), F.col("kept"), F.lit(None).cast("string")).alias("kept")] if with_text else []),
-    )
+    # each text once, of its first document (a map task sends a text once), dealt out by id; all that follows uses this exchange
+    long = known.filter((F.col("__rep_doc").isNotNull()) & (F.col("__rep_bytes") >= LENGTH)).select(F.col("__rep_id").alias("id"), F.col("__rep_doc").alias("first"), "text")
+    once = long.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("first"))).filter("_k = 1").select("id", "first", "text")
+    suffixes = open_suffixes(once, parts).groupBy("id").agg(F.collect_list("at").alias("places"))  # of one text each
+    found = repeats(once.join(suffixes, "id"), parts)
+    cut = stored(maximal(found), "repeats-cut")
+    raw = F.col("text").cast("binary")
+    part = once.join(cut, "id").select("id", "cut", F.sha2(without(raw, F.col("cut")).cast("binary"), 256).alias("cut_sha"), *([without(raw, _whole_characters(raw, F.col("cut"))).alias("cut_text")] if with_text else []))
+    lost = F.aggregate("cut", F.lit(0).cast("long"), lambda s, r: s + r["till"] - r["at"])
+    part = part.select("id", lost.alias("lost"), F.size("cut").alias("spans"), *[c for c in part.columns if c not in ("id", "cut")])
+
+    out = rows.join(firsts.select("__rep_id", "__rep_first"), "__rep_id", "left").withColumn("__rep_copy", F.coalesce((F.col("__rep_doc") > F.col("__rep_first")) & (F.col("__rep_bytes") >= LENGTH), F.lit(False)))
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    result = lambda n, spans, sha: [F.col("__rep_bytes").alias("n_bytes"), n.cast("long").alias("n_removed"), spans.cast("long").alias("n_spans"), sha.alias("kept_sha256")]
+    names = [*own, *(["text"] if with_text else [])]
+    # copies go altogether; they don't meet the text that they are copies of
+    copies = out.filter("__rep_copy").select(*own, *([F.lit("").alias("text")] if with_text else []), *result(F.col("__rep_bytes"), F.lit(1), empty))
+    rest = out.filter("not __rep_copy").withColumn("id", F.when(F.col("__rep_doc").isNotNull(), F.col("__rep_id")))
+    if not with_text:
+        rest = rest.join(part, "id", "left")
+        return copies.unionByName(rest.select(*own, *result(F.coalesce("lost", F.lit(0)), F.coalesce("spans", F.lit(0)), F.coalesce("cut_sha", "__rep_sha"))))
+    whole = docs.select("*", text.alias("__rep_t")).filter(F.col("doc_id").isNull() | (F.octet_length("__rep_t") < LENGTH))
+    whole = whole.select(*names, *[c.alias(n) for c, n in ((F.octet_length("__rep_t").cast("long"), "n_bytes"), (F.lit(0).cast("long"), "n_removed"), (F.lit(0).cast("long"), "n_spans"), (F.sha2(F.col("__rep_t").cast("binary"), 256), "kept_sha256"))])
+    texts = once.join(part.drop("cut"), "id", "left").select("id", F.coalesce("cut_text", "text").alias("text"), "lost", "spans", "cut_sha")
+    rest = rest.filter(F.col("id").isNotNull() & (F.col("__rep_bytes") >= LENGTH)).join(texts, "id")
+    return copies.unionByName(rest.select(*names, *result(F.coalesce("lost", F.lit(0)), F.coalesce("spans", F.lit(0)), F.coalesce("cut_sha", "__rep_sha")))).unionByName(whole)
