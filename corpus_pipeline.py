@@ -62,9 +62,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a passage of 50 bytes or more that an earlier document has goes."""
-    cut = removed(docs, with_text=True).filter("kept is not null").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("_h").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__h"])
-    rows = _keyed(docs).join(cut, ["__id", "__h"], "left").withColumn("text", F.coalesce("__kept", "text"))
-    return rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    left = removed(docs, with_text=True)
+    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
 @_stage
