@@ -31,7 +31,8 @@ from tidebook.llm.common import mix, pieces, stored, unzipped, unzipped32, utf8,
 LENGTH, GRAM = 50, 16
 HALF = 2 * GRAM  # what a pointer covers after the first round
 SPAN = LENGTH - GRAM + 1  # suffixes of a string that have a whole gram in it
-SEGMENT, ANCHORS_IN_RANGE, LEAST_RANGES, REFINED_BYTES = 1 << 21, 2_000_000, 24, 1 << 22
+SEGMENT, ANCHORS_IN_RANGE, LEAST_RANGES, REFINED_BYTES = 1 << 17, 2_000_000, 24, 1 << 22
+_LATER = [(0, 0x9E3779B97F4A7C15), (GRAM, 0xBF58476D1CE4E5B9), (2 * GRAM, 0x94D049BB133111EB), (LENGTH - GRAM, 0xD6E8FEB86659FD93)]
 _FACTOR = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 4: 0xD6E8FEB86659FD93, 8: 0x9FB21C651E98DF25}
 ID = 16  # bytes of a text's name
 
@@ -52,15 +53,15 @@ def anchored(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(buf) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_ids(buf)
-    v, at = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32)
+    low = np.uint64(0xFFFFFFFF)
+    v = (h | low) ^ np.arange(len(h), dtype=np.uint64)  # half a name, and a place that is less the later it is
     for k in (1, 2, 4, 8, 16, SPAN - 32):
-        right = v[k:] <= v[:-k]
-        v, at = np.where(right, v[k:], v[:-k]), np.where(right, at[k:], at[:-k])
+        v = np.minimum(v[k:], v[:-k])
     inside = np.ones(len(v), bool)
-    for e in offsets[1:]:
+    for e in offsets[1:].tolist():
         inside[max(0, e - LENGTH + 1) : e] = False
     start = np.flatnonzero(inside)
-    return h, start, at[start].astype(np.int64)
+    return h, start, ((v[start] & low) ^ low).astype(np.int64)
 
 
 def chunks(buf: np.ndarray, at: np.ndarray):
@@ -204,16 +205,27 @@ def _refine(pointer: np.ndarray, at: np.ndarray, later: int) -> np.ndarray:
 
 def same_strings(raw: bytes, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contexts back to back, each with `count` strings of LENGTH bytes from `begin` on: all starts, and for each the number of the bucket of its string, -1 where no other start has that string."""
-    buf = np.frombuffer(raw, np.uint8)
-    pointer = np.full(len(buf), -1, np.int64)
-    at = _runs(begin, count + LENGTH - GRAM)
-    pointer[at] = _ranked(gram_ids(buf)[at])
-    at = _runs(begin, count + LENGTH - HALF)
+    buf, start = np.frombuffer(raw, np.uint8), _runs(begin, count)
+    bucket, name = np.full(len(start), -1, np.int64), gram_ids(buf)
+    # counted by some bits of a sum of its names, most strings are alone from the start; the rounds have the others' suffixes only
+    total = sum((name[start + later] * np.uint64(c) for later, c in _LATER), np.zeros(len(start), np.uint64))
+    bits = max(10, len(start).bit_length())
+    total = (total >> np.uint64(64 - bits)).astype(np.int64)
+    rest = np.flatnonzero(np.bincount(total, minlength=1 << bits)[total] > 1)
+    pointer, wanted = np.full(len(buf), -1, np.int64), np.zeros(len(buf), bool)
+    for later in (0, GRAM, LENGTH - HALF, LENGTH - GRAM):
+        wanted[start[rest] + later] = True
+    at = np.flatnonzero(wanted)
+    if len(at):
+        pointer[at] = _ranked(name[at])
+    wanted[:] = False
+    for later in (0, LENGTH - HALF):
+        wanted[start[rest] + later] = True
+    at = np.flatnonzero(wanted)
     refined = _refine(pointer, at, GRAM)
     pointer[:] = -1
     pointer[at] = refined
-    start = _runs(begin, count)
-    bucket = _refine(pointer, start, LENGTH - HALF)
+    bucket[rest] = _refine(pointer, start[rest], LENGTH - HALF)
     # names are 64 bits of a hash: what fell together is compared by its bytes
     rest = np.flatnonzero(bucket >= 0)
     if len(rest):
@@ -319,10 +331,11 @@ def repeats(texts: DataFrame, parts: int) -> DataFrame:
                 last = np.concatenate([new[1:], [len(again)]]) - 1
                 found.append((ident[entry[new]], place[entry[new]] + at[new], place[entry[new]] + at[last] + LENGTH))
         ident, at, till = (np.concatenate([f[k] for f in found]) for k in range(3))
-        out = []
-        for i, k in _split(ident):
-            a, z = merged(at[k], till[k])
-            out.append((own[i >> 32][i & 0xFFFFFFFF].tobytes(), a.astype("<i4").tobytes(), z.astype("<i4").tobytes()))
+        text, group = np.unique(ident, return_inverse=True)
+        a, z = merged((group << 32) + at, (group << 32) + till)  # of all texts at once: groups lie apart
+        edge = np.searchsorted(a >> 32, np.arange(len(text) + 1))
+        a, z = (a & 0xFFFFFFFF).astype("<i4"), (z & 0xFFFFFFFF).astype("<i4")
+        out = [(own[i >> 32][i & 0xFFFFFFFF].tobytes(), a[j:k].tobytes(), z[j:k].tobytes()) for i, j, k in zip(text.tolist(), edge[:-1].tolist(), edge[1:].tolist())]
         return pa.table({n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("id", "at", "till"))})
 
     return texts.select("id", "first", "text", "places").mapInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, "id binary, at binary, till binary")
@@ -378,11 +391,11 @@ def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     parts = max(LEAST_RANGES, -(-int(size * 2 / (SPAN + 1)) // ANCHORS_IN_RANGE))
 
     # each text once, of its first document (a map task sends a text once), dealt out by id; all that follows uses this exchange
-    long = known.filter((F.col("__rep_doc").isNotNull()) & (F.col("__rep_bytes") >= LENGTH)).select(F.col("__rep_id").alias("id"), F.col("__rep_doc").alias("first"), "text")
+    long = known.filter(F.col("__rep_doc").isNotNull() & (F.col("__rep_bytes") >= LENGTH) & F.col("__rep_id").isNotNull()).select(F.col("__rep_id").alias("id"), F.col("__rep_doc").alias("first"), "text")
     once = long.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("first"))).filter("_k = 1").select("id", "first", "text")
     suffixes = open_suffixes(once, parts).groupBy("id").agg(F.collect_list("at").alias("places"))  # of one text each
     found = repeats(once.join(suffixes, "id"), parts)
-    cut = stored(maximal(found), "repeats-cut")
+    cut = maximal(found)
     raw = F.col("text").cast("binary")
     part = once.join(cut, "id").select("id", "cut", F.sha2(without(raw, F.col("cut")).cast("binary"), 256).alias("cut_sha"), *([without(raw, _whole_characters(raw, F.col("cut"))).alias("cut_text")] if with_text else []))
     lost = F.aggregate("cut", F.lit(0).cast("long"), lambda s, r: s + r["till"] - r["at"])
