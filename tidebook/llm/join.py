@@ -1,16 +1,19 @@
 """N-gram Jaccard self-join with set-relation skipping.
 
-A document's set holds the 64-bit hashes of its distinct 5-word shingles, in ascending order. Documents of one set are a node. Two sets that are alike enough share a
-hash among the first n - ceil(4n/5) + 1 of each, so the index lists, for every hash of those prefixes, the nodes that have it, with the place it has there.
+A document's set holds the 64-bit hashes of its distinct 5-word shingles. Documents of one set are a node. All sets are put in one order: by hash, but shingles that many documents share (a
+bounded table, see frequent()) come last, the most frequent one last of all. Two sets that are alike enough share a shingle among the first n - ceil(4n/5) + 1 of each, so the index lists,
+for every shingle of those prefixes, the nodes that have it, with the place it has there. Two sets are compared by the size of their symmetric difference d, a metric: they link when 9 d <= n + m.
 
-1. Each list's smallest node is its pivot. Every other node of a list is compared with the pivot: the sets that turn out to be alike form classes.
-2. What is known of a class answers for its members: a list within one class needs no more comparisons. The lists that are left are cut into blocks by the size of the sets;
-   a probing set skips a block if its own place doesn't allow the overlap that it takes, by the least size that is kept for the block, or if
-   the block has only its own class. Within the blocks that are left, pairs of different classes which pass the same bounds, and whose parity
-   sketches (512 bits) differ in no more bits than two such sets can, are compared.
+1. Relations between sets. Nodes that share one of three least hashes are compared with the least node among them. Links make classes; each node keeps the nearest set that it was linked with, its
+   leader, and the difference from it.
+2. Index-level skipping. A list of one class needs no comparison and is left out. In the open lists, nodes are first compared with one node of another class, drawn by a hash, which joins most
+   classes. Then lists are cut into blocks by size, each with the least size, the best position of its entries (as the overlap that it still allows) and its classes; a probing set skips a
+   block by those, and the pairs within the others pass the same bounds one by one.
+3. Answer-level skipping. A pair's leaders are compared by their sketches, once for all pairs that have these leaders. A set's answer follows from its leader's: where the leaders
+   differ by more than the two sets' own differences from them and a link allow, the pair can't link and isn't compared.
 
-Both rounds compare whole sets. A pair of linked documents is thus compared in round 2 unless its classes are already one: no link between classes is lost. The
-classes of all links are found by alternating star contractions, in tables.
+What is left is compared by whole sets, so no link between classes is lost. (A sketch has the parity of a set's members in each of its places: two sets differ by at least as
+much as their sketches.) The classes of all links are found by alternating star contractions, in tables.
 
 Null and empty texts have an empty set and link with nothing. Fewer than five words: the whole sequence as one shingle. Null ids get classes of their own.
 Repeated ids count as one document each row. An empty table gives no rows. Columns other than doc_id and text are ignored.
@@ -23,19 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import mix, packed32, pieces, shingle_sets, stored, unpacked32, utf8
+from tidebook.llm.common import mix, pieces, shingle_sets, stored, unzipped, unzipped32, utf8, zipped, zipped32
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
-WORDS_OF_SKETCH = 8
-TOKENS_IN_RANGE, LEAST_RANGES, PIVOT_PASSES = 1_000_000, 64, 2
-SUMMARY = "doc_id long, h long, n long, node long, prefix array<long>, sketch array<long>, wide binary"
+LEAST_PLACES, MINIMA = 512, 3
+TOKENS_IN_RANGE, LEAST_RANGES, PIVOT_PASSES = 2_000_000, 24, 2
+#: Shingles that come last in the order: so many at most, of those that a batch of rows has so often at least. Any order gives the same links.
+FREQUENT, LEAST_IN_BATCH, BATCH_BYTES = 131_072, 4, 1 << 24
+SUMMARY = "doc_id long, h long, n long, node long, minima array<long>, wide binary, often binary"
+POSTING = "token long, node long, n long, at long"
 
 
 def _hashed(batch):
-    """The sets of a batch's texts, row by row."""
+    """The sets of a batch's texts: the batch's rows from i to j, and their sets, in parts that hold BATCH_BYTES of text (or one row)."""
     buf, at = utf8(batch.column("text"))
-    for i, j in pieces(at):
-        yield from shingle_sets(buf[at[i] : at[j]], at[i : j + 1] - at[i], SHINGLE)
+    for i, j in pieces(at, BATCH_BYTES):
+        yield batch.slice(i, j - i), [s for a, b in pieces(at[i : j + 1]) for s in shingle_sets(buf[at[i + a] : at[i + b]], at[i + a : i + b + 1] - at[i + a], SHINGLE)]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -51,8 +57,8 @@ def prefix_length(n: int) -> int:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """A set's parity sketch: of each place (by the hash, 512 places or the power of two from twice the set's size) whether it has an odd number of members."""
-    size = max(64 * WORDS_OF_SKETCH, 1 << (2 * max(1, len(s)) - 1).bit_length())
+    """A set's parity sketch: of each place (by the hash; LEAST_PLACES or the power of two from twice the set's size) whether it has an odd number of members."""
+    size = max(LEAST_PLACES, 1 << (2 * max(1, len(s)) - 1).bit_length())
     return (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
 
 
@@ -61,57 +67,91 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
 
 
+def _concat(xs, kind=np.uint64) -> np.ndarray:
+    return np.concatenate([*xs, np.zeros(0, kind)])
+
+
 def summaries(docs: DataFrame) -> DataFrame:
-    """One row for each document: the size and name of its set, its prefix and its sketch."""
+    """One row for each document: the size and name of its set, its least hashes and its sketch; and one for each batch (n = -1): the shingles that it has often."""
 
     def summarise(batches):
-        for b in batches:
-            n, node, prefix, sketch, wide = [], [], [], [], []
-            for s in _hashed(b):
-                n.append(len(s))
-                node.append(node_of(s))
-                prefix.append(s[: prefix_length(len(s))].view(np.int64))
-                bits = parities(s)
-                wide.append(np.packbits(bits).tobytes())
-                sketch.append(np.packbits(folded(bits, 64 * WORDS_OF_SKETCH)).view(np.int64))
-            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(sketch), pa.array(wide, pa.binary())], names=["doc_id", "h", "n", "node", "prefix", "sketch", "wide"])
+        for b, sets in (x for b in batches for x in _hashed(b)):
+            minima = [int(mix(s + np.uint64(k)).min().view(np.int64)) if len(s) else 0 for s in sets for k in range(MINIMA)]
+            token, times = np.unique(_concat(sets), return_counts=True)
+            often = times >= LEAST_IN_BATCH
+            blob = token[often].tobytes() + times[often].astype("<u4").tobytes()
+            n = len(sets)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, MINIMA * (n + 1) + 1, MINIMA), pa.int32()), pa.array([*minima, *[0] * MINIMA], pa.int64()))
+            columns = [b.column("doc_id").cast(pa.int64()).to_pylist() + [None], b.column("h").to_pylist() + [0], [len(s) for s in sets] + [-1], [node_of(s) for s in sets] + [0]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists, pa.array([*(np.packbits(parities(s)).tobytes() for s in sets), b""], pa.binary()), pa.array([*[None] * n, zipped(blob)], pa.binary())], names=["doc_id", "h", "n", "node", "minima", "wide", "often"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(summarise, SUMMARY)
 
 
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of all batches' frequent shingles, the FREQUENT most frequent (bounded; 2 MB): sorted, with their ranks from 1."""
+
+    def each(batches):
+        for b in batches:
+            for raw in map(unzipped, b.column("often").to_pylist()):
+                k = len(raw) // 12
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8", k)), pa.array(np.frombuffer(raw, "<u4", k, 8 * k).astype(np.int64))], names=["token", "times"])
+
+    top = rows.filter("n = -1").select("often").mapInArrow(each, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toArrow()
+    token = top.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], (len(token) - np.arange(len(token)))[order]
+
+
+def ordered(s: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set in the common order."""
+    if not len(token) or not len(s):
+        return s
+    k = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    often = token[k] == s
+    return np.concatenate([s[~often], s[often][np.argsort(rank[k[often]])]])
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, items (sorted): the sets of the documents in wanted (doc_id, h, node). A repeated id's texts are told apart by their hashes."""
 
     def whole(batches):
-        for b in batches:
-            own = [*_hashed(b)]
+        for b, own in (x for b in batches for x in _hashed(b)):
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "items"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).select("node", "text").mapInArrow(whole, "node long, items binary")
 
 
-def enough(a: Column, b: Column, both: Column) -> Column:
-    """Whether sets of sizes a and b with `both` common members link."""
-    return DENOMINATOR * both >= NUMERATOR * (a + b - both)
-
-
-def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (x, y: nodes), those that link. First by their wide sketches, which few unlike pairs pass, then by the whole sets."""
+def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (x, y: nodes) with the sets' sizes a, c, and far: by their sketches, they differ by so much at least."""
     wide = nodes.select("node", "n", "wide")
 
-    def near(batches):
+    def measure(batches):
         for b in batches:
-            keep = []
-            for k, (s, t, a, c) in enumerate(zip(*(b.column(x).to_pylist() for x in ("s", "t", "a", "c")))):
+            far = []
+            for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist()):
                 s, t = np.unpackbits(np.frombuffer(s, np.uint8)), np.unpackbits(np.frombuffer(t, np.uint8))
                 size = min(len(s), len(t))
-                if (DENOMINATOR + NUMERATOR) * int(np.count_nonzero(folded(s, size) != folded(t, size))) <= (DENOMINATOR - NUMERATOR) * (a + c):
-                    keep.append(k)
-            yield b.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+                far.append(int(np.count_nonzero(folded(s, size) != folded(t, size))))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("x", "y", "a", "c")), pa.array(far, pa.int64())], names=["x", "y", "a", "c", "far"])
 
     both = pairs.join(wide.toDF("x", "a", "s"), "x").join(wide.toDF("y", "c", "t"), "y")
-    pairs = stored(both.select("x", "y", "a", "c", "s", "t").mapInArrow(near, "x long, y long"), "join-pairs")
+    return both.filter(_sizes("a", "c")).select("x", "y", "a", "c", "s", "t").mapInArrow(measure, "x long, y long, a long, c long, far long")
+
+
+def _sizes(a: str, c: str) -> Column:
+    """Sizes that allow the likeness."""
+    return (DENOMINATOR * F.col(a) >= NUMERATOR * F.col(c)) & (DENOMINATOR * F.col(c) >= NUMERATOR * F.col(a))
+
+
+def _near(differ: Column, a: Column, c: Column) -> Column:
+    """Whether sets of these sizes may link that differ by so much (or more)."""
+    return (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (a + c)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (x, y: nodes), those that link, with how much they differ. First by their sketches, which few unlike pairs pass, then by the whole sets."""
+    pairs = stored(sketched(pairs, nodes).filter(_near(F.col("far"), F.col("a"), F.col("c"))).select("x", "y"), "join-pairs")
     used = pairs.select("x").union(pairs.select("y")).distinct().toDF("node")
     wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), "node")
     n = wanted.count()
@@ -119,16 +159,18 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def meet(batches):
         for b in batches:
-            keep = []
+            keep, differ = [], []
             for k, (s, t) in enumerate(zip(b.column("s").to_pylist(), b.column("t").to_pylist())):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (len(s) + len(t) - both):
+                d = len(s) + len(t) - 2 * len(np.intersect1d(s, t, assume_unique=True))
+                if (DENOMINATOR + NUMERATOR) * d <= (DENOMINATOR - NUMERATOR) * (len(s) + len(t)):
                     keep.append(k)
-            yield b.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+                    differ.append(d)
+            found = b.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(differ, pa.int64())], names=["x", "y", "d"])
 
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("items").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("items").alias("t")), "y")
-    return stored(both.select("x", "y", "s", "t").mapInArrow(meet, "x long, y long"), "join-links")
+    return stored(both.select("x", "y", "s", "t").mapInArrow(meet, "x long, y long, d long"), "join-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,117 +194,136 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
 
 
-def index_lists(rows: DataFrame) -> DataFrame:
-    """rows: node, n, prefix. token, pivot, node, n, at for every token that two nodes have in their prefixes.
+def index_lists(docs: DataFrame, total: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """token, node, n, at for every token that two nodes have in their prefixes. total: the prefixes' members in all.
 
-    Tokens travel in arrays, by ranges of their hashes. A token that several nodes of a batch of rows share is settled there: one of them goes to the token's range, to meet
-    the other batches', and the rest are dealt out by node, so that a frequent token comes to its range once from each batch. The pivot is then that of the token's part of
-    the list; pairs across the parts are left to round 2.
+    Tokens travel in arrays, by ranges of their hashes, as 32 bits within their range (tokens that fall together give one list of more pairs to look at). A token that several nodes of a batch
+    of rows share is settled there: one of them goes to the token's range, to meet the other batches', and the rest go on as they are, so that a frequent token comes to its range once
+    from each batch.
     """
-    total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(LEAST_RANGES, -(-total // TOKENS_IN_RANGE))
+    shared = docs.sparkSession.sparkContext.broadcast(often)  # FREQUENT at most
 
     def ask(batches):
-        for b in batches:
-            prefix, node, n = b.column("prefix"), b.column("node").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
-            size = np.diff(prefix.offsets.to_numpy())
+        token_often, rank = shared.value
+        for _, sets in (x for b in batches for x in _hashed(b)):
+            first: dict[int, tuple[np.ndarray, int]] = {}
+            for s in sets:
+                if len(s):
+                    name = node_of(s)
+                    if name not in first:
+                        first[name] = ordered(s, token_often, rank)[: prefix_length(len(s))], len(s)
+            if not first:
+                continue
+            node, n = np.array([*first], np.int64), np.array([x[1] for x in first.values()], np.int64)
+            size = np.array([len(x[0]) for x in first.values()])
+            token = _concat(x[0] for x in first.values())
+            first.clear()
             row = np.repeat(np.arange(len(node)), size)
-            token = prefix.flatten().to_numpy()
             at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            order = np.lexsort((node[row], token))
-            token, row, at = token[order], row[order], at[order]
-            edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            part = ((token >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            token = (part << 32) | (token >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(token, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
             width = np.diff(np.concatenate([edge, [len(token)]]))
-            first = np.repeat(edge, width)
-            shared = np.zeros(len(token), bool) if not len(token) else np.repeat(node[row[edge]] != node[row[edge + width - 1]], width)
-            sent = np.arange(len(token)) == first
-            part = np.where(sent, (token.view(np.uint64) >> np.uint64(20)) % np.uint64(parts), np.abs(node[row]) % parts).astype(np.int32)
-            keep = np.flatnonzero(sent | shared)
+            several = np.zeros(len(token), bool)
+            several[order] = np.repeat(width > 1, width)
+            sent = np.zeros(len(token), bool)
+            sent[order[edge]] = True
             out = []
-            for p in np.unique(part[keep]):
-                k = keep[part[keep] == p]
-                own = np.unique(np.concatenate([row[k], row[first[k]]]))
-                order_k = np.argsort(row[k], kind="stable")
-                k = k[order_k]
-                pivot = np.where(shared[k] & ~sent[k], np.searchsorted(own, row[first[k]]), -1)
-                flag = (shared[k].astype(np.uint8) + 2 * sent[k]).astype(np.uint8)
-                out.append((p, token[k].tobytes(), packed32(pivot), packed32(np.searchsorted(own, row[k]), True), packed32(at[k]), flag.tobytes(), node[own].tobytes(), packed32(n[own])))
-            kinds = (pa.int32(), *[pa.binary()] * 7)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["part", "token", "pivot", "row", "at", "flag", "nodes", "sizes"])
+
+            def put(p, kind, k, name):
+                own, index = np.unique(row[k], return_inverse=True)
+                out.append((p, kind, name, zipped32(index, True), zipped32(at[k]), several[k].tobytes(), node[own].tobytes(), zipped32(n[own])))
+
+            rest = np.flatnonzero(~sent)
+            if len(rest):
+                put(int(node[0] % parts), 1, rest, zipped(token[rest].tobytes()))
+            k = np.flatnonzero(sent)
+            k = k[np.argsort(part[k], kind="stable")]
+            for own in np.split(k, np.flatnonzero(np.diff(part[k])) + 1):
+                put(int(part[own[0]]), 0, own, (token[own] & 0xFFFFFFFF).astype("<u4").tobytes())
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "kind", "token", "row", "at", "several", "nodes", "sizes"])
 
     def answer(key, t):
-        token, pivot, node, n, at, flag = [], [], [], [], [], []
-        for x, p, r, a, f, own, sizes in zip(*(t.column(c).to_pylist() for c in ("token", "pivot", "row", "at", "flag", "nodes", "sizes"))):
-            own, r, p = np.frombuffer(own, "<i8"), unpacked32(r, True), unpacked32(p)
-            token.append(np.frombuffer(x, "<i8"))
-            node.append(own[r])
-            pivot.append(np.where(p >= 0, own[p], own[r]))
-            n.append(unpacked32(sizes)[r])
-            at.append(unpacked32(a))
-            flag.append(np.frombuffer(f, "u1"))
-        token, pivot, node, n, at, flag = map(np.concatenate, (token, pivot, node, n, at, flag))
-        keep = (flag & 1) == 1
-        asked = np.flatnonzero(flag & 2)
-        order = asked[np.lexsort((node[asked], token[asked]))]
-        if len(order):
+        token, node, n, at, keep, asked = [], [], [], [], [], []
+        for part, kind, x, r, a, several, own, sizes in zip(*(t.column(c).to_pylist() for c in ("part", "kind", "token", "row", "at", "several", "nodes", "sizes"))):
+            r = unzipped32(r, True)
+            token.append(np.frombuffer(unzipped(x), "<i8") if kind else np.frombuffer(x, "<u4").astype(np.int64) | (part << 32))
+            node.append(np.frombuffer(own, "<i8")[r])
+            n.append(unzipped32(sizes)[r])
+            at.append(unzipped32(a))
+            keep.append(np.frombuffer(several, bool))
+            asked.append(np.full(len(r), kind == 0))
+        token, node, n, at, keep, asked = map(np.concatenate, (token, node, n, at, keep, asked))
+        keep, asked = keep.copy(), np.flatnonzero(asked)
+        if len(asked):
+            order = asked[np.argsort(token[asked])]
             edge = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
-            width = np.diff(np.concatenate([edge, [len(order)]]))
-            pivot[order] = np.repeat(node[order[edge]], width)
-            keep[order] |= np.repeat(node[order[edge]] != node[order[edge + width - 1]], width)
+            two = np.minimum.reduceat(node[order], edge) != np.maximum.reduceat(node[order], edge)
+            keep[order] |= np.repeat(two, np.diff(np.concatenate([edge, [len(order)]])))
         k = np.flatnonzero(keep)
-        return pa.table({"token": token[k], "pivot": pivot[k], "node": node[k], "n": n[k].astype(np.int64), "at": at[k].astype(np.int64)})
+        return pa.table({"token": token[k], "node": node[k], "n": n[k].astype(np.int64), "at": at[k].astype(np.int64)})
+
+    blobs = docs.filter("doc_id is not null").select("text").mapInArrow(ask, "part int, kind int, token binary, row binary, at binary, several binary, nodes binary, sizes binary")
+    return blobs.groupBy("part").applyInArrow(answer, POSTING).distinct()
+
 
-    blobs = rows.mapInArrow(ask, "part int, token binary, pivot binary, row binary, at binary, flag binary, nodes binary, sizes binary")
-    return blobs.groupBy("part").applyInArrow(answer, "token long, pivot long, node long, n long, at long")
+def _in_classes(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists that have two classes or more, with each node's class."""
+    known = lists.select("token", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    opened = known.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
+    return known.join(opened, "token", "left_semi")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """documents: doc_id, h, n, node; nodes: node, n, rep (its smallest doc_id), rep_h (the hash of its text), sketch; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
+    """documents: doc_id, h, n, node; nodes: node, n, rep (its smallest doc_id), rep_h (the hash of its text), wide, minima; links: x, y - verified links that connect what is connected (not all pairs within a class)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(summaries(docs), "join-summaries")
-    nodes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("h", F.struct("doc_id", "h")).alias("rep_h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
-    nodes = stored(nodes, "join-nodes")
-    lists = stored(index_lists(rows.filter("n > 0 and doc_id is not null").select("node", "n", "prefix")).distinct(), "join-lists")
-
-    # round 1: against the pivots; then, in the lists that have several classes, against others, drawn by a hash
-    info = nodes.select("node", "n", "sketch")
-    done = lists.select(F.col("pivot").alias("x"), F.col("node").alias("y")).filter("x <> y").distinct()
-    done = done.join(info.toDF("x", "nx", "sx"), "x").join(info.toDF("y", "ny", "sy"), "y").filter(_possible("nx", "ny", "sx", "sy")).select("x", "y")
-    first = compared(done, docs, nodes)
+    real = rows.filter("n > 0 and doc_id is not null")
+    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("h", F.struct("doc_id", "h")).alias("rep_h"), F.first("n").alias("n"))
+    # what is the same for all documents of a node comes from one of them
+    nodes = stored(nodes.join(real.select("node", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h"), "wide", "minima").dropDuplicates(["node", "rep", "rep_h"]), ["node", "rep", "rep_h"]), "join-nodes")
+    prefix = F.col("n") - F.ceil(F.lit(NUMERATOR) * F.col("n") / DENOMINATOR) + 1
+    total = nodes.agg(F.sum(prefix)).first()[0] or 0
+    lists = stored(index_lists(docs, int(total), frequent(rows)), "join-lists")
+
+    # 1. relations
+    least = nodes.select("node", F.posexplode("minima").alias("k", "value"))
+    heads = least.groupBy("k", "value").agg(F.min("node").alias("x"), F.max("node").alias("last")).filter("x <> last").drop("last")
+    links = compared(least.join(heads, ["k", "value"]).filter("x <> node").select("x", F.col("node").alias("y")).distinct(), docs, nodes)
+    leaders = stored(links.groupBy(F.col("y").alias("node")).agg(F.min(F.struct("d", "x")).alias("near")).select("node", F.col("near.x").alias("leader"), F.col("near.d").alias("off")), "join-leaders")
+
+    # 2. the lists that are open
+    links = links.select("x", "y")
     for again in range(PIVOT_PASSES):
-        roots = components(first)
-        known = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        heads = known.groupBy("token").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(again), "node")).alias("head"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-        more = known.join(heads, "token").filter(F.col("root") != F.col("head.root")).select(F.least("node", F.col("head.node")).alias("x"), F.greatest("node", F.col("head.node")).alias("y")).distinct()
-        more = more.join(info.toDF("x", "nx", "sx"), "x").join(info.toDF("y", "ny", "sy"), "y").filter(_possible("nx", "ny", "sx", "sy")).select("x", "y")
-        first = stored(first.union(compared(more, docs, nodes)), "join-links")
-
-    # round 2: what the classes leave open. What a posting needs is joined by node, then all of it is dealt out by token, once
-    roots = components(first)
-    known = lists.select("token", "node", "n", "at").join(info.select("node", "sketch"), "node").join(roots, "node", "left")
-    known = known.withColumn("root", F.coalesce("root", "node")).withColumn("block", size_class(F.col("n")))
-    open_lists = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    known = known.join(open_lists, "token", "left_semi")
-    blocks = known.groupBy("token", "block").agg(F.min("n").alias("least_n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    blocks = blocks.groupBy("token").agg(F.collect_list(F.struct("block", "least_n", "low", "high")).alias("blocks"))  # a block for each quarter more of size
-    reach = lambda x: (DENOMINATOR + NUMERATOR) * (F.col("n") - F.col("at")) >= NUMERATOR * (F.col("n") + F.greatest(x["least_n"], F.col("n")))
+        lists = stored(_in_classes(lists, components(links)), "join-open")
+        heads = lists.groupBy("token").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64(F.lit(again), "node")).alias("head"))
+        drawn = lists.join(heads, "token").filter((F.col("root") != F.col("head.root"))).select("node", "n", F.col("head.node").alias("other"), F.col("head.n").alias("m")).filter(_sizes("n", "m"))
+        links = links.union(compared(drawn.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct(), docs, nodes).select("x", "y"))
+    known = stored(_in_classes(lists, components(links)).withColumn("block", size_class(F.col("n"))), "join-open")
+    rest = lambda n, at: (DENOMINATOR + NUMERATOR) * (n - at) - NUMERATOR * n  # noqa: E731  four times the largest size that the position allows the other set
+    blocks = known.groupBy("token", "block").agg(F.min("n").alias("least_n"), F.max(rest(F.col("n"), F.col("at"))).alias("position"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = blocks.groupBy("token").agg(F.collect_list(F.struct("block", "least_n", "position", "low", "high")).alias("blocks"))  # a block for each quarter more of size
+    reach = lambda x: (rest(F.col("n"), F.col("at")) >= NUMERATOR * F.greatest(x["least_n"], F.col("n"))) & (x["position"] >= NUMERATOR * F.col("n"))
     alone = lambda x: (x["low"] == x["high"]) & (x["low"] == F.col("root"))
     probe = known.join(blocks, "token").withColumn("into", F.transform(F.filter("blocks", lambda x: x["block"].between(F.col("block"), F.col("block") + 1) & reach(x) & ~alone(x)), lambda x: x["block"])).filter(F.size("into") > 0).drop("blocks")
     a, b = probe.alias("a"), known.alias("b")
-    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
-    overlap = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    bound = (DENOMINATOR + NUMERATOR) * overlap >= NUMERATOR * (F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.array_position(F.col("a.into"), F.col("b.block")) > 0) & ordered & (F.col("a.root") != F.col("b.root")) & bound & _possible("a.n", "b.n", "a.sketch", "b.sketch"))
-    pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-    second = compared(pairs, docs, nodes)
-    return rows.select("doc_id", "h", "n", "node"), nodes, first.union(second)
-
-
-def _possible(na: str, nb: str, sa: str, sb: str) -> Column:
-    """Sizes allow the likeness; so do the sketches: alike sets differ in at most (na + nb) / 9 members, and each changes one bit."""
-    a, b = F.col(na), F.col(nb)
-    bits = sum((F.bit_count(F.get(F.col(sa), k).bitwiseXOR(F.get(F.col(sb), k))) for k in range(WORDS_OF_SKETCH)), F.lit(0))
-    return (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a) & ((DENOMINATOR + NUMERATOR) * bits <= (DENOMINATOR - NUMERATOR) * (a + b))
+    ahead = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+    bound = (rest(F.col("a.n"), F.col("a.at")) >= NUMERATOR * F.col("b.n")) & (rest(F.col("b.n"), F.col("b.at")) >= NUMERATOR * F.col("a.n"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.array_position(F.col("a.into"), F.col("b.block")) > 0) & ahead & (F.col("a.root") != F.col("b.root")) & bound & _sizes("a.n", "b.n"))
+    pairs = stored(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("a"), F.col("b.n").alias("c")).distinct(), "join-candidates")
+
+    # 3. answers by the leaders'
+    leader = lambda k: leaders.select(F.col("node").alias(k), F.col("leader").alias(f"{k}_leader"), F.col("off").alias(f"{k}_off"))
+    led = pairs.join(leader("x"), "x", "left").join(leader("y"), "y", "left").withColumns({f"{k}_{c}": F.coalesce(f"{k}_{c}", F.col(k) if c == "leader" else F.lit(0)) for k in "xy" for c in ("leader", "off")})
+    led = stored(led.filter((F.col("x_leader") != F.col("x")) | (F.col("y_leader") != F.col("y"))), "join-led")
+    answers = sketched(led.select(F.col("x_leader").alias("x"), F.col("y_leader").alias("y")).distinct(), nodes).select(F.col("x").alias("x_leader"), F.col("y").alias("y_leader"), "far")
+    # leaders whose sizes rule a link out have no sketch answer: their sets are compared
+    never = led.join(answers, ["x_leader", "y_leader"]).filter(~_near(F.col("far") - F.col("x_off") - F.col("y_off"), F.col("a"), F.col("c"))).select("x", "y")
+    last = compared(pairs.select("x", "y").join(never, ["x", "y"], "left_anti"), docs, nodes)
+    return rows.filter("n >= 0").select("doc_id", "h", "n", "node"), nodes, links.union(last.select("x", "y"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
