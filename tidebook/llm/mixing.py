@@ -12,6 +12,8 @@ An empty table gives an empty mixture. Columns other than doc_id, text and sourc
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,9 @@ from pyspark.sql.window import Window
 from tidebook.llm.common import SPACE, WORD, stored
 
 BLOCK_WORDS, SHARD_SLOTS, CHUNKS, MOST_EPOCHS, SEED = 128, 4096, 1024, 3, 20240229
-#: The hypergeometric sampler takes up to 10**9 items; a larger node of the tree is halved in proportion.
+#: A source's documents are numbered by chunks of so many rows on the average; there are CHUNKS of them at least.
+CHUNK_ROWS = 20_000
+#: The library's hypergeometric sampler takes fewer items than this; drawn_from() draws from more by ratio of uniforms.
 _SAMPLER_MOST = 10**9
 
 
@@ -74,7 +78,32 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_draw(counts: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def drawn_from(rng: np.random.Generator, good: int, bad: int, take: int, most: int = _SAMPLER_MOST) -> int:
+    """How many of `good` are among `take` items drawn from good + bad without replacement, whatever their number (Stadlober's ratio of uniforms on the logarithm of the probability)."""
+    n = good + bad
+    if not take or not good:
+        return 0
+    if not bad or take == n:
+        return min(good, take)
+    if n < most:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(good, take)
+    mean, spread = take * (good / n), math.sqrt(take * (good / n) * (bad / n) * ((n - take) / (n - 1)) + 0.5)
+    top = min(high, max(low, ((take + 1) * (good + 1)) // (n + 2)))
+
+    def steps(x: int, total: int, k: int) -> float:
+        """log of C(total, top + k) / C(total, top), where it is summed as a difference of logarithms of factorials."""
+        return math.lgamma(x + 1) + math.lgamma(total - x + 1) - math.lgamma(x + k + 1) - math.lgamma(total - x - k + 1)
+
+    while True:
+        u = 1.0 - rng.random()  # fixed values: the width of the hat
+        x = mean + 0.5 + (1.7155277699214135 * spread + 0.8989161620588988) * (rng.random() - 0.5) / u
+        k = math.floor(x)
+        if low <= k <= high and 2 * math.log(u) <= steps(top, good, k - top) + steps(take - top, bad, top - k):
+            return k
+
+
+def shard_draw(counts: np.ndarray, shards: int, shard: int, seed: int, most: int = _SAMPLER_MOST) -> tuple[np.ndarray, np.ndarray]:
     """How many slots of this shard each source fills, and how many of its slots lie in earlier shards. Halves the row of shards again and again; a
     node's draw depends on the seed and the node alone, so all shards agree and their draws add up to counts."""
     counts, before, lo, hi = counts.astype(np.int64), np.zeros(len(counts), np.int64), 0, shards
@@ -84,13 +113,11 @@ def shard_draw(counts: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
         mid = (lo + hi) // 2
         cut = total * mid // shards
         take = cut - first
-        if last - first < _SAMPLER_MOST:
-            rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-            left = rng.multivariate_hypergeometric(counts, take, method="marginals") if take else np.zeros_like(counts)
-        else:
-            share = counts * (take / (last - first))
-            left = np.floor(share).astype(np.int64)
-            left[np.argsort(left - share, kind="stable")[: take - int(left.sum())]] += 1
+        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+        left, open_, rest = np.zeros_like(counts), last - first, take
+        for s, n in enumerate(counts.tolist()):  # source by source, each given those before it
+            left[s] = drawn_from(rng, n, open_ - n, rest, most)
+            open_, rest = open_ - n, rest - int(left[s])
         if shard < mid:
             counts, hi, last = left, mid, cut
         else:
@@ -134,8 +161,9 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     sources: source, source_size, target, blocks, slots.
     """
     spark = docs.sparkSession
+    chunks = max(CHUNKS, -(-docs.count() // CHUNK_ROWS))  # from the tables' footers
     d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CHUNKS)).cast("int"))
+    d = d.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_h"), F.lit(chunks)).cast("int"))
     d = stored(d, "mix-sizes")  # the texts are read once
     per_chunk = d.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"), F.count(F.lit(1)).alias("chunk_rows"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,10 +176,10 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     plan = [(max(1, r.blocks), r.slots) for r in sources.orderBy("source_no").collect()]  # a row for each source
     shards = max(1, -(-sum(p[1] for p in plan) // shard_slots))
 
-    within = Window.partitionBy("source", "chunk").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "chunk").orderBy(F.xxhash64(F.lit(seed), "doc_id", "_h"), "doc_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    starts = F.broadcast(per_chunk.select("source", "chunk", "chunk_start")) if len(plan) * CHUNKS <= 200_000 else per_chunk.select("source", "chunk", "chunk_start")
-    placed = d.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("_no", F.row_number().over(Window.partitionBy("source", "chunk").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "_h")))
+    starts = F.broadcast(per_chunk.select("source", "chunk", "chunk_start")) if len(plan) * chunks <= 200_000 else per_chunk.select("source", "chunk", "chunk_start")
+    placed = d.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("_no", F.row_number().over(Window.partitionBy("source", "chunk").orderBy(F.xxhash64(F.lit(seed), "doc_id", "_h"), "doc_id", "_h")))
     placed = placed.alias("a").join(starts.alias("b"), same & (F.col("a.chunk") == F.col("b.chunk"))).select("a.*", (F.col("b.chunk_start") + F.col("a._before")).alias("at"))
     small = F.broadcast(sources) if len(plan) <= 100_000 else sources
     placed = placed.alias("a").join(small.alias("b"), same).select("a.doc_id", "a.size", "a.at", "b.source_size", "b.target", "b.source_no", "a._h", F.concat_ws("-", "b.source_no", "a.chunk", "a._no").alias("key"))
