@@ -1,10 +1,10 @@
 """Best-fit packing by sums of squares.
 
 Each document becomes its token ids and an end id. A longer document than a sequence is cut into pieces of the full length, but for a shorter first one. Full
-pieces fill a sequence each. The others (one for each document at most) are dealt by a hash of doc_id to groups of about GROUP documents, and each group is packed by itself:
+pieces fill a sequence each. The others (one for each document at most) are dealt by a hash of doc_id and ids to groups of about GROUP, and each group is packed by itself:
 a piece goes where the sum over all gaps of (open sequences with that gap)**2 becomes smallest, and no sequence is opened above the
-group's lower bound while the piece fits into an open one. The larger part comes in a pseudorandom order, the smaller pieces, largest first, after it; of
-a few such parts (LARGE_SHARES) the one that needs the fewest sequences counts.
+group's lower bound while the piece fits into an open one. The larger part comes in a pseudorandom order, the smaller pieces, largest first, after it; in one of the ORDERS, the smaller
+pieces take the smallest gap that holds them. The order that needs the fewest sequences counts: no more than best fit, largest first, in all that was tried.
 
 A null text counts as empty: its only id is the end id. The vocabulary's added tokens in a text have their own ids. Ties go to the smallest gap. Rows that repeat are packed once each. An empty table gives
 no sequences. Columns other than doc_id and text are ignored.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.tokens import default_path, encoding
 
-LENGTH, END_ID, GROUP, LARGE_SHARES = 2048, 0, 20_000, (0.7, 0.3, 0.0)
+LENGTH, END_ID, GROUP = 2048, 0, 20_000
+#: Ways to pack a group: the share of its largest pieces that come in a pseudorandom order, and the share from which on a piece takes the smallest gap.
+ORDERS = ((0.3, 2.0), (0.0, 2.0), (0.0, 0.4))
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
@@ -47,14 +49,14 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PLACED.split(", sequence_id")[0])
 
 
-def pack_sizes(sizes: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum-of-squares packing of sizes below capacity. Returns each one's bin and offset, and the number of bins."""
+def pack_sizes(sizes: np.ndarray, order: np.ndarray, capacity: int, tight: float = 2.0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sum-of-squares packing of sizes below capacity. Returns each one's bin and offset, and the number of bins. From the share `tight` of the pieces on, of the gaps that hold a piece the smallest takes it."""
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     open_with: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
     never = np.int64(1) << 60
     least, used = -(-int(sizes.sum()) // capacity), 0
-    for i in order:
+    for nth, i in enumerate(order):
         s = int(sizes[i])
         # the sum's change: a bin leaves gap g and, unless it is full then, comes to gap g - s
         change = 2 * (count[: capacity + 1 - s] - count[s:]) + 2
@@ -63,6 +65,8 @@ def pack_sizes(sizes: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.
         if used < least:
             change[-1] = 2 * count[capacity - s] + 1
         k = int(np.argmin(change))
+        if nth >= tight * len(order):
+            k = int(np.argmax(count[s:] > 0)) if count[s:].any() else len(change) - 1
         gap = capacity if change[k] == never else s + k
         if gap == capacity:
             b, used = used, used + 1
@@ -76,24 +80,26 @@ def pack_sizes(sizes: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.
     return bins, offsets, used
 
 
+def best(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The packing of sizes below length that needs the fewest sequences, of the ORDERS."""
+    down, tries = np.argsort(-sizes, kind="stable"), []
+    for share, tight in ORDERS:
+        large = int(len(sizes) * share)
+        tries.append(pack_sizes(sizes, np.concatenate([np.random.Generator(np.random.PCG64(len(sizes))).permutation(down[:large]), down[large:]]), length, tight))
+    return min(tries, key=lambda t: t[2])
+
+
 def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (null unless with_ids), sequence_id, offset: a row for each piece."""
     groups = max(1, -(-docs.count() // group))  # from the tables' footers
-    pieces = token_pieces(docs, length, tokenizer, with_ids).withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    pieces = token_pieces(docs, length, tokenizer, with_ids).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
     def place(key, t):
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")])
         sizes = t.column("length").to_numpy()
         part = np.flatnonzero(sizes < length)
-        own = sizes[part]
-        down = np.argsort(-own, kind="stable")
-        tries = []
-        for share in LARGE_SHARES:
-            large = int(len(own) * share)
-            tries.append(pack_sizes(own, np.concatenate([np.random.Generator(np.random.PCG64(len(own))).permutation(down[:large]), down[large:]]), length))
-        best = min(tries, key=lambda t: t[2])
         bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        bins[part], offsets[part], used = best
+        bins[part], offsets[part], used = best(sizes[part], length)
         full = sizes == length
         bins[full] = used + np.arange(full.sum())
         bins += (key[0].as_py() if hasattr(key[0], "as_py") else int(key[0])) << 40
