@@ -1,12 +1,12 @@
 """Toxic passages by maximum-scoring segments.
 
 Training. Of the labelled rows allowed, at most TRAIN_ROWS (a bounded sample by hash of doc_id), in how many toxic and how many other documents does each
-word, and each prefix of a word of 3 to 8 characters, occur? Log-odds with a Dirichlet prior in proportion to the pooled frequency, less Z
-standard errors; kept where that is LEAST or more, at most MODEL_SIZE features by z.
-Scoring. A word's score is the largest of its features' log-odds, or -DRIFT without one. One linear scan over the whole text finds all maximal scoring segments.
+word, and each prefix of a word of 3 to 8 characters, occur? Log-odds with a Dirichlet prior in proportion to the pooled frequency, brought Z
+standard errors nearer to nought; kept where that is LEAST or more, or -LEAST or less, at most MODEL_SIZE features of either sign by z.
+Scoring. A word's score is the largest of its features' log-odds; with evidence against only, the strongest of that, to -AGAINST; -DRIFT without a feature. One linear scan over the whole text finds all maximal scoring segments.
 Calibration. Scores of segments of other documents have an extreme-value tail: a segment of score S has E = K n exp(-lambda S) among n words;
 lambda is the positive root of the moment equation of the non-toxic word scores and K matches the segments that non-toxic training documents
-have. Significant segments (E < 1) are passages; the sum of their -ln E goes through a logistic curve fitted on the training rows.
+have. Significant segments (E < E_MOST) are passages; the sum of their -ln E goes through a logistic curve fitted on the training rows.
 
 Null and empty texts have no passage and the curve's least value as score. Without labels of both kinds every score is the base rate. Ties
 go to the earlier segment. Columns other than doc_id and text (labels: doc_id, toxic) are ignored; labels that are null or belong to no document are not used, and
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import stored
 
 TRAIN_ROWS, MODEL_SIZE, LABELS_BROADCAST = 20_000, 50_000, 2_000_000
-PRIOR, Z, LEAST, DRIFT, PREFIXES = 50.0, 1.64, 1.0, 0.35, range(3, 9)
+PRIOR, Z, LEAST, DRIFT, AGAINST, PREFIXES = 50.0, 1.64, 1.0, 0.35, 2.0, range(3, 9)
+#: A passage is significant if fewer than this many of its score are expected by chance in a text of that length.
+E_MOST = 1.0
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
@@ -39,23 +41,28 @@ def features(word: str) -> list[str]:
 
 
 def segments(positions: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score) of a text whose words score -drift but at the given positions; linear time."""
-    found: list[list[float]] = []  # first, last, sum before it, sum through it
+    """All maximal scoring segments (first word, last word, score) of a text whose words score -drift but at the given positions; linear time: every segment points to the nearest earlier one that
+    begins at a smaller sum, so no walk passes a segment twice."""
+    found: list[tuple] = []  # first, last, sum before it, sum through it, the nearest earlier one with a smaller sum before it
     total, at = 0.0, -1
     for p, s in zip(positions, scores):
         total -= drift * (p - at - 1)
-        new = [p, p, total, total + s]
-        total, at = total + s, p
+        at = p
+        if s <= 0:
+            total += s
+            continue
+        first, left, right = p, total, total + s
+        total = right
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= right:
+                found.append((first, p, left, right, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(int(a), int(b), r - left) for a, b, left, r in found]
+            k, first, left, j = j, found[j][0], found[j][2], found[j][4]
+            del found[k:]  # they make one segment with all between them
+    return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -88,8 +95,11 @@ def log_odds(sample: DataFrame, size: int = MODEL_SIZE) -> dict[str, float]:
     a, b = F.col("toxic") + PRIOR * share, F.col("clean") + PRIOR * share
     delta = F.log(a / (n1 + PRIOR - a + 1e-9)) - F.log(b / (n2 + PRIOR - b + 1e-9))
     error = F.sqrt(1 / a + 1 / b)
-    kept = counts.filter("feature <> '' and toxic >= 3").withColumn("z", delta / error).withColumn("least", delta - Z * error).filter(F.col("least") >= LEAST)
-    return {r.feature: r.least for r in kept.orderBy(F.desc("z"), "feature").limit(size).select("feature", "least").collect()}
+    # what is left of the log-odds, on either side of nought, after Z errors
+    signed = counts.filter("feature <> ''").withColumns({"z": delta / error, "odds": F.when(delta > 0, delta - Z * error).otherwise(delta + Z * error)})
+    toxic = signed.filter((F.col("toxic") >= 3) & (F.col("odds") >= LEAST)).orderBy(F.desc("z"), "feature").limit(size)
+    clean = signed.filter((F.col("clean") >= 3) & (F.col("odds") <= -LEAST)).orderBy("z", "feature").limit(size)
+    return {r.feature: r.odds for r in toxic.unionByName(clean).select("feature", "odds").collect()}
 
 
 class Scorer:
@@ -99,7 +109,11 @@ class Scorer:
         self.model, self.drift, self.seen = model, drift, {}
 
     def of(self, word: str) -> float:
-        s = max((self.model.get(f, 0.0) for f in features(word)), default=0.0)
+        odds = [self.model[f] for f in features(word) if f in self.model]
+        s = max(odds, default=0.0)
+        if s <= 0:  # only evidence against: the strongest, bounded, where it is more than a neutral word's
+            s = max(min(odds, default=0.0), -AGAINST)
+            s = s if s < -self.drift else 0.0
         if len(self.seen) > 300_000:
             self.seen.clear()
         self.seen[word] = s
@@ -122,7 +136,7 @@ class Scorer:
 def evidence(n: int, found: list, tail: tuple[float, float]) -> float:
     """The sum of -ln E of the significant segments."""
     lam, log_k = tail
-    return sum(max(0.0, lam * s - log_k - math.log(max(n, 1))) for *_, s in found)
+    return sum(max(0.0, math.log(E_MOST) + lam * s - log_k - math.log(max(n, 1))) for *_, s in found)
 
 
 def calibrate(sample: DataFrame, model: dict[str, float]) -> dict:
@@ -206,7 +220,7 @@ def scored(docs: DataFrame, model: dict[str, float], fit: dict, with_passages: b
             for text in b.column("text").to_pylist():
                 n, at, scores = scorer.text(text)
                 found = segments(at, scores, DRIFT)
-                sure = [(f, last, s, math.exp(log_k + math.log(n) - lam * s)) for f, last, s in found if lam * s - log_k - math.log(n) > 0]
+                sure = [(f, last, s, math.exp(log_k + math.log(n) - lam * s)) for f, last, s in found if math.log(E_MOST) + lam * s - log_k - math.log(n) > 0]
                 e = evidence(n, found, (lam, log_k))
                 rows.append((1 / (1 + math.exp(-(a + c * math.log1p(e)))), len(sure), e, [dict(zip(("first_word", "last_word", "score", "e_value"), s)) for s in sure] if with_passages else None))
             cols = [*zip(*rows)] or [[]] * 4
