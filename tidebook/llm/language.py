@@ -99,13 +99,16 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fitted(learn: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> dict:
     """learn: doc_id, text, lang of the rows that may be learnt from. Returns languages, table (FEATURES x languages: idf * weight * SCALE / temperature)."""
     learn = learn.filter("lang is not null and text is not null")
-    langs = sorted(r.lang for r in learn.select("lang").distinct().collect())
+    known = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    langs = sorted(known)
     if not langs:
         return {"languages": [], "table": np.zeros((FEATURES, 0), np.float32)}
     df, n_docs = document_frequencies(learn)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    chosen = learn.select("doc_id", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))).filter(F.col("rank") <= per_language)
-    sample = learn.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # per_language rows of each language
+    # a share of each language by a hash of the row, a little more than is wanted, and of that the first rows: rows that repeat are cut off by each task
+    share = F.element_at(F.create_map(*[F.lit(v) for k, n in known.items() for v in (k, int(1_000_000 * min(1.0, (1.2 * per_language + 100) / n)))]), F.col("lang"))
+    drawn = learn.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", F.lit(5)).alias("key")).filter(F.pmod("key", F.lit(1_000_000)) < share)
+    sample = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("rank") <= per_language)
     sample = sample.select("text", F.array_position(F.lit(langs), F.col("lang")).alias("y"), F.xxhash64("doc_id", F.lit(6)).alias("h"))
 
     def extract(batches):
