@@ -54,9 +54,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of the n-gram join, the document with the smallest id stays."""
     stay = classes(docs).filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("h").alias("__h")).distinct()
-    rows = _keyed(docs).join(stay, ["__id", "__h"], "left_semi")
-    once = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__id"))).filter((F.greatest("__row", F.lit(1)) == 1) | F.col("doc_id").isNull())
-    return once.select(*docs.columns)
+    rows = _keyed(docs.filter("doc_id is not null")).join(stay, ["__id", "__h"], "left_semi")
+    once = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__id"))).filter("__row = 1")
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 @_stage
