@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tidebook.operators import levels, orders
 from tidebook.plans import registry
 
-COLUMNS = "seq long, locate int, ts_ns long, mtype string, ref long, new_ref long, side string, price long, qty long, stock string, code string, match long"
+COLUMNS = "seq long, locate int, ts_ns long, mtype string, ref long, new_ref long, side string, price long, qty long, stock string, code string, match long, market string"
 T0 = 34_200_000_000_000
 SF = "/root/testdata/sf0.001"
 
 
 def tape(spark, rows):
     """rows: (mtype, locate, ref, new_ref, side, price, qty)."""
-    return spark.createDataFrame([(i + 1, r[1], T0 + 1000 * i, r[0], r[2], r[3], r[4], r[5], r[6], None, None, None) for i, r in enumerate(rows)], COLUMNS)
+    return spark.createDataFrame([(i + 1, r[1], T0 + 1000 * i, r[0], r[2], r[3], r[4], r[5], r[6], None, None, None, None) for i, r in enumerate(rows)], COLUMNS)
 
 
 def fold(rows):
@@ -113,7 +113,32 @@ def test_fifo_order(spark):
     assert levels.fifo(eps).first().refs == [3, 4, 9]
 
 
-FAST = ["census_by_type", "census_span", "symbol_activity_topk", "venue_profile", "order_episodes", "orphans_by_type", "inside_after_every_message", "crossed_locked_excuses", "micro_symbols", "order_sizes_lots", "cancel_to_trade"]
+def test_fifo_at_a_message(spark):
+    rows = [A(1, qty=500), A(2, qty=300), M("E", 1, 200), A(3, "S", 1_500_100, 400), M("U", 2, 100, 7, 1_500_000), M("X", 1, 50), M("D", 1), A(9, qty=70)]
+    _, mods, eps = built(spark, rows)
+    for at in range(1, len(rows) + 1):
+        _, _, live = fold(rows[:at])
+        want = {}
+        for locate, side, price, qty in live.values():
+            shares, n = want.get((locate, side, price), (0, 0))
+            want[locate, side, price] = (shares + qty, n + 1)
+        got = {(r.locate, r.side, r.price): (r.shares, r.orders) for r in levels.fifo(eps, mods, at).collect()}
+        assert got == want, at
+    d = {(r.price, r.what) for r in levels.difference(levels.fifo(eps, mods, 3), levels.fifo(eps)).collect()}
+    assert d == {(1_500_000, "changed"), (1_500_100, "only_b")}
+
+
+def test_adjusted_curve_takes_the_symbols_out():
+    from tidebook.stats import inference
+
+    cells = [(b, s, 100 * (1 + (b * s) % 3), 0) for b in range(4) for s in range(3)]
+    cells = [(b, s, n, n * (0.1 * b + 0.05 * s)) for b, s, n, _ in cells]  # rates without interaction
+    share = {s: sum(n for _, t, n, _ in cells if t == s) for s in range(3)}
+    level = sum(0.05 * s * n for s, n in share.items()) / sum(share.values())
+    assert all(abs(r - (0.1 * b + level)) < 1e-9 for b, r in inference.adjusted_curve(cells))
+
+
+FAST = ["census_by_type", "census_span", "symbol_activity_topk", "venue_profile", "order_episodes", "orphans_by_type", "inside_after_every_message", "crossed_locked_excuses", "micro_symbols", "order_sizes_lots", "cancel_to_trade", "order_episodes_session", "symbol_directory", "after_end_of_hours", "subcent_prices", "effect_digest", "book_differential", "leakage_ordering", "queue_bernoulli", "cancel_attribution", "fill_curve", "placement_schedule", "permutation_null", "parse_statistics", "directory_decode", "datagram_delivery"]
 
 
 @pytest.mark.parametrize("name", FAST)

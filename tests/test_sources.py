@@ -32,15 +32,26 @@ def test_framing_goes_on_after_bad_frames():
 
 
 def test_batch_and_stream_deliver_alike(spark, tmp_path):
-    rows = [("S", 0, 1, 3), ("S", 1, 1, 3), ("S", 2, 3, 4), ("S", 3, 9, 2), ("S", 4, 7, 2), ("T", 0, 4, 1)]
-    p = spark.createDataFrame(rows, "session string, arrival long, first long, count long")
-    batch = {(r.session, r.arrival): (r.outcome, r.delivered) for r in datagrams.received(p).collect()}
-    assert batch == {("S", 0): ("in_order", 3), ("S", 1): ("duplicate", 0), ("S", 2): ("trimmed", 3), ("S", 3): ("gap", 2), ("S", 4): ("duplicate", 0), ("T", 0): ("gap", 1)}
+    say = [(1, 3), (1, 3), (3, 4), (9, 2), (7, 2), (11, 0), (14, 0), (14, 2), (18, 1, "S", False), (18, 1), (19, 65535), (99, 1, "X"), (19, 2)]
+    rows = [("S", x[2] if len(x) > 2 else "S", i, x[0], x[1], x[3] if len(x) > 3 else True) for i, x in enumerate(say)] + [("T", "T", 0, 4, 1, True)]
+    p = spark.createDataFrame(rows, "session string, header string, arrival long, first long, count long, whole boolean")
+    batch = {(r.session, r.arrival): (r.outcome, r.delivered, r.missed, r.stale) for r in datagrams.received(p).collect()}
+    want = [("in_order", 3, 0), ("duplicate", 0, 0), ("trimmed", 3, 0), ("gap", 2, 2), ("duplicate", 0, 0), ("heartbeat", 0, 0), ("gap", 0, 3), ("in_order", 2, 0), ("malformed", 0, 2), ("in_order", 1, 0), ("end_of_session", 0, 0), ("other_session", 0, 0), ("in_order", 2, 0)]
+    assert batch == {("S", i): (*x, i >= 3) for i, x in enumerate(want)} | {("T", 0): ("gap", 1, 3, True)}
     p.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = datagrams.stream(spark.readStream.schema(p.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("delivered").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert {(r.session, r.arrival): (r.outcome, r.delivered) for r in spark.table("delivered").collect()} == batch
+    assert {(r.session, r.arrival): (r.outcome, r.delivered, r.missed, r.stale) for r in spark.table("delivered").collect()} == batch
+
+
+def test_files_are_read_as_sessions(spark, tmp_path):
+    data = frame("D") * 3 + frame("?") + b"\0\0xy"
+    (tmp_path / "one.bin").write_bytes(data)
+    sessions = frames.read_files(spark, str(tmp_path / "*.bin"))
+    got = frames.parse_statistics(frames.frames(sessions), sessions).first()
+    assert (got.session, got.ok, got.unknown_type, got.ended, got.bytes, got.trailing, got.clean) == ("one.bin", 3, 1, "end_marker", len(data), 2, False)
+    assert frames.digests(sessions).first().bytes == len(data)
 
 
 def test_bootstrap_error_is_that_of_a_mean(spark):

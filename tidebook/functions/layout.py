@@ -21,10 +21,18 @@ LAYOUTS = {
     "P": (44, "ref@11:8:u side@19:1:a shares@20:4:u stock@24:8:a price@32:4:u match@36:8:u"),
     "Q": (40, "shares@11:8:u stock@19:8:a price@27:4:u match@31:8:u cross_type@39:1:a"),
     "B": (19, "match@11:8:u"),
+    "R": (39, "stock@11:8:a market_category@19:1:a financial_status@20:1:a round_lot@21:4:u round_lots_only@25:1:a issue_class@26:1:a issue_subtype@27:2:a authenticity@29:1:a short_sale_threshold@30:1:a ipo_flag@31:1:a luld_tier@32:1:a etp_flag@33:1:a etp_leverage@34:4:u inverse@38:1:a"),
+    "Y": (20, "stock@11:8:a action@19:1:a"),
+    "L": (26, "mpid@11:4:a stock@15:8:a primary@23:1:a mode@24:1:a state@25:1:a"),
+    "V": (35, "level1@11:8:u level2@19:8:u level3@27:8:u"),
+    "W": (12, "level@11:1:a"),
+    "K": (28, "stock@11:8:a release_s@19:4:u qualifier@23:1:a ipo_price@24:4:u"),
+    "J": (35, "stock@11:8:a reference_price@19:4:u upper_price@23:4:u lower_price@27:4:u extension@31:4:u"),
+    "I": (50, "paired@11:8:u imbalance@19:8:u direction@27:1:a stock@28:8:a far_price@36:4:u near_price@40:4:u reference_price@44:4:u cross_type@48:1:a variation@49:1:a"),
+    "N": (20, "stock@11:8:a interest@19:1:a"),
+    "O": (48, "stock@11:8:a eligible@19:1:a lowest_price@20:4:u highest_price@24:4:u near_price@28:4:u near_time@32:8:u lower_price@40:4:u upper_price@44:4:u"),
 }
-#: Bytes of the types that are framed and counted but carry no field this engine reads.
-OTHER_LENGTHS = {"R": 39, "Y": 20, "L": 26, "V": 35, "W": 12, "K": 28, "J": 35, "I": 50, "N": 20, "O": 48}
-LENGTHS = {t: n for t, (n, _) in LAYOUTS.items()} | OTHER_LENGTHS
+LENGTHS = {t: n for t, (n, _) in LAYOUTS.items()}
 
 
 def fields(spec: str) -> list[tuple[str, int, int, str]]:

@@ -54,3 +54,25 @@ def age_buckets(mods: DataFrame) -> DataFrame:
     age = F.col("ts_ns") - F.col("start_ts")
     b = F.when(~F.col("found"), "unseen").when(age < 1_000_000, "<1ms").when(age < 10_000_000, "1-10ms").when(age < 100_000_000, "10-100ms").when(age <= 1_000_000_000, "100ms-1s").otherwise(">1s")
     return mods.groupBy("mtype", b.alias("age")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def directory(tape: DataFrame) -> DataFrame:
+    """locate, stock: the last directory entry of each symbol."""
+    return tape.filter("mtype = 'R'").groupBy("locate").agg(F.max_by("stock", "seq").alias("stock"))
+
+
+def named_activity(tape: DataFrame) -> DataFrame:
+    """activity() under the directory's names; '?' where it has none. A directory has a row for each symbol, 65,535 at most."""
+    return activity(tape).drop("stock").join(F.broadcast(directory(tape)), "locate", "left").select("locate", F.coalesce("stock", F.lit("?")).alias("stock"), "n")
+
+
+def after_hours(tape: DataFrame) -> DataFrame:
+    """Messages after the end of hours: all (the message that ends them isn't one), and those of the ten types that tick the book."""
+    ended = tape.filter("mtype = 'S' and code = 'E'").agg(F.min("seq").alias("ended"))
+    t = tape.join(F.broadcast(ended), F.col("seq") > F.col("ended"), "inner")  # one row on the right
+    return t.agg(F.count(F.lit(1)).alias("all_types"), F.coalesce(F.sum(F.col("mtype").isin(TICK_TYPES).cast("long")), F.lit(0)).alias("ticks"))
+
+
+def subcent(tape: DataFrame) -> DataFrame:
+    """mtype, priced, subcent: prices that aren't whole cents."""
+    return tape.filter("price is not null").groupBy("mtype").agg(F.count(F.lit(1)).alias("priced"), F.sum((F.col("price") % 100 != 0).cast("long")).alias("subcent"))

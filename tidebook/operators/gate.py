@@ -16,17 +16,17 @@ from tidebook.operators.tape import CLOSE_NS, OPEN_NS
 CAP_NS = 100_000_000
 
 
-def observations(tape: DataFrame, inside: DataFrame, mods: DataFrame) -> DataFrame:
-    """Per message that matters to the gate: weight (observations), the inside, state so far and the reopening it may be in."""
+def observations(tape: DataFrame, inside: DataFrame, mods: DataFrame, venue: str = "Q") -> DataFrame:
+    """Operational halts count where they are of this venue's market. Per message that matters to the gate: weight (observations), the inside, state so far and the reopening it may be in."""
     found = mods.filter("mtype = 'U'").select("seq", F.col("found").alias("_found"))
-    m = tape.select("seq", "locate", "ts_ns", "mtype", "code").join(found, "seq", "left").join(inside.select("seq", "bid", "ask"), "seq")
+    m = tape.select("seq", "locate", "ts_ns", "mtype", "code", "market").join(found, "seq", "left").join(inside.select("seq", "bid", "ask"), "seq")
     weight = F.when(F.col("mtype").isin("A", "F", "E", "C", "X", "D"), 1).when((F.col("mtype") == "U") & F.col("_found"), 2).otherwise(0)
     both = F.col("bid").isNotNull() & F.col("ask").isNotNull()
     m = m.withColumn("weight", F.when(both, weight).otherwise(0))
     by = Window.partitionBy("locate").orderBy("seq")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = m.withColumn("state", F.last(F.when(F.col("mtype") == "H", F.col("code")), ignorenulls=True).over(so_far))
-    m = m.withColumn("halt", F.last(F.when(F.col("mtype") == "h", F.col("code")), ignorenulls=True).over(so_far) == "H")
+    m = m.withColumn("halt", F.last(F.when((F.col("mtype") == "h") & (F.col("market") == venue), F.col("code")), ignorenulls=True).over(so_far) == "H")
     before = F.last(F.when(F.col("mtype") == "H", F.col("code")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     opens = (F.col("mtype") == "H") & (F.col("code") == "T") & before.isNotNull() & (before != "T")
     m = m.withColumn("opens", F.coalesce(opens, F.lit(False)))

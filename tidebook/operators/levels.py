@@ -77,7 +77,28 @@ def at_every(messages: DataFrame, states: DataFrame) -> DataFrame:
     return met.select("seq", "locate", "side", "price", "shares", "orders")
 
 
-def fifo(eps: DataFrame, at_seq: int | None = None) -> DataFrame:
-    """The levels after at_seq (null: at the end): shares, orders and the references in queue order."""
-    live = eps.filter(F.col("end_seq").isNull()) if at_seq is None else eps.filter((F.col("start_seq") <= at_seq) & (F.coalesce("end_seq", F.lit(FAR)) > at_seq))
+def fifo(eps: DataFrame, mods: DataFrame | None = None, at_seq: int | None = None) -> DataFrame:
+    """The levels after message at_seq (null: at the end): shares, orders and the references in queue order. What rests at at_seq follows from what mods have taken by then."""
+    live = eps.filter(F.col("end_seq").isNull())
+    if at_seq is not None:
+        taken = mods.filter(F.col("found") & (F.col("seq") <= at_seq)).groupBy("ref", "episode").agg(F.sum("taken").alias("_taken"))
+        live = eps.filter((F.col("start_seq") <= at_seq) & (F.coalesce("end_seq", F.lit(FAR)) > at_seq)).join(taken, ["ref", "episode"], "left").withColumn("remaining", F.col("shares0") - F.coalesce("_taken", F.lit(0)))
     return live.groupBy("locate", "side", "price").agg(F.sum("remaining").alias("shares"), F.count(F.lit(1)).alias("orders"), F.transform(F.array_sort(F.collect_list(F.struct("start_seq", "ref"))), lambda x: x["ref"]).alias("refs"))
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two books (locate, side, price, shares, orders): the levels that only one has or that differ, with which."""
+    key = ["locate", "side", "price"]
+    both = a.select(*key, F.struct("shares", "orders").alias("a")).join(b.select(*key, F.struct("shares", "orders").alias("b")), key, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select(*key, F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("changed").alias("what"), F.col("a.shares").alias("shares_a"), F.col("b.shares").alias("shares_b"))
+
+
+def at_message(states: DataFrame, at_seq: int) -> DataFrame:
+    """The levels after message at_seq, from the running states."""
+    return states.filter((F.col("seq") <= at_seq) & (F.col("until") > at_seq) & (F.col("orders") > 0)).select("locate", "side", "price", "shares", "orders")
+
+
+def digest(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """An order-free digest of a set of rows: their number and the sum of 32 bits of each one's MD5. Nulls are written as '-'."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")).alias("digest"))

@@ -57,19 +57,19 @@ def rooted(rows: DataFrame, rounds: int | None = None) -> DataFrame:
     return adds.unionByName(replaced)
 
 
-def effects(tape: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """modifications: every E, C, X, D and U with what it found: found (is there a live order), own_* of that order, rests, taken, over, emptied.
-    episodes: with end_seq, end_ts, end_by (null: still live), executed, cancelled, remaining."""
-    rows = reference_rows(tape)
-    eps = rooted(rows, rounds)
+def modifications(rows: DataFrame, eps: DataFrame) -> DataFrame:
+    """rows: reference_rows(), eps: rooted(). Every E, C, X, D and U with what it found: found (is there a live order), own_* of that order, rests, taken, over, emptied."""
     mods = rows.filter("start = 0").select("ref", "episode", "seq", "ts_ns", "mtype", "locate", "qty", "alive", "rests")
     own = eps.select("ref", "episode", F.col("locate").alias("own_locate"), F.col("side").alias("own_side"), F.col("price").alias("own_price"), "start_seq", "start_ts", "shares0")
     mods = mods.join(own, ["ref", "episode"], "left").withColumn("found", F.coalesce(F.col("alive") & F.col("start_seq").isNotNull(), F.lit(False)))
     reduces = F.col("mtype").isin(*REDUCE)
     mods = mods.withColumn("taken", F.when(F.col("found"), F.when(reduces, F.least("qty", "rests")).otherwise(F.col("rests"))))
-    mods = mods.withColumns({"over": F.coalesce(F.col("found") & reduces & (F.col("qty") > F.col("rests")), F.lit(False)), "emptied": F.coalesce(F.col("found") & reduces & (F.col("qty") >= F.col("rests")), F.lit(False))})
-    hit = F.col("found")
-    last = mods.filter(hit).groupBy("ref", "episode").agg(
+    return mods.withColumns({"over": F.coalesce(F.col("found") & reduces & (F.col("qty") > F.col("rests")), F.lit(False)), "emptied": F.coalesce(F.col("found") & reduces & (F.col("qty") >= F.col("rests")), F.lit(False))})
+
+
+def episodes(mods: DataFrame, eps: DataFrame) -> DataFrame:
+    """mods: modifications(), eps: rooted(). The episodes with end_seq, end_ts, end_by (null: still live), executed, cancelled, remaining."""
+    last = mods.filter("found").groupBy("ref", "episode").agg(
         F.max(F.when(F.col("emptied") | F.col("mtype").isin("D", "U"), F.struct("seq", "ts_ns", "mtype"))).alias("end"),
         F.sum(F.when(F.col("mtype").isin("E", "C"), F.col("taken")).otherwise(0)).alias("executed"),
         F.sum(F.when(F.col("mtype") == "X", F.col("taken")).otherwise(0)).alias("cancelled"),
@@ -78,13 +78,21 @@ def effects(tape: DataFrame, rounds: int | None = None) -> tuple[DataFrame, Data
     after = F.lead("start_seq").over(Window.partitionBy("ref").orderBy("episode"))
     after_ts = F.lead("start_ts").over(Window.partitionBy("ref").orderBy("episode"))
     eps = eps.withColumns({"_next": after, "_next_ts": after_ts}).withColumn("end", F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("seq"), F.col("_next_ts").alias("ts_ns"), F.lit("duplicate").alias("mtype"))))
-    return mods, eps.select(
+    return eps.select(
         "ref", "episode", "locate", "side", "price", "shares0", "start_seq", "start_ts", "via",
         F.col("end.seq").alias("end_seq"), F.col("end.ts_ns").alias("end_ts"), F.col("end.mtype").alias("end_by"),
         F.coalesce("executed", F.lit(0)).alias("executed"), F.coalesce("cancelled", F.lit(0)).alias("cancelled"),
     ).withColumn("remaining", F.when(F.col("end_by").isNull(), F.col("shares0") - F.col("executed") - F.col("cancelled")).otherwise(F.lit(0)))
 
 
+def effects(tape: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """modifications() and episodes() of a tape."""
+    rows = reference_rows(tape)
+    roots = rooted(rows, rounds)
+    mods = modifications(rows, roots)
+    return mods, episodes(mods, roots)
+
+
 def deltas(mods: DataFrame, eps: DataFrame) -> DataFrame:
     """What each message changes at its level: locate, side, price, seq, ts_ns, shares, orders (signed)."""
     born = eps.select("locate", "side", "price", F.col("start_seq").alias("seq"), F.col("start_ts").alias("ts_ns"), F.col("shares0").alias("shares"), F.lit(1).alias("orders"))

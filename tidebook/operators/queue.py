@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.functions.draws import drawn
 from tidebook.operators.levels import FAR
 from tidebook.operators.micro import FILL_TIMES, log_bucket, low
 from tidebook.operators.tape import TICK_TYPES
@@ -63,10 +64,14 @@ def reached(placed: DataFrame, moved: DataFrame, tape: DataFrame, life_ns: int)
     first, last = F.expr(f"ts_ns div {life_ns}"), F.expr(f"ts_ns div {life_ns}") + 2
     spread = p.select("seq", "locate", "side", "price", "last_seq", F.explode(F.sequence(first, last)).alias("bucket"))
     e = moved.select(F.col("seq").alias("at"), F.col("ts_ns").alias("at_ts"), "locate", "side", F.col("price").alias("at_price"), "kind", "qty", "start_seq", "after", F.expr(f"ts_ns div {life_ns}").alias("bucket"))
-    worse = F.when(F.col("side") == "B", F.col("at_price") < F.col("price")).otherwise(F.col("at_price") > F.col("price"))
-    hit = spread.join(e, ["locate", "side", "bucket"]).filter((F.col("at") > F.col("seq")) & (F.col("at") <= F.col("last_seq")) & ((F.col("at_price") == F.col("price")) | ((F.col("kind") == "exec") & worse)))
+    alive = (F.col("at") > F.col("seq")) & (F.col("at") <= F.col("last_seq"))
     ev = F.struct("at", "at_ts", F.when(F.col("at_price") == F.col("price"), F.col("kind")).otherwise("through").alias("kind"), F.col("qty").cast("double").alias("qty"), (F.col("start_seq") > F.col("seq")).alias("behind"), F.col("after").cast("double").alias("after"))
-    lists = hit.groupBy("seq").agg(F.array_sort(F.collect_list(ev)).alias("evs"))  # what one order sees in its life
+    same = spread.join(e.withColumn("price", F.col("at_price")), ["locate", "side", "price", "bucket"]).filter(alive).select("seq", ev.alias("ev"))
+    # executions at a worse price: only the first counts. They meet on side and bucket of time, since no equality says which prices are worse
+    worse = F.when(F.col("side") == "B", F.col("at_price") < F.col("price")).otherwise(F.col("at_price") > F.col("price"))
+    through = spread.join(e.filter("kind = 'exec'"), ["locate", "side", "bucket"]).filter(alive & worse).groupBy("seq").agg(F.min(ev).alias("ev"))
+    hit = same.unionByName(through)
+    lists = hit.groupBy("seq").agg(F.array_sort(F.collect_list("ev")).alias("evs"))  # what one order sees in its life
     return p.join(lists, "seq", "left").withColumn("evs", F.coalesce("evs", F.array().cast(lists.schema["evs"].dataType)))
 
 
@@ -88,7 +93,7 @@ def _fold(model: str, seed: int) -> Column:
         elif model == "proportional":
             cancelled = F.when(before > 0, less(a - q * (a / before))).otherwise(a)
         else:
-            draw = F.pmod(F.xxhash64(F.lit(seed), F.col("seq"), e["at"]), F.greatest(F.lit(1).cast("long"), before.cast("long")))
+            draw = drawn(F.lit(seed), F.col("seq"), e["at"]) % F.greatest(F.lit(1).cast("long"), before.cast("long"))
             cancelled = F.when((before > 0) & (draw < F.floor(a)), less(a - q)).otherwise(a)
         fills = (e["kind"] == "exec") & (a <= 0)
         ahead = F.when(e["kind"] == "exec", less(a - q)).when(e["kind"] == "cancel", cancelled).otherwise(a)
@@ -103,12 +108,14 @@ def fills(reach: DataFrame, rule4: bool = False, seed: int = 20190130, models: l
     printed = _first(lambda e: e["kind"] == "print") if rule4 else F.lit(None).cast("long")
     own = {"exact": _first(lambda e: (e["kind"] == "exec") & e["behind"])} | {m: _fold(m, seed) for m in models if m != "exact"}
     r = reach.withColumns({"_through": through, "_printed": printed} | {f"_{m}": own[m] for m in models})
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("own")) for m in models]))
-    r = r.select("seq", "locate", "side", "price", "ts_ns", "depth", "spread", "_through", "_printed", "evs", each.alias("m")).select("*", "m.model", "m.own").drop("m")
-    seq = F.least("own", "_through", "_printed")
-    reason = F.when(seq.isNull(), "expired").when(seq == F.col("_through"), "trade_through").when(seq == F.col("_printed"), "non_displayed_print").otherwise("execution_behind")
-    r = r.withColumn("fill_seq", seq).withColumn("fill_ts", F.get(F.filter("evs", lambda e: e["at"] == F.col("fill_seq")), 0)["at_ts"])
-    return r.select("seq", "locate", "side", "price", "ts_ns", "depth", "spread", "model", "fill_seq", "fill_ts", reason.alias("reason"))
+
+    def outcome(m: str) -> Column:
+        seq = F.least(f"_{m}", "_through", "_printed")
+        reason = F.when(seq.isNull(), "expired").when(seq == F.col("_through"), "trade_through").when(seq == F.col("_printed"), "non_displayed_print").otherwise("execution_behind")
+        return F.struct(F.lit(m).alias("model"), seq.alias("fill_seq"), F.get(F.filter("evs", lambda e: e["at"] == seq), 0)["at_ts"].alias("fill_ts"), reason.alias("reason"))
+
+    r = r.select("seq", "locate", "side", "price", "ts_ns", "depth", "spread", F.array(*map(outcome, models)).alias("all")).select("*", F.explode("all").alias("m"))
+    return r.select("seq", "locate", "side", "price", "ts_ns", "depth", "spread", "m.model", "m.fill_seq", "m.fill_ts", "m.reason")
 
 
 def rates(filled: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def cancel_attribution(reach: DataFrame) -> DataFrame:
 
 def values(filled: DataFrame, inside: DataFrame, tape: DataFrame) -> DataFrame:
     """For each fill and horizon: the signed move of the mid from the fill price, at the first message of any symbol that is due. Without one, or without a two-sided book then, no row."""
-    f = filled.filter("fill_seq is not null").withColumn("h", F.explode(F.array(*map(F.lit, HORIZONS_S)))).withColumn("id", F.concat_ws("-", "seq", "model", "h"))
+    f = filled.filter("fill_seq is not null").withColumn("h", F.explode(F.array(*[F.lit(h).cast("long") for h in HORIZONS_S]))).withColumn("id", F.concat_ws("-", "seq", "model", "h"))
     due = first_tick(f.select("id", (F.col("fill_ts") + F.col("h") * 1_000_000_000).alias("due_ts")), tape).filter("tick_seq is not null")
     f = f.join(due.select("id", "tick_seq"), "id")
     known = inside.select("locate", "seq", F.struct("bid", "ask").alias("at"), F.lit(None).cast("string").alias("id"))
@@ -165,3 +172,66 @@ def values(filled: DataFrame, inside: DataFrame, tape: DataFrame) -> DataFrame:
     mid = (F.col("b") + F.col("a")) / 2.0
     edge = F.when(F.col("side") == "B", mid - F.col("price")).otherwise(F.col("price") - mid)
     return v.select("seq", "model", "h", "depth", "spread", edge.alias("value"), F.when(F.col("spread") > 0, edge / (F.col("spread") / 2.0)).otherwise(0.0).alias("value_hs"))
+
+
+def mean_values(valued: DataFrame) -> DataFrame:
+    """By model and horizon: fills, and the mean value in ticks and in half-spreads (fills at no spread count in both denominators)."""
+    return valued.groupBy("model", F.col("h").alias("horizon_s")).agg(F.count(F.lit(1)).alias("fills"), F.round(F.avg(F.col("value") / 100.0), 6).alias("mean_ticks"), F.round(F.sum("value_hs") / F.count(F.lit(1)), 6).alias("mean_halfspreads"))
+
+
+def by_symbol(filled: DataFrame, models: list[str]) -> DataFrame:
+    """locate, placed, and each model's fill rate in a column of its own."""
+    return filled.groupBy("locate").pivot("model", models).agg(F.round(F.avg(F.col("fill_seq").isNotNull().cast("double")), 6)).join(filled.filter(F.col("model") == models[0]).groupBy("locate").agg(F.count(F.lit(1)).alias("placed")), "locate")
+
+
+def curve(filled: DataFrame, least_placed: int, least_symbols: int) -> DataFrame:
+    """The exact model's fill rate by fine bin: mean shares ahead, whether the bin is kept, and, among the kept ones, the second difference on their uneven grid."""
+    b = edge_bucket(F.col("depth"), AHEAD_EDGES)
+    c = filled.filter("model = 'exact'").groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("placed"), F.countDistinct("locate").alias("symbols"), F.avg("depth").alias("x"), F.avg(F.col("fill_seq").isNotNull().cast("double")).alias("r"))
+    c = c.withColumn("kept", (F.col("placed") >= least_placed) & (F.col("symbols") >= least_symbols))
+    w = Window.partitionBy("kept").orderBy("bin")  # a row for each bin
+    up, down = (F.lead("r").over(w) - F.col("r")) / (F.lead("x").over(w) - F.col("x")), (F.col("r") - F.lag("r").over(w)) / (F.col("x") - F.lag("x").over(w))
+    bend = 2 * (up - down) / (F.lead("x").over(w) - F.lag("x").over(w))
+    return c.select("bin", "placed", "symbols", F.round("x", 6).alias("mean_ahead"), F.round("r", 6).alias("fill_rate"), "kept", F.round(F.when(F.col("kept"), bend * 1e6), 6).alias("bend"))
+
+
+def label(edges: list[int]) -> Column:
+    """The name of a bucket, lo-hi, from its number in column bin."""
+    names = [f"{lo}-{hi}" for lo, hi in zip(edges, edges[1:])] + [f"{edges[-1]}+"]
+    return F.element_at(F.array(*map(F.lit, names)), F.col("bin") + 1)
+
+
+def schedule(tape: DataFrame, inside: DataFrame, universe: DataFrame, mean_gap_ns: int, refresh_ns: int, open_ns: int, seed: int, most: int = 64) -> DataFrame:
+    """Placements at exponential gaps: k, seq (the first tick that is due), locate, side, price, depth, overrun. universe: locate, rank.
+
+    Every refresh_ns, at the first tick, the universe's symbols whose inside is two-sided then, in rank order, are those that may be picked until the next refresh; a pick and a coin are drawn
+    for each placement. What one tick has beyond `most` due placements is dropped and marked as overrun. A symbol that isn't two-sided when picked gets no placement (price null)."""
+    spark = tape.sparkSession
+    t = tape.filter(F.col("mtype").isin(TICK_TYPES)).select("seq", "ts_ns")
+    last = t.agg(F.max("ts_ns")).first()[0] or open_ns
+    n = int(1.5 * (last - open_ns) / mean_gap_ns) + 100
+    gap = F.floor(-F.log((drawn(F.lit(seed), F.col("k"), F.lit("gap")) + 0.5) / 4294967296.0) * mean_gap_ns).cast("long")
+    due = spark.range(n).withColumnRenamed("id", "k").withColumn("due_ts", F.lit(open_ns) + F.sum(gap).over(Window.orderBy("k"))).filter(F.col("due_ts") <= last)  # one session's placements
+    ticked = first_tick(due.select(F.col("k").alias("id"), "due_ts"), tape).filter("tick_seq is not null").select(F.col("id").alias("k"), F.col("tick_seq").alias("seq"), "due_ts")
+    # refreshes: at each, whether each symbol of the universe is two-sided
+    rounds = spark.range(int((last - open_ns) // refresh_ns) + 1).select(F.col("id"), (F.lit(open_ns) + F.col("id") * refresh_ns).alias("due_ts"))
+    fresh = first_tick(rounds, tape).filter("tick_seq is not null").groupBy(F.col("tick_seq").alias("seq")).agg(F.max("id").alias("round"))
+    asked = fresh.crossJoin(F.broadcast(universe)).select("locate", "rank", "seq", "round")  # rounds x universe, both bounded
+    eligible = _inside_at(asked, inside).filter("bid is not null and ask is not null").groupBy(F.col("seq").alias("fresh_seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "locate"))), lambda x: x["locate"]).alias("symbols"))
+    both = ticked.select("seq", "k", F.lit(None).cast("array<int>").alias("symbols")).unionByName(eligible.select(F.col("fresh_seq").alias("seq"), F.lit(None).cast("long").alias("k"), "symbols"))
+    both = both.withColumn("symbols", F.last("symbols", ignorenulls=True).over(Window.orderBy("seq", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("k is not null and size(symbols) > 0")
+    picked = both.select("k", "seq", F.expr("symbols").alias("symbols"), F.row_number().over(Window.partitionBy("seq").orderBy("k")).alias("nth"))
+    picked = picked.select("k", "seq", F.get("symbols", (drawn(F.lit(seed), F.col("k"), F.lit("pick")) % F.size("symbols")).cast("int")).alias("locate"), F.when(drawn(F.lit(seed), F.col("k"), F.lit("coin")) % 2 == 0, "B").otherwise("S").alias("side"), (F.col("nth") > most).alias("overrun"))
+    got = _inside_at(picked, inside)
+    ok = F.col("bid").isNotNull() & F.col("ask").isNotNull() & ~F.col("overrun")
+    buy = F.col("side") == "B"
+    return got.select("k", "seq", "locate", "side", F.when(ok, F.when(buy, F.col("bid")).otherwise(F.col("ask"))).alias("price"), F.when(ok, F.when(buy, F.col("bid_qty")).otherwise(F.col("ask_qty"))).alias("depth"), "overrun")
+
+
+def _inside_at(asked: DataFrame, inside: DataFrame) -> DataFrame:
+    """asked: locate, seq and more. With the symbol's inside after message seq of any symbol."""
+    known = inside.select("locate", "seq", F.struct("bid", "ask", "bid_qty", "ask_qty").alias("at"), F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in asked.dtypes)}>").alias("ask_row"))
+    rows = asked.select("locate", "seq", F.lit(None).cast(known.schema["at"].dataType).alias("at"), F.struct(*asked.columns).alias("ask_row"))
+    w = Window.partitionBy("locate").orderBy("seq", F.col("ask_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = known.unionByName(rows).withColumn("at", F.last("at", ignorenulls=True).over(w)).filter("ask_row is not null")
+    return got.select("ask_row.*", "at.bid", "at.ask", "at.bid_qty", "at.ask_qty")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.operators.census import busiest
 from tidebook.operators.tape import CLOSE_NS, OPEN_NS, TICK_TYPES
 
 FEATURES = ["ofi", "queue_imbalance", "micro_dev", "trade_sign"]
@@ -48,7 +49,7 @@ def closed(touched: DataFrame, n: int, lag1: bool = False) -> DataFrame:
     """locate, wid: every full window at its close, with features and whether it is usable. lag1: order flow and imbalance as of one update earlier."""
     last = F.max(F.when(F.col("last_of"), F.struct("seq", "ts_ns", "now", "before", "e", "depth")))
     w = touched.groupBy("locate", "wid").agg(
-        last.alias("last"), F.sum("e").alias("flow"), F.sum("depth").alias("depth"), F.sum("signed").alias("signed"), F.sum("total").alias("total"), F.max(F.col("stained").cast("int")).alias("stained"), F.min(F.when(F.col("update"), F.col("ts_ns"))).alias("start_ts")
+        last.alias("last"), F.sum("e").alias("flow"), F.sum("depth").alias("depth"), F.sum("signed").alias("signed"), F.sum("total").alias("total"), F.max(F.col("stained").cast("int")).alias("stained"), F.min(F.when(F.col("update"), F.col("ts_ns"))).alias("start_ts"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     ).filter("last is not null")
     bid, ask, qb, qa = (F.col(f"last.now.{x}") for x in ("bid", "ask", "bid_qty", "ask_qty"))
     mid, spread, q = (bid + ask) / 2.0, ask - bid, qb + qa
@@ -60,14 +61,19 @@ def closed(touched: DataFrame, n: int, lag1: bool = False) -> DataFrame:
         "locate", "wid", F.col("last.seq").alias("close_seq"), F.col("last.ts_ns").alias("close_ts"), usable.alias("usable"),
         F.when(mean_depth > 0, flow / mean_depth).otherwise(0.0).alias("ofi"), F.when(fb + fa > 0, (fb - fa) / (fb + fa)).otherwise(0.0).alias("queue_imbalance"),
         F.when(q > 0, ((qa * bid + qb * ask) / q - mid) / 100.0).otherwise(0.0).alias("micro_dev"), F.when(F.col("total") > 0, F.col("signed") / F.col("total")).otherwise(0.0).alias("trade_sign"),
-        mid.alias("mid"), spread.alias("spread"), bid.alias("bid"), ask.alias("ask"), qb.alias("bid_qty"), qa.alias("ask_qty"),
+        mid.alias("mid"), spread.alias("spread"), bid.alias("bid"), ask.alias("ask"), qb.alias("bid_qty"), qa.alias("ask_qty"), "first_seq", "last_seq",
     )
 
 
 def labelled(windows: DataFrame) -> DataFrame:
     """Rows of two usable windows in a row: the features of the first, the move to the second."""
     by = Window.partitionBy("locate").orderBy("wid")
-    nxt = windows.withColumns({"n_wid": F.lead("wid").over(by), "n_usable": F.lead("usable").over(by), "n_mid": F.lead("mid").over(by), "n_seq": F.lead("close_seq").over(by)})
+    nxt = windows.withColumns({"n_wid": F.lead("wid").over(by), "n_usable": F.lead("usable").over(by), "n_mid": F.lead("mid").over(by), "n_seq": F.lead("close_seq").over(by), "n_first": F.lead("first_seq").over(by)})
     rows = nxt.filter("usable and n_usable and n_wid = wid + 1")
     label = F.col("n_mid") - F.col("mid")
-    return rows.select("locate", "wid", "close_seq", "close_ts", "n_seq", *FEATURES, (F.col("mid") / 10000.0).alias("mid"), (F.col("spread") / 100.0).alias("spread_ticks"), (label / 100.0).alias("label_ticks"), (label / (F.col("spread") / 2.0)).alias("label_halfspreads"))
+    return rows.select("locate", "wid", "close_seq", "close_ts", "n_seq", F.col("last_seq").alias("feat_last_msg"), F.col("n_first").alias("label_first_msg"), F.col("n_seq").alias("label_last_msg"), *FEATURES, (F.col("mid") / 10000.0).alias("mid"), (F.col("spread") / 100.0).alias("spread_ticks"), (label / 100.0).alias("label_ticks"), (label / (F.col("spread") / 2.0)).alias("label_halfspreads"))
+
+
+def of_universe(features: DataFrame, tape: DataFrame, n: int) -> DataFrame:
+    """The rows of the n busiest symbols (n is bounded: a universe)."""
+    return features.join(F.broadcast(busiest(tape, n).select("locate")), "locate", "left_semi")

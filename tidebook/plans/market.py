@@ -8,37 +8,42 @@ from pyspark.sql import functions as F
 from tidebook.operators import census, gate, levels, micro, orders, queue, strategy, windows
 from tidebook.operators.tape import tape
 from tidebook.plans import sql as S
+from tidebook.plans.stage import kept
 
 WINDOW, EVERY, LIFE_NS, SAMPLE_NS = 10, 25, 600_000_000_000, 60_000_000_000
 SQL_MODELS = ["exact", "conservative", "optimistic", "proportional"]
 
 
 class Book:
-    """The stages that several queries share, each made when asked for. On this tape no replacement's order is modified, so links needn't be doubled."""
+    """The stages that several queries share, each made when asked for and written once: a later stage's plan begins at the tables before it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, variant: str = "plain") -> None:
-        self.tape = tape(spark, sf_dir, variant)
-        self.messages = self.tape.select("seq", "locate", "ts_ns", "mtype")
+        self.variant = variant
+        self._source = tape(spark, sf_dir, variant)
         self._made: dict[str, DataFrame] = {}
 
     def _kept(self, name: str, make) -> DataFrame:
-        """Made once and kept (memory, then disk) for the stages of this query that read it again."""
         if name not in self._made:
-            self._made[name] = make().persist()
+            self._made[name] = kept(make(), name)
         return self._made[name]
 
+    tape = property(lambda self: self._kept("tape", lambda: self._source))
+    messages = property(lambda self: self.tape.select("seq", "locate", "ts_ns", "mtype"))
+    rows = property(lambda self: self._kept("rows", lambda: orders.reference_rows(self.tape)))
+    roots = property(lambda self: self._kept("roots", lambda: orders.rooted(self.rows)))
+    mods = property(lambda self: self._kept("mods", lambda: orders.modifications(self.rows, self.roots)))
+    eps = property(lambda self: self._kept("eps", lambda: orders.episodes(self.mods, self.roots)))
+
     def effects(self):
-        if "mods" not in self._made:
-            self._made["mods"], self._made["eps"] = (d.persist() for d in orders.effects(self.tape, rounds=0))
-        return self._made["mods"], self._made["eps"]
+        return self.mods, self.eps
 
-    mods = property(lambda self: self.effects()[0])
-    eps = property(lambda self: self.effects()[1])
     states = property(lambda self: self._kept("states", lambda: levels.level_states(orders.deltas(*self.effects()))))
     inside = property(lambda self: self._kept("inside", lambda: levels.inside(self.messages, self.states)))
 
+    touches = property(lambda self: self._kept("touches", lambda: windows.touches(self.tape, self.inside, self.mods, WINDOW)))
+
     def windows(self, lag1: bool = False) -> DataFrame:
-        return windows.closed(windows.touches(self.tape, self.inside, self.mods, WINDOW), WINDOW, lag1)
+        return self._kept(f"windows-{lag1}", lambda: windows.closed(self.touches, WINDOW, lag1))
 
     def features(self, lag1: bool = False) -> DataFrame:
         return windows.labelled(self.windows(lag1))
@@ -47,7 +52,11 @@ class Book:
         return self._kept("reached", lambda: queue.reached(queue.placements(self.inside, EVERY), queue.events(self.mods, self.states, self.tape), self.tape, LIFE_NS))
 
     def fills(self, rule4: bool = False, models: list[str] | None = None) -> DataFrame:
-        return self._kept("fills", lambda: queue.fills(self.reached(), rule4, models=models or SQL_MODELS))
+        return self._kept(f"fills-{rule4}-{'-'.join(models or ['all'])}", lambda: queue.fills(self.reached(), rule4, models=models or SQL_MODELS))
+
+
+    def values(self) -> DataFrame:
+        return self._kept("values", lambda: queue.values(self.fills(), self.inside, self.tape))
 
 
 QUERIES: dict = {}
@@ -141,7 +150,7 @@ query("spread_session_segments", _book("SELECT max(symbols) AS symbols, round(av
 
 _F = ("ofi", "queue_imbalance", "micro_dev", "trade_sign", "mid", "spread_ticks", "label_ticks", "label_halfspreads")
 _rounded = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
-for _name, _variant in (("feature_windows", "plain"), ("feature_windows_halts", "full")):
+for _name, _variant in (("feature_windows", "plain"), ("feature_windows_halts", "session")):
     query(_name, _book(f"SELECT locate, wid, close_ts, {_rounded(_F)} FROM feat", _WIN, variant=_variant), _variant)(lambda b: b.features().select("locate", "wid", "close_ts", *[F.round(n, 6).alias(n) for n in _F]))
 query("feature_windows_lag1", _book("SELECT locate, wid, round(ofi_lag1, 6) AS ofi, round(queue_imbalance_lag1, 6) AS queue_imbalance, round(micro_dev, 6) AS micro_dev, round(trade_sign, 6) AS trade_sign FROM feat", _WIN))(lambda b: b.features(lag1=True).select("locate", "wid", *[F.round(n, 6).alias(n) for n in _F[:4]]))
 query("window_outcomes", _book("SELECT locate, count(*) AS windows, count(*) FILTER (usable) AS usable, count(*) FILTER (start_bad) AS out_of_hours FROM (SELECT *, NOT (close_ts < 57600000000000) AS start_bad FROM win) GROUP BY locate", _WIN, variant="full"), "full")(lambda b: b.windows().groupBy("locate").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.col("usable").cast("long")).alias("usable"), F.sum((F.col("close_ts") >= 57_600_000_000_000).cast("long")).alias("out_of_hours")))
@@ -152,14 +161,12 @@ _Q = "seq, locate, side, price, depth, fill_seq, reason"
 for _m in SQL_MODELS:
     query(f"queue_{_m}", _book(f"SELECT {_Q} FROM fl", _QUEUE[0], S.fills([_m])))(lambda b, m=_m: b.fills(models=[m] if m == "exact" else ["exact", m]).filter(F.col("model") == m).select(*_Q.split(", ")))
 query("queue_rule4", _book(f"SELECT model, {_Q} FROM fl", _QUEUE[0], S.fills(SQL_MODELS, True), variant="full"), "full")(lambda b: b.fills(rule4=True).select("model", *_Q.split(", ")))
-query("queue_bernoulli")(lambda b: b.fills(models=["exact", "bernoulli"]).filter("model = 'bernoulli'").select(*_Q.split(", ")))
 query("fill_rate_grouping_sets", _book(f"SELECT model, depth_bucket, bin, symbol, CASE grouping_id(depth_bucket, bin, symbol) WHEN 7 THEN 'pooled' WHEN 3 THEN 'depth' WHEN 5 THEN 'bin' ELSE 'symbol' END AS \"by\", count(*) AS placed, sum(f)::BIGINT AS filled, round(sum(f)::DOUBLE / count(*), 6) AS fill_rate FROM (SELECT model, locate AS symbol, {S._buckets('depth', queue.DEPTH_EDGES[1:])} AS depth_bucket, {S._buckets('depth', queue.AHEAD_EDGES[1:])} AS bin, (fill_seq IS NOT NULL)::INTEGER AS f FROM fl) GROUP BY GROUPING SETS ((model), (model, depth_bucket), (model, bin), (model, symbol))", *_QUEUE))(lambda b: queue.rates(b.fills()))
 query("bias_vs_exact", _book("SELECT model, placed, filled, round(r, 6) AS fill_rate, round(r - e, 6) AS bias, round((r - e) / e, 6) AS relative_bias FROM (SELECT *, filled::DOUBLE / placed AS r, max(filled::DOUBLE / placed) FILTER (model = 'exact') OVER () AS e FROM (SELECT model, count(*) AS placed, count(fill_seq) AS filled FROM fl GROUP BY model))", *_QUEUE))(lambda b: queue.bias(b.fills()))
 query("fill_reasons", _book("SELECT model, reason, count(*) AS n FROM fl GROUP BY ALL", *_QUEUE))(lambda b: queue.reasons(b.fills()))
 _TTF = f"ttf AS (SELECT model, bucket, count(*) AS n, [{', '.join(repr(e) + '::DOUBLE' for e in _FILL)}][bucket + 1] AS low_ns FROM (SELECT model, {S._buckets('(fill_ts - ts_ns)::DOUBLE', [repr(e) + '::DOUBLE' for e in _FILL[1:-1]])} AS bucket FROM fl WHERE fill_seq IS NOT NULL) GROUP BY model, bucket)"
 query("time_to_fill_histogram", _book("SELECT model, bucket, n, low_ns FROM ttf", *_QUEUE, _TTF))(lambda b: queue.time_to_fill(b.fills()))
 query("median_time_to_fill", _book(S.median("ttf", "model", _FILL, True), *_QUEUE, _TTF))(lambda b: micro.median_of_histogram(queue.time_to_fill(b.fills()), "model", *micro.FILL_TIMES, True).select("model", F.round("median", 3).alias("median")))
-query("cancel_attribution")(lambda b: queue.cancel_attribution(b.reached()))
 # --- strategy -------------------------------------------------------------------------
 
 _PNL = """qt AS (SELECT close_seq AS seq, locate, lead_seq AS exit_seq, lead_mid AS exit_mid, CASE WHEN queue_imbalance > 0 THEN 'B' ELSE 'S' END AS side, CASE WHEN queue_imbalance > 0 THEN bid ELSE ask END AS price, spread FROM (SELECT *, lead(close_seq) OVER w AS lead_seq, lead(mid) OVER w AS lead_mid FROM win WINDOW w AS (PARTITION BY locate ORDER BY wid)) WHERE usable AND queue_imbalance <> 0),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidebook.plans import inference, market
+from tidebook.plans import inference, market, session
 
 FLAGSHIP = "inside_after_every_message"
-QUERIES: dict = market.QUERIES | inference.QUERIES
-SQL: dict[str, str] = market.SQL | inference.SQL
+QUERIES: dict = market.QUERIES | inference.QUERIES | session.QUERIES
+SQL: dict[str, str] = market.SQL | inference.SQL | session.SQL

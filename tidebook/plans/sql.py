@@ -15,34 +15,62 @@ _PRICE = {
 
 
 def tape(variant: str = "plain") -> str:
+    if variant == "session":
+        return _session()
     return f"""{_E},
 t1 AS (SELECT *, {_FULL if variant == "full" else _PLAIN} AS mtype FROM e),
 t2 AS (SELECT *, coalesce(sum((mtype IN ('A', 'F'))::BIGINT) OVER (PARTITION BY locate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS nb FROM t1),
-t3 AS (SELECT *, CASE WHEN mtype IN ('E', 'C', 'X', 'D', 'U') AND nb > 0 THEN nb - c % least(nb, 20) END AS target FROM t2),
-tape AS (SELECT t3.seq, t3.locate, t3.ts_ns, t3.mtype, CASE WHEN t3.mtype IN ('A', 'F') THEN t3.seq ELSE a.seq END AS ref, CASE WHEN t3.mtype = 'U' THEN t3.seq + 1000000000 END AS new_ref,
+t3 AS (SELECT *, seq AS own, NULL::BIGINT AS renamed, CASE WHEN mtype IN ('E', 'C', 'X', 'D', 'U') AND nb > 0 THEN nb - c % least(nb, 20) END AS target FROM t2),
+tape AS ({_rows(_PRICE[variant], "'Q'")})"""
+
+
+def _rows(price: str, market: str, subcent: str = "") -> str:
+    return f"""SELECT t3.seq, t3.locate, t3.ts_ns, t3.mtype, CASE WHEN t3.mtype IN ('A', 'F') THEN t3.own ELSE coalesce(t3.renamed, a.own) END AS ref, CASE WHEN t3.mtype = 'U' THEN t3.seq + 1000000000 END AS new_ref,
   CASE WHEN t3.mtype IN ('A', 'F') THEN CASE WHEN t3.c % 2 = 0 THEN 'B' ELSE 'S' END END AS side,
-  CASE WHEN t3.mtype IN ('A', 'F', 'U', 'P', 'C', 'Q') THEN {_PRICE[variant].replace("c //", "t3.c //").replace("bid", "CASE WHEN t3.mtype = 'U' THEN coalesce(a.c % 2 = 0, true) ELSE t3.c % 2 = 0 END")} END::BIGINT AS price,
+  CASE WHEN t3.mtype IN ('A', 'F', 'U', 'P', 'C', 'Q') THEN {price.replace("c //", "t3.c //").replace("bid", "CASE WHEN t3.mtype = 'U' THEN coalesce(a.c % 2 = 0, true) ELSE t3.c % 2 = 0 END")} {subcent} END::BIGINT AS price,
   CASE WHEN t3.mtype NOT IN ('D', 'H', 'h', 'B') THEN CASE WHEN t3.mtype = 'Q' THEN 100 * ((t3.c // 10) % 3) ELSE 100 * (1 + (t3.c // 10) % 7) END END::BIGINT AS qty,
   'SYM' || t3.locate AS stock,
-  CASE t3.mtype WHEN 'H' THEN ['H', 'P', 'Q', 'T'][(t3.c // 23) % 4 + 1] WHEN 'h' THEN CASE WHEN (t3.c // 23) % 2 = 0 THEN 'H' ELSE 'T' END WHEN 'Q' THEN ['O', 'C', 'H', 'I'][(t3.c // 23) % 4 + 1] END AS code, t3.c AS "match"
-  FROM t3 LEFT JOIN t3 a ON a.locate = t3.locate AND a.mtype IN ('A', 'F') AND a.nb + 1 = t3.target)"""
-
-
-#: On this tape every reference is added once and no message names a replacement's new reference, so a replacement's order lives to the end.
-ORDERS = """m0 AS (SELECT t.seq, t.ts_ns, t.mtype, t.locate, t.qty, t.ref, a.seq AS start_seq, a.ts_ns AS start_ts, a.side, a.price, a.qty AS shares0,
-    coalesce(sum(CASE WHEN t.mtype IN ('E', 'C', 'X') THEN t.qty END) OVER b, 0)::BIGINT AS gone, coalesce(bool_or(t.mtype IN ('D', 'U')) OVER b, false) AS ended
-  FROM tape t LEFT JOIN tape a ON a.ref = t.ref AND a.mtype IN ('A', 'F') WHERE t.mtype IN ('E', 'C', 'X', 'D', 'U')
-  WINDOW b AS (PARTITION BY t.ref ORDER BY t.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-mods AS (SELECT *, found AND mtype IN ('E', 'C', 'X') AND qty > shares0 - gone AS over, found AND mtype IN ('E', 'C', 'X') AND qty >= shares0 - gone AS emptied,
+  CASE t3.mtype WHEN 'H' THEN ['H', 'P', 'Q', 'T'][(t3.c // 23) % 4 + 1] WHEN 'h' THEN CASE WHEN (t3.c // 23) % 2 = 0 THEN 'H' ELSE 'T' END WHEN 'Q' THEN ['O', 'C', 'H', 'I'][(t3.c // 23) % 4 + 1] END AS code, t3.c AS "match",
+  CASE WHEN t3.mtype = 'h' THEN {market} END AS market
+  FROM t3 LEFT JOIN t3 a ON a.locate = t3.locate AND a.mtype IN ('A', 'F') AND a.nb + 1 = t3.target"""
+
+
+def _session() -> str:
+    kind = f"CASE WHEN event_type = 'view' THEN CASE WHEN c % 101 = 0 THEN 'P' WHEN c % 503 = 1 THEN 'H' WHEN c % 503 = 2 THEN 'h' ELSE 'A' END ELSE {_PLAIN} END"
+    head = ["(1, 0, -4, 'S', NULL, 'O')", *[f"({1 + k}, {k}, -3, 'R', 'SYM{k}', 'Q')" for k in range(1, 8)], "(10, 0, -2, 'S', NULL, 'S')", "(11, 0, -1, 'S', NULL, 'Q')"]
+    tail = ["(2 * n - 79, 0, 0, 'S', NULL, 'M')", "(2 * n - 39, 0, 1, 'S', NULL, 'E')", "(2 * n + 31, 1, 2, 'R', 'SYM1B', 'Q')", "(2 * n + 33, 0, 3, 'S', NULL, 'C')"]
+    rows = lambda base, xs: " UNION ALL ".join(f"SELECT {s}, {l}::INTEGER, {base} + {t}, '{k}', NULL::BIGINT, NULL::BIGINT, NULL, NULL::BIGINT, NULL::BIGINT, {stock}, '{code}', NULL::BIGINT, NULL FROM cnt" for s, l, t, k, stock, code in (x[1:-1].replace("'", "").split(", ") for x in xs) for stock in [stock if stock == "NULL" else f"'{stock}'"])  # noqa: E731, E741
+    before = "OVER (PARTITION BY locate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{_E.replace("event_id + 1 AS seq", "2 * event_id + 20 AS seq")},
+cnt AS (SELECT count(*) AS n FROM events),
+t1 AS (SELECT *, {kind} AS mtype FROM e),
+t2 AS (SELECT *, coalesce(sum((mtype IN ('A', 'F'))::BIGINT) {before}, 0)::BIGINT AS nb, coalesce(sum((mtype = 'U')::BIGINT) {before}, 0)::BIGINT AS nu FROM t1),
+t2a AS (SELECT x.*, coalesce(y.seq, x.seq) AS own FROM t2 x LEFT JOIN t2 y ON x.mtype IN ('A', 'F') AND x.c % 13 = 0 AND x.nb > 40 AND y.locate = x.locate AND y.mtype IN ('A', 'F') AND y.nb + 1 = x.nb - 30 - x.c % 5),
+t3 AS (SELECT x.*, y.seq + 1000000000 AS renamed, CASE WHEN x.mtype IN ('E', 'C', 'X', 'D', 'U') AND x.nb > 0 THEN x.nb - x.c % least(x.nb, 20) END AS target
+  FROM t2a x LEFT JOIN t2a y ON x.mtype IN ('E', 'C', 'X', 'D', 'U') AND x.nb > 0 AND x.c % 5 < 3 AND x.nu > 0 AND y.locate = x.locate AND y.mtype = 'U' AND y.nu + 1 = x.nu - x.c % greatest(1, least(x.nu, 4))),
+tape AS ({_rows(_PRICE["plain"], "CASE WHEN (t3.c // 46) % 2 = 0 THEN 'B' ELSE 'Q' END", "+ CASE WHEN t3.mtype = 'P' THEN t3.c % 3 * 25 ELSE 0 END")}
+  UNION ALL {rows(34200000000000, head)} UNION ALL {rows(57600000000000, tail)})"""
+
+
+#: Each start's life is worked out as if its order existed; then a recursion from the adds, along the replacements that end a life, says which exist.
+ORDERS = """st AS (SELECT ref, seq AS start_seq, ts_ns AS start_ts, locate, side, price, qty AS shares0, mtype AS via FROM tape WHERE mtype IN ('A', 'F')
+  UNION ALL SELECT new_ref, seq, ts_ns, NULL, NULL, price, qty, 'U' FROM tape WHERE mtype = 'U'),
+m0 AS (SELECT t.seq, t.ts_ns, t.mtype, t.qty, t.ref, s.start_seq, s.shares0 FROM (SELECT * FROM tape WHERE mtype IN ('E', 'C', 'X', 'D', 'U')) t ASOF LEFT JOIN st s ON s.ref = t.ref AND s.start_seq < t.seq),
+m1 AS (SELECT *, coalesce(sum(CASE WHEN mtype IN ('E', 'C', 'X') THEN qty END) OVER b, 0)::BIGINT AS gone, coalesce(bool_or(mtype IN ('D', 'U')) OVER b, false) AS ended FROM m0 WINDOW b AS (PARTITION BY ref, start_seq ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m2 AS (SELECT *, coalesce(start_seq IS NOT NULL AND NOT ended AND gone < shares0, false) AS alive FROM m1),
+ex AS (WITH RECURSIVE r AS (SELECT ref, start_seq, locate, side FROM st WHERE via <> 'U' UNION ALL
+    SELECT c.ref, c.start_seq, r.locate, r.side FROM r JOIN m2 p ON p.ref = r.ref AND p.start_seq = r.start_seq AND p.mtype = 'U' AND p.alive JOIN st c ON c.via = 'U' AND c.start_seq = p.seq) SELECT * FROM r),
+ep0 AS (SELECT st.ref, ex.locate, ex.side, st.price, st.shares0, st.start_seq, st.start_ts, st.via, lead(st.start_seq) OVER w AS next_seq, lead(st.start_ts) OVER w AS next_ts FROM st JOIN ex ON ex.ref = st.ref AND ex.start_seq = st.start_seq WINDOW w AS (PARTITION BY st.ref ORDER BY st.start_seq)),
+mods AS (SELECT * EXCLUDE (alive), found AND mtype IN ('E', 'C', 'X') AND qty > shares0 - gone AS over, found AND mtype IN ('E', 'C', 'X') AND qty >= shares0 - gone AS emptied,
     CASE WHEN found THEN CASE WHEN mtype IN ('E', 'C', 'X') THEN least(qty, shares0 - gone) ELSE shares0 - gone END END AS taken, greatest(0, shares0 - gone) AS rests
-  FROM (SELECT *, coalesce(start_seq IS NOT NULL AND NOT ended AND gone < shares0, false) AS found FROM m0)),
-ends AS (SELECT ref, max(seq) FILTER (emptied OR mtype IN ('D', 'U')) AS end_seq, sum(CASE WHEN mtype IN ('E', 'C') THEN taken ELSE 0 END)::BIGINT AS executed, sum(CASE WHEN mtype = 'X' THEN taken ELSE 0 END)::BIGINT AS cancelled FROM mods WHERE found GROUP BY ref),
-eps AS (SELECT x.*, n.end_seq, g.ts_ns AS end_ts, g.mtype AS end_by, coalesce(n.executed, 0) AS executed, coalesce(n.cancelled, 0) AS cancelled, CASE WHEN g.mtype IS NULL THEN x.shares0 - coalesce(n.executed, 0) - coalesce(n.cancelled, 0) ELSE 0 END AS remaining
-  FROM (SELECT ref, locate, side, price, qty AS shares0, seq AS start_seq, ts_ns AS start_ts, mtype AS via FROM tape WHERE mtype IN ('A', 'F')
-    UNION ALL SELECT t.new_ref, m.locate, m.side, t.price, t.qty, t.seq, t.ts_ns, 'U' FROM mods m JOIN tape t USING (seq) WHERE m.mtype = 'U' AND m.found) x
-  LEFT JOIN ends n USING (ref) LEFT JOIN tape g ON g.seq = n.end_seq),
+  FROM (SELECT m2.*, x.locate, x.side, x.price, x.start_ts, alive AND x.ref IS NOT NULL AS found FROM m2 LEFT JOIN ep0 x ON x.ref = m2.ref AND x.start_seq = m2.start_seq)),
+ends AS (SELECT ref, start_seq, max(seq) FILTER (emptied OR mtype IN ('D', 'U')) AS end_seq, sum(CASE WHEN mtype IN ('E', 'C') THEN taken ELSE 0 END)::BIGINT AS executed, sum(CASE WHEN mtype = 'X' THEN taken ELSE 0 END)::BIGINT AS cancelled FROM mods WHERE found GROUP BY ref, start_seq),
+eps AS (SELECT x.ref, x.locate, x.side, x.price, x.shares0, x.start_seq, x.start_ts, x.via, coalesce(n.end_seq, x.next_seq) AS end_seq, coalesce(g.ts_ns, x.next_ts) AS end_ts, coalesce(g.mtype, CASE WHEN x.next_seq IS NOT NULL THEN 'duplicate' END) AS end_by,
+    coalesce(n.executed, 0) AS executed, coalesce(n.cancelled, 0) AS cancelled, CASE WHEN g.mtype IS NULL AND x.next_seq IS NULL THEN x.shares0 - coalesce(n.executed, 0) - coalesce(n.cancelled, 0) ELSE 0 END AS remaining
+  FROM ep0 x LEFT JOIN ends n ON n.ref = x.ref AND n.start_seq = x.start_seq LEFT JOIN tape g ON g.seq = n.end_seq),
 deltas AS (SELECT locate, side, price, start_seq AS seq, start_ts AS ts_ns, shares0 AS shares, 1 AS orders FROM eps
-  UNION ALL SELECT locate, side, price, seq, ts_ns, -taken, CASE WHEN emptied OR mtype IN ('D', 'U') THEN -1 ELSE 0 END FROM mods WHERE found)"""
+  UNION ALL SELECT locate, side, price, seq, ts_ns, -taken, CASE WHEN emptied OR mtype IN ('D', 'U') THEN -1 ELSE 0 END FROM mods WHERE found
+  UNION ALL SELECT locate, side, price, end_seq, end_ts, executed + cancelled - shares0, -1 FROM eps WHERE end_by = 'duplicate')"""
 
 LEVELS = """lv AS (SELECT locate, side, price, seq, sum(shares)::BIGINT AS ds, sum(orders)::BIGINT AS dn FROM deltas GROUP BY ALL),
 states AS (SELECT locate, side, price, seq, (sum(ds) OVER w)::BIGINT AS shares, (sum(dn) OVER w)::BIGINT AS orders, lead(seq, 1, 4611686018427387904) OVER (PARTITION BY locate, side, price ORDER BY seq) AS until
@@ -72,21 +100,21 @@ tc3 AS (SELECT *, (sum(upd::BIGINT) OVER w)::BIGINT AS k, last_value(CASE WHEN m
   FROM tc2 WINDOW w AS (PARTITION BY locate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 tch AS (SELECT *, (k - upd::BIGINT) // {n} AS wid, upd AND k % {n} = 0 AS last_of, mtype = 'H' OR (upd AND coalesce(halted, false)) AS stained FROM tc3),
 wi0 AS (SELECT locate, wid, max(seq) FILTER (last_of) AS close_seq, sum(e) FILTER (upd)::DOUBLE AS flow, sum(depth) FILTER (upd) AS depth, sum(CASE WHEN mtype IN ('E', 'C') THEN sign * qty ELSE 0 END)::DOUBLE AS signed,
-    sum(CASE WHEN mtype IN ('E', 'C') THEN qty ELSE 0 END)::DOUBLE AS total, bool_or(stained) AS stained, min(ts_ns) FILTER (upd) AS start_ts FROM tch GROUP BY ALL),
+    sum(CASE WHEN mtype IN ('E', 'C') THEN qty ELSE 0 END)::DOUBLE AS total, bool_or(stained) AS stained, min(ts_ns) FILTER (upd) AS start_ts, min(seq) AS first_seq, max(seq) AS last_seq FROM tch GROUP BY ALL),
 win AS (SELECT w.locate, w.wid, w.close_seq, c.ts_ns AS close_ts, w.start_ts >= 34200000000000 AND c.ts_ns < 57600000000000 AND NOT w.stained AND c.bid_qty + c.ask_qty > 0 AND c.ask > c.bid AS usable,
     CASE WHEN w.depth / {n} > 0 THEN w.flow / (w.depth / {n}) ELSE 0 END AS ofi, (c.bid_qty - c.ask_qty)::DOUBLE / (c.bid_qty + c.ask_qty) AS queue_imbalance,
     CASE WHEN (w.depth - c.depth) / {n - 1} > 0 THEN (w.flow - c.e) / ((w.depth - c.depth) / {n - 1}) ELSE 0 END AS ofi_lag1, (c.pbq - c.paq)::DOUBLE / (c.pbq + c.paq) AS queue_imbalance_lag1,
     ((c.ask_qty * c.bid + c.bid_qty * c.ask)::DOUBLE / (c.bid_qty + c.ask_qty) - (c.bid + c.ask) / 2.0::DOUBLE) / 100.0::DOUBLE AS micro_dev, CASE WHEN w.total > 0 THEN w.signed / w.total ELSE 0 END AS trade_sign,
-    (c.bid + c.ask) / 2.0::DOUBLE AS mid, c.ask - c.bid AS spread, c.bid, c.ask, c.bid_qty, c.ask_qty
+    (c.bid + c.ask) / 2.0::DOUBLE AS mid, c.ask - c.bid AS spread, c.bid, c.ask, c.bid_qty, c.ask_qty, w.first_seq, w.last_seq
   FROM wi0 w JOIN tch c ON c.seq = w.close_seq WHERE w.close_seq IS NOT NULL),
-wn AS (SELECT *, lead(wid) OVER w AS n_wid, lead(usable) OVER w AS n_usable, lead(mid) OVER w AS n_mid, lead(close_seq) OVER w AS n_seq FROM win WINDOW w AS (PARTITION BY locate ORDER BY wid)),
-feat AS (SELECT locate, wid, close_seq, close_ts, n_seq, ofi, queue_imbalance, micro_dev, trade_sign, ofi_lag1, queue_imbalance_lag1, mid / 10000.0::DOUBLE AS mid, spread / 100.0::DOUBLE AS spread_ticks, (n_mid - mid) / 100.0::DOUBLE AS label_ticks, (n_mid - mid) / (spread / 2.0::DOUBLE) AS label_halfspreads
+wn AS (SELECT *, lead(wid) OVER w AS n_wid, lead(usable) OVER w AS n_usable, lead(mid) OVER w AS n_mid, lead(close_seq) OVER w AS n_seq, lead(first_seq) OVER w AS n_first FROM win WINDOW w AS (PARTITION BY locate ORDER BY wid)),
+feat AS (SELECT locate, wid, close_seq, close_ts, n_seq, last_seq AS feat_last_msg, n_first AS label_first_msg, n_seq AS label_last_msg, ofi, queue_imbalance, micro_dev, trade_sign, ofi_lag1, queue_imbalance_lag1, mid / 10000.0::DOUBLE AS mid, spread / 100.0::DOUBLE AS spread_ticks, (n_mid - mid) / 100.0::DOUBLE AS label_ticks, (n_mid - mid) / (spread / 2.0::DOUBLE) AS label_halfspreads
   FROM wn WHERE usable AND n_usable AND n_wid = wid + 1)"""
 
 
-GATE = """ob0 AS (SELECT t.seq, t.locate, t.ts_ns, t.mtype, t.code, i.bid, i.ask, CASE WHEN i.bid IS NULL OR i.ask IS NULL THEN 0 WHEN t.mtype IN ('A', 'F', 'E', 'C', 'X', 'D') THEN 1 WHEN t.mtype = 'U' AND m.found THEN 2 ELSE 0 END AS weight
+GATE = """ob0 AS (SELECT t.seq, t.locate, t.ts_ns, t.mtype, t.code, t.market, i.bid, i.ask, CASE WHEN i.bid IS NULL OR i.ask IS NULL THEN 0 WHEN t.mtype IN ('A', 'F', 'E', 'C', 'X', 'D') THEN 1 WHEN t.mtype = 'U' AND m.found THEN 2 ELSE 0 END AS weight
   FROM tape t JOIN ins i USING (seq) LEFT JOIN mods m ON m.seq = t.seq AND m.mtype = 'U'),
-ob1 AS (SELECT *, last_value(CASE WHEN mtype = 'H' THEN code END IGNORE NULLS) OVER w AS state, coalesce(last_value(CASE WHEN mtype = 'h' THEN code END IGNORE NULLS) OVER w = 'H', false) AS halt,
+ob1 AS (SELECT *, last_value(CASE WHEN mtype = 'H' THEN code END IGNORE NULLS) OVER w AS state, coalesce(last_value(CASE WHEN mtype = 'h' AND market = 'Q' THEN code END IGNORE NULLS) OVER w = 'H', false) AS halt,
     last_value(CASE WHEN mtype = 'H' THEN code END IGNORE NULLS) OVER (PARTITION BY locate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM ob0 WINDOW w AS (PARTITION BY locate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 ob2 AS (SELECT *, coalesce(mtype = 'H' AND code = 'T' AND was <> 'T', false) AS opens FROM ob1),
 ob3 AS (SELECT *, sum(opens::INTEGER) OVER w AS reopening, last_value(CASE WHEN opens THEN ts_ns END IGNORE NULLS) OVER w AS opened_ts FROM ob2 WINDOW w AS (PARTITION BY locate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
@@ -149,6 +177,21 @@ prop AS (WITH RECURSIVE r AS (SELECT seq, 0::BIGINT AS i, depth::DOUBLE AS a, NU
     SELECT r.seq, n.i, CASE WHEN n.kind = 'exec' THEN greatest(0, r.a - n.qty) WHEN n.after + n.qty > 0 THEN greatest(0, r.a - n.qty * (r.a / (n.after + n.qty))) ELSE r.a END, CASE WHEN r.fill IS NULL AND n.kind = 'exec' AND r.a <= 0 THEN n."at" ELSE r.fill END FROM r JOIN nth n ON n.seq = r.seq AND n.i = r.i + 1) SELECT seq, max(fill) AS proportional FROM r GROUP BY seq)"""
 
 
+def seeded(seeds: list[int]) -> str:
+    """bern: fills of the Bernoulli model for each seed, by draws that depend on seed, placement and event."""
+    coin = "('0x' || substr(md5(r.seed || '-' || r.seq || '-' || n.\"at\"), 1, 8))::BIGINT % greatest(1, (n.after + n.qty)::BIGINT) < floor(r.a)"
+    return f"""bern AS (WITH RECURSIVE r AS (SELECT seq, s AS seed, 0::BIGINT AS i, depth::DOUBLE AS a, NULL::BIGINT AS fill FROM pl, (SELECT unnest({seeds}) AS s) UNION ALL
+    SELECT r.seq, r.seed, n.i, CASE WHEN n.kind = 'exec' THEN greatest(0, r.a - n.qty) WHEN n.after + n.qty > 0 AND {coin} THEN greatest(0, r.a - n.qty) ELSE r.a END, CASE WHEN r.fill IS NULL AND n.kind = 'exec' AND r.a <= 0 THEN n."at" ELSE r.fill END
+    FROM r JOIN nth n ON n.seq = r.seq AND n.i = r.i + 1) SELECT seed, seq, max(fill) AS bernoulli FROM r GROUP BY seed, seq)"""
+
+
+CANCELS = """att AS (WITH RECURSIVE r AS (SELECT seq, depth, 0::BIGINT AS i, depth::DOUBLE AS a, 0::DOUBLE AS total, 0::DOUBLE AS ahead, 0::DOUBLE AS assumed FROM pl UNION ALL
+    SELECT r.seq, r.depth, n.i, CASE WHEN n.kind = 'exec' THEN greatest(0, r.a - n.qty) WHEN n.after + n.qty > 0 THEN greatest(0, r.a - n.qty * (r.a / (n.after + n.qty))) ELSE r.a END,
+      r.total + CASE WHEN n.kind = 'cancel' AND n.after + n.qty > 0 THEN n.qty ELSE 0 END, r.ahead + CASE WHEN n.kind = 'cancel' AND n.after + n.qty > 0 AND NOT n.behind THEN n.qty ELSE 0 END,
+      r.assumed + CASE WHEN n.kind = 'cancel' AND n.after + n.qty > 0 THEN n.qty * least(1, r.a / (n.after + n.qty)) ELSE 0 END
+    FROM r JOIN nth n ON n.seq = r.seq AND n.i = r.i + 1) SELECT seq, depth, max(total) AS total, max(ahead) AS ahead, max(assumed) AS assumed FROM r GROUP BY seq, depth)"""
+
+
 def fills(models: list[str], rule4: bool = False) -> str:
     """fl: a row for each placement and model."""
     one = " UNION ALL ".join(f"SELECT seq, '{m}' AS model, least({m}, through{', printed' if rule4 else ''}) AS fill_seq, through, {'printed' if rule4 else 'NULL::BIGINT'} AS printed FROM pl LEFT JOIN thr USING (seq) LEFT JOIN cl USING (seq){' LEFT JOIN prop USING (seq)' if m == 'proportional' else ''}" for m in models)

@@ -112,15 +112,41 @@ def decoded(framed: DataFrame) -> DataFrame:
     return framed.filter("status = 'ok'").select("session", "seq", *head, *columns)
 
 
-def parse_statistics(framed: DataFrame) -> DataFrame:
-    """By session: frames by status, and whether the session is clean."""
+def parse_statistics(framed: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """By session: frames by status, how it ended, and whether it is clean. With the sessions: also their bytes, and those after the last frame."""
     n = lambda s: F.sum((F.col("status") == s).cast("long")).alias(s)
-    return framed.groupBy("session").agg(*[n(s) for s in STATUSES]).withColumn("clean", (F.col("unknown_type") == 0) & (F.col("length_mismatch") == 0) & (F.col("truncated") == 0))
+    after = F.max(F.col("offset") + 2 + F.coalesce(F.octet_length("body"), F.lit(0)))
+    ended = F.max(F.when(F.col("status").isin("end_marker", "truncated"), F.col("status")))
+    got = framed.groupBy("session").agg(*[n(s) for s in STATUSES], F.coalesce(ended, F.lit("exhausted")).alias("ended"), after.alias("_after")).withColumn("clean", (F.col("unknown_type") == 0) & (F.col("length_mismatch") == 0) & (F.col("truncated") == 0))
+    if sessions is None:
+        return got.drop("_after")
+    got = got.join(sessions.select("session", F.octet_length("data").cast("long").alias("bytes")), "session")
+    return got.withColumn("trailing", F.when(F.col("ended") == "end_marker", F.col("bytes") - F.col("_after")).otherwise(F.lit(0))).drop("_after")
+
+
+def read_files(spark, path: str) -> DataFrame:
+    """session (the file's name), data: whole files, by Spark's own reader and so from any store that it reads; a file is one session, of 2 GB at most."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("session"), F.col("content").alias("data"))
+
+
+def digests(sessions: DataFrame) -> DataFrame:
+    """session, bytes and SHA-256 of each session's data."""
+    return sessions.select("session", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+def damaged(sessions: DataFrame) -> DataFrame:
+    """Sessions S<n> with bad frames, for tests of what is counted: before the messages, one of a wrong length (odd n) and one of an unknown type (n a multiple of 3);
+    after them, an end marker with bytes behind it (even n), or a frame cut short (n = 4 k + 1)."""
+    n = F.substring("session", 2, 9).cast("int")
+    part = lambda when, text: F.when(when, F.lit(text)).otherwise("")
+    before = F.concat(part(n % 2 == 1, "000944" + "00" * 8), part(n % 3 == 0, "00053F" + "00" * 4))
+    behind = F.concat(part(n % 2 == 0, "0000" + "AB" * 5), part(n % 4 == 1, "002441"))
+    return sessions.select("session", F.unhex(F.concat(before, F.hex("data"), behind)).alias("data"))
 
 
 def encoded(tape: DataFrame) -> DataFrame:
     """A tape as sessions, one for each symbol: session, data."""
-    given = {"type": F.col("mtype"), "locate": F.col("locate"), "tracking": F.lit(0xBEEF), "ts_ns": F.col("ts_ns"), "shares": F.col("qty"), "state": F.col("code"), "action": F.col("code"), "cross_type": F.col("code"), "market": F.lit("Q"), "printable": F.lit("Y")}
+    given = {"type": F.col("mtype"), "locate": F.col("locate"), "tracking": F.lit(0xBEEF), "ts_ns": F.col("ts_ns"), "shares": F.col("qty"), "code": F.col("code"), "state": F.col("code"), "action": F.col("code"), "cross_type": F.col("code"), "market": F.coalesce("market", F.lit("Q")), "market_category": F.col("code"), "printable": F.lit("Y")}
     given |= {c: F.col(c) for c in ("ref", "new_ref", "side", "price", "stock", "match")}
     whole = F
     for t, (size, spec) in LAYOUTS.items():

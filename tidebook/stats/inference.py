@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.functions.draws import drawn
+
 #: Normal quantiles for a 95 % interval and for 80 % power.
 Z_ALPHA, Z_POWER = 1.959963985, 0.841621234
 
@@ -118,3 +120,101 @@ def stationary_bootstrap_se(spark: SparkSession, sessions: list[np.ndarray], blo
             yield pd.DataFrame({"mean": out})
 
     return float(spark.range(0, replications, 1, tasks).mapInPandas(draw, "mean double").agg(F.stddev_samp("mean")).first()[0])
+
+
+# --- resampling whole clusters, by draws that depend on seed, replication and place alone -------------------
+
+
+def resampled(clusters: DataFrame, key: str, sums: list[str], replications: int, seed: int) -> DataFrame:
+    """clusters: a row for each cluster (and, with further columns, for each group within it). rep, further columns, and each sum over as many clusters as there are, drawn with
+    replacement. The same clusters are drawn for all groups, so that differences between groups are paired. Replications x clusters rows; clusters are sessions or symbols."""
+    names = clusters.select(key).distinct()
+    numbered = names.withColumn("_no", F.row_number().over(Window.orderBy(key)) - 1)
+    size = names.agg(F.count(F.lit(1)).alias("_g"))
+    draws = clusters.sparkSession.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).withColumn("_j", F.explode(F.when(F.col("_g") > 0, F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))))
+    draws = draws.select("rep", (drawn(F.lit(seed), F.col("rep"), F.col("_j")) % F.col("_g")).alias("_no"))
+    groups = [c for c in clusters.columns if c not in (key, *sums)]
+    return draws.join(F.broadcast(numbered), "_no").join(clusters, key).groupBy("rep", *groups).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def estimate(rows: DataFrame, value: Column, cluster: str, replications: int = 200, seed: int = 7) -> DataFrame:
+    """n, clusters, mean, the cluster-robust and the bootstrap error, the larger of them, and the interval it gives."""
+    per = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    boot = resampled(per, cluster, ["s", "c"], replications, seed).agg(F.stddev_samp(F.col("s") / F.col("c")).alias("boot"))
+    one = per.agg(F.sum("s").alias("s"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("g")).select("n", "g", (F.col("s") / F.col("n")).alias("m"))
+    q = per.crossJoin(F.broadcast(one)).groupBy("n", "g", "m").agg(F.sum((F.col("s") - F.col("c") * F.col("m")) ** 2).alias("q"))  # one row on the right
+    e = q.crossJoin(F.broadcast(boot)).withColumn("robust", F.when(F.col("g") > 1, F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("q")) / F.col("n"))).withColumn("se", F.greatest("robust", "boot"))
+    return e.select("n", F.col("g").alias("clusters"), F.round("m", 6).alias("mean"), F.round("robust", 6).alias("cluster_se"), F.round("boot", 6).alias("bootstrap_se"), F.round("se", 6).alias("se"), F.round(F.col("m") - Z_ALPHA * F.col("se"), 6).alias("low"), F.round(F.col("m") + Z_ALPHA * F.col("se"), 6).alias("high"))
+
+
+def _products(rows: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
+    return rows.groupBy(cluster).agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n"))
+
+
+def _r2() -> Column:
+    beta = F.try_divide("xy", "xx")
+    base = F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
+    return 1 - F.try_divide(F.col("yy") - 2 * beta * F.col("xy") + beta * beta * F.col("xx"), base)
+
+
+def r_squared_errors(rows: DataFrame, x: str, y: str, cluster: str, replications: int = 200, seed: int = 11) -> DataFrame:
+    """R2 with its bootstrap error (both of its sums are drawn anew, together) and its error by the clusters' influence on the ratio."""
+    per = _products(rows, x, y, cluster)
+    boot = resampled(per, cluster, ["xy", "xx", "yy", "sy", "n"], replications, seed).agg(F.stddev_samp(_r2()).alias("boot"))
+    one = per.agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "sy", "n")], F.count(F.lit(1)).alias("g")).select(F.col("n").alias("_n"), "g", (F.col("xy") / F.col("xx")).alias("beta"), (F.col("sy") / F.col("n")).alias("m"), _r2().alias("r2"), (F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")).alias("base"))
+    d = per.crossJoin(F.broadcast(one))  # one row on the right
+    left = F.col("yy") - 2 * F.col("beta") * F.col("xy") + F.col("beta") * F.col("beta") * F.col("xx")
+    own = F.col("yy") - 2 * F.col("m") * F.col("sy") + F.col("n") * F.col("m") * F.col("m")
+    q = d.withColumn("psi", (own - left - F.col("r2") * own) / F.col("base")).groupBy("_n", "g", "r2").agg(F.sum(F.col("psi") * F.col("psi")).alias("q")).crossJoin(F.broadcast(boot))
+    return q.select(F.col("_n").alias("n"), F.col("g").alias("clusters"), F.round("r2", 6).alias("r2"), F.round("boot", 6).alias("bootstrap_se"), F.round(F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("q")), 6).alias("influence_se"))
+
+
+def errors_by_feature(features: DataFrame, names: list[str], cluster: str) -> DataFrame:
+    """feature, n, clusters, accuracy, se (cluster-robust) over windows that moved."""
+    long = features.filter("label_ticks <> 0").select(cluster, "label_ticks", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("f")) for n in names])).alias("x")).select(cluster, "x.feature", (F.signum("x.f") == F.signum("label_ticks")).cast("double").alias("h"))
+    per = long.groupBy("feature", cluster).agg(F.sum("h").alias("s"), F.count(F.lit(1)).alias("c"))
+    of = Window.partitionBy("feature")
+    d = per.withColumns({"n": F.sum("c").over(of), "g": F.count(F.lit(1)).over(of)}).withColumn("m", F.sum("s").over(of) / F.col("n"))
+    q = d.groupBy("feature", "n", "g", "m").agg(F.sum((F.col("s") - F.col("c") * F.col("m")) ** 2).alias("q"))
+    return q.select("feature", "n", F.col("g").alias("clusters"), F.col("m").alias("accuracy"), F.when(F.col("g") > 1, F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("q")) / F.col("n")).alias("se"))
+
+
+def power_table(errors: DataFrame, planned: list[int]) -> DataFrame:
+    """For each feature and planned number of clusters: the least effect found with 80 % power."""
+    return errors.withColumn("planned", F.explode(F.array(*map(F.lit, planned)))).select("feature", "planned", F.round((Z_ALPHA + Z_POWER) * F.col("se") * F.sqrt(F.col("clusters") / F.col("planned")), 6).alias("detectable"))
+
+
+def selection(errors: DataFrame, mean_move: DataFrame, least_clusters: int) -> DataFrame:
+    """Each feature's detectable effect against the bar that is worth trading (bars()), and which one is chosen: the least ratio, ties by name; none where there are fewer clusters than asked for."""
+    d = errors.crossJoin(F.broadcast(mean_move))  # mean_move: m, one row
+    ratio = (Z_ALPHA + Z_POWER) * F.col("se") / (0.05 / F.col("m"))
+    d = d.withColumn("ratio", ratio).withColumn("k", F.row_number().over(Window.orderBy("ratio", "feature")))  # a row for each feature
+    return d.select("feature", "clusters", F.round("ratio", 6).alias("ratio"), ((F.col("k") == 1) & (F.col("clusters") >= least_clusters)).alias("chosen"))
+
+
+def permuted_accuracies(features: DataFrame, names: list[str], replications: int, seed: int = 3) -> DataFrame:
+    """feature, accuracy, null_mean, p: labels are dealt anew within each symbol, in the order of draws, replications times; p counts the replications that do as well."""
+    moved = features.filter("label_ticks <> 0").select("locate", "wid", "label_ticks", *names)
+    rows = moved.crossJoin(features.sparkSession.range(replications).withColumnRenamed("id", "rep"))  # replications times the rows, by definition
+    here = Window.partitionBy("rep", "locate").orderBy("wid")
+    there = Window.partitionBy("rep", "locate").orderBy(drawn(F.lit(seed), F.col("rep"), F.col("wid")), "wid")
+    rows = rows.withColumns({"_at": F.row_number().over(here), "_to": F.row_number().over(there)})
+    dealt = rows.select("rep", "locate", F.col("_to").alias("_at"), F.col("label_ticks").alias("other"))
+    long = rows.join(dealt, ["rep", "locate", "_at"]).select("rep", "label_ticks", "other", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("f")) for n in names])).alias("x"))
+    per = long.groupBy("x.feature", "rep").agg(F.avg((F.signum("x.f") == F.signum("label_ticks")).cast("double")).alias("own"), F.avg((F.signum("x.f") == F.signum("other")).cast("double")).alias("null"))
+    return per.groupBy("feature").agg(F.round(F.first("own"), 6).alias("accuracy"), F.round(F.avg("null"), 6).alias("null_mean"), ((1 + F.sum((F.col("null") >= F.col("own")).cast("long"))) / (1 + F.count(F.lit(1)))).alias("p"))
+
+
+def adjusted_curve(cells: list[tuple[int, int, int, int]]) -> list[tuple[int, float]]:
+    """cells: (bin, symbol, placed, filled). Each bin's fill rate with the symbols' own levels taken out: least squares weighted by placed on dummies of bins and symbols, the
+    symbols' effects weighted to nought. At most bins x symbols cells, both bounded."""
+    bins, symbols = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+    w = np.array([c[2] for c in cells], float)
+    y = np.array([c[3] / c[2] for c in cells])
+    x = np.zeros((len(cells), len(bins) + len(symbols)))
+    for i, (b, s, *_) in enumerate(cells):
+        x[i, bins.index(b)] = x[i, len(bins) + symbols.index(s)] = 1
+    share = np.array([sum(c[2] for c in cells if c[1] == s) for s in symbols], float)
+    beta = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    level = float(beta[len(bins) :] @ share / share.sum())
+    return [(b, float(v + level)) for b, v in zip(bins, beta)]
