@@ -6,8 +6,8 @@ for every shingle of those prefixes, the nodes that have it, with the place it h
 
 1. Relations between sets. Nodes that share one of three least hashes are compared with the least node among them. Links make classes; each node keeps the nearest set that it was linked with, its
    leader, and the difference from it.
-2. Index-level skipping. A list of one class needs no comparison and is left out. In the open lists, nodes are first compared with one node of another class, drawn by a hash, which joins most
-   classes. Then lists are cut into blocks by size, each with the least size, the best position of its entries (as the overlap that it still allows) and its classes; a probing set skips a
+2. Index-level skipping. A list of one class needs no comparison and is left out. In the open lists, nodes are first compared with two nodes of the list: one drawn by a hash, and the one in which the shingle stands first, which has the fewest rare shingles: among copies with
+   edits of their own, that is what they are copies of. This joins most classes. Then lists are cut into blocks by size, each with the least size, the best position of its entries (as the overlap that it still allows) and its classes; a probing set skips a
    block by those, and the pairs within the others pass the same bounds one by one.
 3. Answer-level skipping. A pair's leaders are compared by their sketches, once for all pairs that have these leaders. A set's answer follows from its leader's: where the leaders
    differ by more than the two sets' own differences from them and a link allow, the pair can't link and isn't compared.
@@ -30,7 +30,7 @@ from tidebook.llm.common import mix, pieces, shingle_sets, stored, unzipped, unz
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 LEAST_PLACES, MINIMA = 512, 3
-TOKENS_IN_RANGE, LEAST_RANGES, PIVOT_PASSES = 2_000_000, 24, 2
+TOKENS_IN_RANGE, LEAST_RANGES = 2_000_000, 24
 #: Shingles that come last in the order: so many at most, of those that a batch of rows has so often at least. Any order gives the same links.
 FREQUENT, LEAST_IN_BATCH, BATCH_BYTES = 131_072, 4, 1 << 24
 SUMMARY = "doc_id long, h long, n long, node long, minima array<long>, wide binary, often binary"
@@ -297,11 +297,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     # 2. the lists that are open
     links = links.select("x", "y")
-    for again in range(PIVOT_PASSES):
-        lists = stored(_in_classes(lists, components(links)), "join-open")
-        heads = lists.groupBy("token").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64(F.lit(again), "node")).alias("head"))
-        drawn = lists.join(heads, "token").filter((F.col("root") != F.col("head.root"))).select("node", "n", F.col("head.node").alias("other"), F.col("head.n").alias("m")).filter(_sizes("n", "m"))
-        links = links.union(compared(drawn.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct(), docs, nodes).select("x", "y"))
+    lists = stored(_in_classes(lists, components(links)), "join-open")
+    one = F.struct("node", "root", "n")
+    heads = lists.groupBy("token").agg(F.array(F.min_by(one, F.struct("at", "node")), F.min_by(one, F.xxhash64("node"))).alias("heads"))
+    drawn = lists.join(heads, "token").select("node", "n", "root", F.explode("heads").alias("head")).filter(F.col("root") != F.col("head.root")).select("node", "n", F.col("head.node").alias("other"), F.col("head.n").alias("m")).filter(_sizes("n", "m"))
+    links = links.union(compared(drawn.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct(), docs, nodes).select("x", "y"))
     known = stored(_in_classes(lists, components(links)).withColumn("block", size_class(F.col("n"))), "join-open")
     rest = lambda n, at: (DENOMINATOR + NUMERATOR) * (n - at) - NUMERATOR * n  # noqa: E731  four times the largest size that the position allows the other set
     blocks = known.groupBy("token", "block").agg(F.min("n").alias("least_n"), F.max(rest(F.col("n"), F.col("at"))).alias("position"), F.min("root").alias("low"), F.max("root").alias("high"))
