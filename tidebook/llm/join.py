@@ -6,7 +6,7 @@ for every shingle of those prefixes, the nodes that have it, with the place it h
 
 1. Relations between sets. Nodes that share one of three least hashes are compared with the least node among them. Links make classes; each node keeps the nearest set that it was linked with, its
    leader, and the difference from it.
-2. Index-level skipping. A list of one class needs no comparison and is left out. In the open lists, nodes are first compared with two nodes of the list: one drawn by a hash, and the one in which the shingle stands first, which has the fewest rare shingles: among copies with
+2. Index-level skipping. A list that holds the same sets as the list of an earlier shingle (as those of a shared passage do) is left out, and so is a list of one class. In the open lists, nodes are first compared with two nodes of the list: one drawn by a hash, and the one in which the shingle stands first, which has the fewest rare shingles: among copies with
    edits of their own, that is what they are copies of. This joins most classes. Then lists are cut into blocks by size, each with the least size, the best position of its entries (as the overlap that it still allows) and its classes; a probing set skips a
    block by those, and the pairs within the others pass the same bounds one by one.
 3. Answer-level skipping. A pair's leaders are compared by their sketches, once for all pairs that have these leaders. A set's answer follows from its leader's: where the leaders
@@ -32,7 +32,7 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 LEAST_PLACES, MINIMA = 512, 3
 TOKENS_IN_RANGE, LEAST_RANGES = 2_000_000, 24
 #: Shingles that come last in the order: so many at most, of those that a batch of rows has so often at least. Any order gives the same links.
-FREQUENT, LEAST_IN_BATCH, BATCH_BYTES = 131_072, 4, 1 << 24
+FREQUENT, LEAST_IN_BATCH, BATCH_BYTES = 524_288, 3, 1 << 24
 SUMMARY = "doc_id long, h long, n long, node long, minima array<long>, wide binary, often binary"
 POSTING = "token long, node long, n long, at long"
 
@@ -89,7 +89,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of all batches' frequent shingles, the FREQUENT most frequent (bounded; 2 MB): sorted, with their ranks from 1."""
+    """Of all batches' frequent shingles, the FREQUENT most frequent (bounded; 8 MB): sorted, with their ranks from 1."""
 
     def each(batches):
         for b in batches:
@@ -270,6 +270,14 @@ def index_lists(docs: DataFrame, total: int, often: tuple[np.ndarray, np.ndarray
     return blobs.groupBy("part").applyInArrow(answer, POSTING).distinct()
 
 
+def _unlike(lists: DataFrame) -> DataFrame:
+    """The lists without those that hold the same sets as a list of an earlier shingle. The order is common to all sets, so the earlier shingle stands before the later one in each of them, and the
+    first shingle that two sets share is never of a list that goes."""
+    held = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("b"), F.sum("at").alias("place"))
+    first = held.groupBy("m", "a", "b").agg(F.min(F.struct("place", "token")).alias("first")).select("first.token")
+    return lists.join(first, "token", "left_semi")
+
+
 def _in_classes(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists that have two classes or more, with each node's class."""
     known = lists.select("token", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -287,7 +295,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = stored(nodes.join(real.select("node", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h"), "wide", "minima").dropDuplicates(["node", "rep", "rep_h"]), ["node", "rep", "rep_h"]), "join-nodes")
     prefix = F.col("n") - F.ceil(F.lit(NUMERATOR) * F.col("n") / DENOMINATOR) + 1
     total = nodes.agg(F.sum(prefix)).first()[0] or 0
-    lists = stored(index_lists(docs, int(total), frequent(rows)), "join-lists")
+    lists = stored(_unlike(stored(index_lists(docs, int(total), frequent(rows)), "join-postings")), "join-lists")
 
     # 1. relations
     least = nodes.select("node", F.posexplode("minima").alias("k", "value"))
