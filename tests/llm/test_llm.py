@@ -441,6 +441,13 @@ def test_fingerprints(spark, docs):
     assert {(r.a, r.b) for r in fingerprints.near_pairs(prints).collect()} == want
 
 
+def test_fingerprints_of_repeated_rows(spark):
+    data = [(1, "the quick fox")] * 3 + [(2, "a lazy dog ran"), (None, "x"), (None, "x"), (1, "other of it")]
+    got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in fingerprints.compared(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    own = hashlib.sha256(b"the quithe qu").hexdigest()
+    assert len(got) == 7 and sum(x == ("1", 13, own) for x in got) == 2  # each but the last of the like rows is followed by its like
+
+
 def test_site(spark):
     rng = random.Random(6)
     data = []
