@@ -57,33 +57,39 @@ def _key() -> list[Column]:
 
 
 def ranked(docs: DataFrame) -> DataFrame:
-    """kid (doc_id, or the least number for null), h (a hash of the text and of doc_id being null), n (code points), rank from 0 by descending doc_id (null last, ties by h), without a window over all rows: ranges, ranks
-    within each, and the ranges' running counts."""
-    ids = docs.select("doc_id", *_key(), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    """Rows that repeat an id with its text are one here: doc_id, kid (doc_id, or the least number for null), h (a hash of the text and of doc_id being null), n (code points), copies, and rank from 0 by
+    descending doc_id (null last, ties by h), without a window over all rows: ranges, ranks within each, and the ranges' running counts."""
+    ids = docs.select("doc_id", *_key(), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("kid", "h").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     order = [F.col("kid").desc(), F.col("h")]
     ids = stored(ids.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()), "fingerprint-order")
     sizes = ids.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition
     starts = sizes.select("chunk", F.coalesce(F.sum("rows").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ids.join(starts, "chunk").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("chunk").orderBy(*order)) - 1).select("doc_id", "kid", "h", "n", "rank")
+    return ids.join(starts, "chunk").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("chunk").orderBy(*order)) - 1).select("doc_id", "kid", "h", "n", "copies", "rank")
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Every document with its signatures, those of its edited text, those of the next document, and the edited text's SHA-256."""
+    """Every document with its signatures, those of its edited text, those of the next document, and the edited text's SHA-256. Of rows that repeat an id with its text, each but the last is followed by its like."""
     order = stored(ranked(docs), "fingerprint-ranks")
     total = order.count()
-    before = order.select(F.col("kid").alias("to_kid"), F.col("h").alias("to_h"), F.col("rank").alias("to_rank"), F.floor(F.col("n") / 2).alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(1, total))).alias("rank"))
-    order = order.join(before, "rank")
-    # the texts are dealt out once, by (kid, h). Rows that repeat an id with its text differ in rank only: one of them brings the text
+    before = order.select(F.col("kid").alias("to_kid"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(1, total))).alias("rank"))
+    order = order.join(before, "rank").drop("rank")
+    # the texts are dealt out once, by (kid, h); a map task sends rows that repeat both once
     text = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
-    text = text.withColumn("_k", F.row_number().over(Window.partitionBy("kid", "h").orderBy("kid"))).filter(F.greatest("_k", F.lit(1)) == 1).drop("_k")
+    text = text.withColumn("_k", F.row_number().over(Window.partitionBy("kid", "h").orderBy("kid"))).filter("_k = 1").drop("_k")
     rows = text.join(order, ["kid", "h"])
-    rows = rows.withColumn("w", spots(F.col("text"))).withColumn("sigs", signatures(F.col("w"), F.col("text")))
-    # each document sends its beginning, as much as is asked for, and its signatures to the one before it
-    sent = rows.select(F.col("to_kid").alias("kid"), F.col("to_h").alias("h"), F.col("to_rank").alias("r"), F.expr("left(text, cast(need as int))").alias("beginning"), F.col("sigs").alias("next_sigs"))
-    got = rows.select("doc_id", "kid", "h", "rank", "n", "text", "sigs").alias("a").join(sent.alias("b"), ["kid", "h"]).filter(F.col("a.rank") - F.col("b.r") == 0)
-    got = got.select("a.doc_id", "a.n", "a.sigs", "b.next_sigs", F.concat(F.expr("left(a.text, cast(a.n - floor(a.n / 2) as int))"), F.col("b.beginning")).alias("edited"))
-    got = got.withColumn("w", spots(F.col("edited"))).withColumn("edited_sigs", signatures(F.col("w"), F.col("edited")))
-    return got.select("doc_id", F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "edited_sigs", "next_sigs")
+    # the words are a column of their own: inside signatures() they would be made anew for every word
+    rows = rows.withColumn("w", spots(F.col("text"))).withColumn("sigs", signatures(F.col("w"), F.col("text"))).drop("w")
+    # each text sends its beginning, as much as is asked for, and its signatures to the one before it
+    sent = rows.select(F.col("to_kid").alias("kid"), F.col("to_h").alias("h"), F.expr("left(text, need)").alias("beginning"), F.col("sigs").alias("next_sigs"))
+    got = rows.select("doc_id", "kid", "h", "n", "copies", "text", "sigs").join(sent, ["kid", "h"])
+    half = F.floor(F.col("n") / 2).cast("int")
+    case = lambda beginning, sigs, times: F.struct(beginning.alias("beginning"), sigs.alias("next_sigs"), times.cast("int").alias("times"))
+    last, inner = case(F.col("beginning"), F.col("next_sigs"), F.lit(1)), case(F.substring(F.col("text"), F.lit(1), half), F.col("sigs"), F.col("copies") - 1)
+    got = got.select("doc_id", "n", "sigs", F.substring(F.col("text"), F.lit(1), (F.col("n") - half).cast("int")).alias("kept"), F.explode(F.when(F.col("copies") > 1, F.array(last, inner)).otherwise(F.array(last))).alias("c"))
+    got = got.select("doc_id", "n", "sigs", F.concat("kept", "c.beginning").alias("edited"), F.col("c.next_sigs").alias("next_sigs"), F.col("c.times").alias("times"))
+    got = got.withColumn("w", spots(F.col("edited")))
+    got = got.select("doc_id", F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", signatures(F.col("w"), F.col("edited")).alias("edited_sigs"), "next_sigs", "times")
+    return got.withColumn("_i", F.explode(F.sequence(F.lit(1), "times"))).drop("_i", "times")
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
