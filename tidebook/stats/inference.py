@@ -19,6 +19,13 @@ from tidebook.functions.draws import drawn
 Z_ALPHA, Z_POWER = 1.959963985, 0.841621234
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL has it: infinite, or not a number, over nought."""
+    a = a.cast("double")
+    zero = F.when(a > 0, F.when(F.isnan(a), a).otherwise(math.inf)).when(a < 0, -math.inf).when(a == 0, math.nan)
+    return F.when(b == 0, zero).otherwise(F.try_divide(a, b.cast("double")))
+
+
 def hit(feature: str) -> Column:
     """Whether the feature has the label's sign; a zero feature misses."""
     return (F.signum(feature) == F.signum("label_ticks")).cast("double")
@@ -44,12 +51,12 @@ def clustered(rows: DataFrame, value: Column, cluster: list[str]) -> DataFrame:
 
 
 def r_squared(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """The slope without intercept, and the squared-error reduction against the mean as a share."""
+    """The slope without intercept, and the squared-error reduction against the mean as a share (no number where no y differs from the others)."""
     s = rows.agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n"))
-    beta = F.col("xy") / F.col("xx")
-    b = F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
+    beta = over(F.col("xy"), F.col("xx"))
+    b = F.col("yy") - over(F.col("sy") * F.col("sy"), F.col("n"))
     e = F.col("yy") - 2 * beta * F.col("xy") + beta * beta * F.col("xx")
-    return s.select("n", F.round(beta, 6).alias("beta"), F.round((b - e) / b, 6).alias("r2"))
+    return s.select("n", F.round(beta, 6).alias("beta"), F.round(over(b - e, b), 6).alias("r2"))
 
 
 def holm(p: DataFrame, family: int) -> DataFrame:
