@@ -168,12 +168,13 @@ def r_squared_errors(rows: DataFrame, x: str, y: str, cluster: str, replications
     """R2 with its bootstrap error (both of its sums are drawn anew, together) and its error by the clusters' influence on the ratio."""
     per = _products(rows, x, y, cluster)
     boot = resampled(per, cluster, ["xy", "xx", "yy", "sy", "n"], replications, seed).agg(F.stddev_samp(_r2()).alias("boot"))
-    one = per.agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "sy", "n")], F.count(F.lit(1)).alias("g")).select(F.col("n").alias("_n"), "g", (F.col("xy") / F.col("xx")).alias("beta"), (F.col("sy") / F.col("n")).alias("m"), _r2().alias("r2"), (F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")).alias("base"))
+    one = per.agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "sy", "n")]).select(F.col("n").alias("_n"), "xy", "xx", "yy", over(F.col("xy"), F.col("xx")).alias("beta"), over(F.col("sy"), F.col("n")).alias("m"), (F.col("yy") - over(F.col("sy") * F.col("sy"), F.col("n"))).alias("base"))
+    one = one.select("_n", "beta", "m", "base", (1 - over(F.col("yy") - 2 * F.col("beta") * F.col("xy") + F.col("beta") * F.col("beta") * F.col("xx"), F.col("base"))).alias("r2"))
     d = per.crossJoin(F.broadcast(one))  # one row on the right
     left = F.col("yy") - 2 * F.col("beta") * F.col("xy") + F.col("beta") * F.col("beta") * F.col("xx")
     own = F.col("yy") - 2 * F.col("m") * F.col("sy") + F.col("n") * F.col("m") * F.col("m")
-    q = d.withColumn("psi", (own - left - F.col("r2") * own) / F.col("base")).groupBy("_n", "g", "r2").agg(F.sum(F.col("psi") * F.col("psi")).alias("q")).crossJoin(F.broadcast(boot))
-    return q.select(F.col("_n").alias("n"), F.col("g").alias("clusters"), F.round("r2", 6).alias("r2"), F.round("boot", 6).alias("bootstrap_se"), F.round(F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("q")), 6).alias("influence_se"))
+    q = d.withColumn("psi", over(own * (1 - F.col("r2")) - left, F.col("base"))).agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("g"), F.max("r2").alias("r2"), F.sum(F.col("psi") * F.col("psi")).alias("q")).crossJoin(F.broadcast(boot))
+    return q.select(F.col("_n").alias("n"), F.col("g").alias("clusters"), F.round("r2", 6).alias("r2"), F.round("boot", 6).alias("bootstrap_se"), F.round(F.sqrt(over(F.col("g"), F.col("g") - 1) * F.col("q")), 6).alias("influence_se"))
 
 
 def errors_by_feature(features: DataFrame, names: list[str], cluster: str) -> DataFrame:
