@@ -38,6 +38,7 @@ def in_sql(name, rows):
 QUERIES = {
     "ols_r2": lambda f: inference.r_squared(f, "ofi", "label_halfspreads"),
     "r2_errors": lambda f: inference.r_squared_errors(f, "ofi", "label_halfspreads", "locate"),
+    "accuracy_estimate": lambda f: inference.estimate(f, inference.hit("ofi"), "locate"),
 }
 
 

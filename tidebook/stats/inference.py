@@ -145,12 +145,12 @@ def resampled(clusters: DataFrame, key: str, sums: list[str], replications: int,
 
 
 def estimate(rows: DataFrame, value: Column, cluster: str, replications: int = 200, seed: int = 7) -> DataFrame:
-    """n, clusters, mean, the cluster-robust and the bootstrap error, the larger of them, and the interval it gives."""
+    """n, clusters, mean, the cluster-robust and the bootstrap error, the larger of them, and the interval it gives: one row, also of no rows (nulls) and of one cluster (no number)."""
     per = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
     boot = resampled(per, cluster, ["s", "c"], replications, seed).agg(F.stddev_samp(F.col("s") / F.col("c")).alias("boot"))
-    one = per.agg(F.sum("s").alias("s"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("g")).select("n", "g", (F.col("s") / F.col("n")).alias("m"))
-    q = per.crossJoin(F.broadcast(one)).groupBy("n", "g", "m").agg(F.sum((F.col("s") - F.col("c") * F.col("m")) ** 2).alias("q"))  # one row on the right
-    e = q.crossJoin(F.broadcast(boot)).withColumn("robust", F.when(F.col("g") > 1, F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("q")) / F.col("n"))).withColumn("se", F.greatest("robust", "boot"))
+    one = per.agg(F.sum("s").alias("s"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("g")).select("n", "g", over(F.col("s"), F.col("n")).alias("m"))
+    q = per.crossJoin(F.broadcast(one)).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("g"), F.max("m").alias("m"), F.sum((F.col("s") - F.col("c") * F.col("m")) ** 2).alias("q"))  # one row on the right
+    e = q.crossJoin(F.broadcast(boot)).withColumn("robust", F.sqrt(over(F.col("g"), F.col("g") - 1) * F.col("q")) / F.col("n")).withColumn("se", F.greatest("robust", "boot"))
     return e.select("n", F.col("g").alias("clusters"), F.round("m", 6).alias("mean"), F.round("robust", 6).alias("cluster_se"), F.round("boot", 6).alias("bootstrap_se"), F.round("se", 6).alias("se"), F.round(F.col("m") - Z_ALPHA * F.col("se"), 6).alias("low"), F.round(F.col("m") + Z_ALPHA * F.col("se"), 6).alias("high"))
 
 
