@@ -1,12 +1,17 @@
 """Synthetic passive orders under five models of the queue.
 
-A placement joins the inside of a symbol's side after a message. Each later message at that side which finds its order reaches the placements that are alive, by an equi-join on symbol,
-side and time bucket; per placement they form one short ordered list. Exact fills follow from a filter: an execution at the price of an order that came later, or one at a
-worse price. The other models fold over the list with the shares they believe ahead.
+A placement joins the inside of a symbol's side after a message. What can move it are the events of its side at its price, and the first execution at a worse price. Events and placements
+of a symbol's side meet in one task, as arrays in order; each placement is a range of its level's events, and the models walk all ranges at once, an event of each at a time. No pair of a
+placement and an event is ever a row. A range ends where the order's life does, and, for fills, at the first execution at a worse price, since that fills the order anyway.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,15 +39,19 @@ def placements(inside: DataFrame, every: int) -> DataFrame:
     return p.select("seq", "locate", "ts_ns", F.when(buy, "B").otherwise("S").alias("side"), F.when(buy, F.col("bid")).otherwise(F.col("ask")).alias("price"), F.when(buy, F.col("bid_qty")).otherwise(F.col("ask_qty")).alias("depth"), (F.col("ask") - F.col("bid")).alias("spread"))
 
 
-def first_tick(due: DataFrame, tape: DataFrame, bucket_ns: int = 60_000_000_000) -> DataFrame:
-    """due: id, due_ts. With tick_seq: the first message of any symbol at or after due_ts (null: none). Looks in the due bucket, then at the next bucket that has a message."""
-    t = tape.filter(F.col("mtype").isin(TICK_TYPES)).select("seq", "ts_ns", F.expr(f"ts_ns div {bucket_ns}").alias("bucket"))
-    heads = t.groupBy("bucket").agg(F.min("seq").alias("head"))  # a row for each bucket of time
-    d = due.withColumn("bucket", F.expr(f"due_ts div {bucket_ns}"))
-    own = d.join(t, "bucket").filter("ts_ns >= due_ts").groupBy("id").agg(F.min("seq").alias("own"))
+def first_tick(due: DataFrame, tape: DataFrame, bucket_ns: int = 60_000_000_000, least_seq: bool = False) -> DataFrame:
+    """due: id, due_ts. With tick_seq: the first message of any symbol at or after due_ts in order of time (least_seq: in order of seq, should time run back); null: none. Looks in the
+    due bucket by a window over its messages and what is due, then at the later buckets by one row of each."""
+    t = tape.filter(F.col("mtype").isin(TICK_TYPES)).groupBy(F.col("ts_ns").alias("at_ts")).agg(F.min("seq").alias("seq")).withColumn("bucket", F.expr(f"at_ts div {bucket_ns}"))
+    heads = t.groupBy("bucket").agg((F.min("seq") if least_seq else F.min_by("seq", "at_ts")).alias("head"))  # a row for each bucket of time
+    d = due.select("id", "due_ts", F.expr(f"due_ts div {bucket_ns}").alias("bucket"))
+    both = t.select("bucket", "at_ts", "seq", F.lit(None).cast(due.schema["id"].dataType).alias("id")).unionByName(d.select("bucket", F.col("due_ts").alias("at_ts"), F.lit(None).cast("long").alias("seq"), "id"))
+    after = Window.partitionBy("bucket").orderBy(F.desc("at_ts"), F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("own", (F.min("seq") if least_seq else F.last("seq", ignorenulls=True)).over(after)).filter("id is not null")
     asked = d.select("bucket").distinct().unionByName(heads.select("bucket")).distinct()
-    later = asked.join(heads, "bucket", "left").withColumn("next", F.first("head", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing))).select("bucket", "next")
-    return d.join(own, "id", "left").join(later, "bucket", "left").select("id", "due_ts", F.coalesce("own", "next").alias("tick_seq"))
+    rest = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = asked.join(heads, "bucket", "left").withColumn("next", (F.min("head") if least_seq else F.first("head", ignorenulls=True)).over(rest)).select("bucket", "next")
+    return own.join(later, "bucket", "left").select("id", F.col("at_ts").alias("due_ts"), (F.least("own", "next") if least_seq else F.coalesce("own", "next")).alias("tick_seq"))
 
 
 def events(mods: DataFrame, states: DataFrame, tape: DataFrame) -> DataFrame:
@@ -57,65 +66,165 @@ def events(mods: DataFrame, states: DataFrame, tape: DataFrame) -> DataFrame:
     return e.unionByName(prints)
 
 
-def reached(placed: DataFrame, moved: DataFrame, tape: DataFrame, life_ns: int) -> DataFrame:
-    """placed, with last_seq (the message at which the order's life ends, its own fills included) and evs: the events it sees, in order."""
-    ends = first_tick(placed.select(F.col("seq").alias("id"), (F.col("ts_ns") + life_ns).alias("due_ts")), tape).select(F.col("id").alias("seq"), F.coalesce("tick_seq", F.lit(FAR)).alias("last_seq"))
-    p = placed.join(ends, "seq")
-    first, last = F.expr(f"ts_ns div {life_ns}"), F.expr(f"ts_ns div {life_ns}") + 2
-    spread = p.select("seq", "locate", "side", "price", "last_seq", F.explode(F.sequence(first, last)).alias("bucket"))
-    e = moved.select(F.col("seq").alias("at"), F.col("ts_ns").alias("at_ts"), "locate", "side", F.col("price").alias("at_price"), "kind", "qty", "start_seq", "after", F.expr(f"ts_ns div {life_ns}").alias("bucket"))
-    alive = (F.col("at") > F.col("seq")) & (F.col("at") <= F.col("last_seq"))
-    ev = F.struct("at", "at_ts", F.when(F.col("at_price") == F.col("price"), F.col("kind")).otherwise("through").alias("kind"), F.col("qty").cast("double").alias("qty"), (F.col("start_seq") > F.col("seq")).alias("behind"), F.col("after").cast("double").alias("after"))
-    same = spread.join(e.withColumn("price", F.col("at_price")), ["locate", "side", "price", "bucket"]).filter(alive).select("seq", ev.alias("ev"))
-    # executions at a worse price: only the first counts. They meet on side and bucket of time, since no equality says which prices are worse
-    worse = F.when(F.col("side") == "B", F.col("at_price") < F.col("price")).otherwise(F.col("at_price") > F.col("price"))
-    through = spread.join(e.filter("kind = 'exec'"), ["locate", "side", "bucket"]).filter(alive & worse).groupBy("seq").agg(F.min(ev).alias("ev"))
-    hit = same.unionByName(through)
-    lists = hit.groupBy("seq").agg(F.array_sort(F.collect_list("ev")).alias("evs"))  # what one order sees in its life
-    return p.join(lists, "seq", "left").withColumn("evs", F.coalesce("evs", F.array().cast(lists.schema["evs"].dataType)))
-
-
-def _first(cond) -> Column:
-    return F.get(F.filter("evs", cond), 0)["at"]
-
-
-def _fold(model: str, seed: int) -> Column:
-    start = F.struct(F.col("depth").cast("double").alias("ahead"), F.lit(None).cast("long").alias("fill"))
-
-    def step(s: Column, e: Column) -> Column:
-        a, q = s["ahead"], e["qty"]
-        before = e["after"] + q
-        less = lambda x: F.greatest(F.lit(0.0), x)
-        if model == "conservative":
-            cancelled = a
-        elif model == "optimistic":
-            cancelled = less(a - q)
-        elif model == "proportional":
-            cancelled = F.when(before > 0, less(a - q * (a / before))).otherwise(a)
-        else:
-            draw = drawn(F.lit(seed), F.col("seq"), e["at"]) % F.greatest(F.lit(1).cast("long"), before.cast("long"))
-            cancelled = F.when((before > 0) & (draw < F.floor(a)), less(a - q)).otherwise(a)
-        fills = (e["kind"] == "exec") & (a <= 0)
-        ahead = F.when(e["kind"] == "exec", less(a - q)).when(e["kind"] == "cancel", cancelled).otherwise(a)
-        return F.struct(ahead.alias("ahead"), F.coalesce(s["fill"], F.when(fills, e["at"])).alias("fill"))
-
-    return F.aggregate("evs", start, step)["fill"]
-
-
-def fills(reach: DataFrame, rule4: bool = False, seed: int = 20190130, models: list[str] = MODELS) -> DataFrame:
-    """A row for each placement and model: fill_seq, fill_ts (null: expired) and reason."""
-    through = _first(lambda e: e["kind"] == "through")
-    printed = _first(lambda e: e["kind"] == "print") if rule4 else F.lit(None).cast("long")
-    own = {"exact": _first(lambda e: (e["kind"] == "exec") & e["behind"])} | {m: _fold(m, seed) for m in models if m != "exact"}
-    r = reach.withColumns({"_through": through, "_printed": printed} | {f"_{m}": own[m] for m in models})
-
-    def outcome(m: str) -> Column:
-        seq = F.least(f"_{m}", "_through", "_printed")
-        reason = F.when(seq.isNull(), "expired").when(seq == F.col("_through"), "trade_through").when(seq == F.col("_printed"), "non_displayed_print").otherwise("execution_behind")
-        return F.struct(F.lit(m).alias("model"), seq.alias("fill_seq"), F.get(F.filter("evs", lambda e: e["at"] == seq), 0)["at_ts"].alias("fill_ts"), reason.alias("reason"))
-
-    r = r.select("seq", "locate", "side", "price", "ts_ns", "depth", "spread", F.array(*map(outcome, models)).alias("all")).select("*", F.explode("all").alias("m"))
-    return r.select("seq", "locate", "side", "price", "ts_ns", "depth", "spread", "m.model", "m.fill_seq", "m.fill_ts", "m.reason")
+def alive(placed: DataFrame, tape: DataFrame, life_ns: int) -> DataFrame:
+    """placed, with last_seq: the message at which the order's life ends, its own fills included (FAR: none)."""
+    ends = first_tick(placed.select(F.col("seq").alias("id"), (F.col("ts_ns") + life_ns).alias("due_ts")), tape, least_seq=True)
+    return placed.join(ends.select(F.col("id").alias("seq"), F.coalesce("tick_seq", F.lit(FAR)).alias("last_seq")), "seq")
+
+
+#: Kinds of rows that meet in a task.
+_PLACED, _EXEC, _CANCEL, _PRINT = range(4)
+
+
+def _met(placed: DataFrame, moved: DataFrame):
+    """Placements (shares ahead in qty, last_seq in start_seq, spread in after) and events, by symbol and side."""
+    kind = F.when(F.col("kind") == "exec", _EXEC).when(F.col("kind") == "cancel", _CANCEL).otherwise(_PRINT)
+    p = placed.select("locate", "side", F.lit(_PLACED).alias("kind"), "seq", "ts_ns", "price", F.col("depth").alias("qty"), F.col("last_seq").alias("start_seq"), F.col("spread").alias("after"))
+    return p.unionByName(moved.select("locate", "side", kind.alias("kind"), "seq", "ts_ns", "price", "qty", "start_seq", "after")).groupBy("locate", "side")
+
+
+def _longs(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _doubles(rows: pa.Table, name: str) -> np.ndarray:
+    """No number for null."""
+    return rows[name].combine_chunks().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+
+
+class _Side:
+    """The placements of a symbol's side, and its events by price and then seq."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        kind = _longs(rows, "kind")
+        rows = rows.append_column("k", pa.array(kind))
+        placed, events = rows.filter(pa.array(kind == _PLACED)), rows.filter(pa.array(kind != _PLACED))
+        self.placed = placed = placed.sort_by("seq")
+        self.seq, self.price, self.depth, self.last = _longs(placed, "seq"), _longs(placed, "price"), _doubles(placed, "qty"), _longs(placed, "start_seq")
+        events = events.filter(events["price"].is_valid())
+        order = np.lexsort((_longs(events, "seq"), _longs(events, "price")))
+        events = events.take(pa.array(order))
+        self.at, self.at_ts, self.at_price, self.start, self.kind = (_longs(events, c) for c in ("seq", "ts_ns", "price", "start_seq", "k"))
+        self.qty, self.after = _doubles(events, "qty"), _doubles(events, "after")
+        self.buy = len(placed) > 0 and placed["side"][0].as_py() == "B"
+        # a level's events, and those up to a seq, by one search in a key of price and seq
+        self._seqs, self._prices = np.sort(self.at), np.unique(self.at_price)
+        self._key = self._place(self.at_price) * (len(self.at) + 1) + np.searchsorted(self._seqs, self.at)
+        self.first = self._up_to(self.seq)
+
+    def _place(self, price: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self._prices, price)
+
+    def _up_to(self, seq: np.ndarray) -> np.ndarray:
+        """For each placement, where its level's events after seq begin (empty levels: a range of none)."""
+        known = np.isin(self.price, self._prices)
+        return np.where(known, np.searchsorted(self._key, self._place(self.price) * (len(self.at) + 1) + np.searchsorted(self._seqs, seq, "right")), 0)
+
+    def until(self, seq: np.ndarray) -> np.ndarray:
+        return np.maximum(self.first, self._up_to(seq))
+
+    def through(self) -> np.ndarray:
+        """For each placement, the first execution at a worse price in its life (-1: none). From the last event back, those stay that no earlier one with a price as bad hides."""
+        e = np.flatnonzero(self.kind == _EXEC)
+        e = e[np.argsort(self.at[e], kind="stable")]
+        sign = -1 if self.buy else 1
+        bad, at, asked = (sign * self.at_price[e]).tolist(), self.at[e].tolist(), (sign * self.price).tolist()
+        out, kept, best, j = np.full(len(self.seq), -1), [], [], len(e) - 1  # best: -bad of kept, ascending
+        for i in range(len(self.seq) - 1, -1, -1):
+            while j >= 0 and at[j] > self.seq[i]:
+                while best and best[-1] >= -bad[j]:
+                    best.pop(), kept.pop()
+                best.append(-bad[j]), kept.append(j)
+                j -= 1
+            k = bisect_left(best, -asked[i])
+            if k and at[kept[k - 1]] <= self.last[i]:
+                out[i] = e[kept[k - 1]]
+        return out
+
+    def walk(self, till: np.ndarray, step) -> np.ndarray:
+        """Goes through the events of all placements' ranges, one of each at a time, until step(placements, events) says so: the event where it did (-1: nowhere)."""
+        out = np.full(len(self.seq), -1)
+        on = np.flatnonzero(self.first < till)
+        at = self.first[on]
+        while on.size:
+            hit = step(on, at)
+            out[on[hit]] = at[hit]
+            at = at + 1
+            left = ~hit & (at < till[on])
+            on, at = on[left], at[left]
+        return out
+
+    def fold(self, model: str, seed: int):
+        """A step that moves the shares believed ahead and stops at an execution with none."""
+        ahead = self.depth.copy()
+
+        def step(on: np.ndarray, at: np.ndarray) -> np.ndarray:
+            a, q, executed, cancelled = ahead[on], self.qty[at], self.kind[at] == _EXEC, self.kind[at] == _CANCEL
+            less = np.fmax(0.0, a - q)
+            if model == "conservative":
+                moved = a
+            elif model == "optimistic":
+                moved = less
+            else:
+                before = self.after[at] + q
+                if model == "proportional":
+                    moved = np.where(before > 0, np.fmax(0.0, a - q * (a / before)), a)
+                else:
+                    moved = np.where(cancelled & (before > 0) & self._coins(seed, on, at, a, before, cancelled), less, a)
+            ahead[on] = np.where(executed, less, np.where(cancelled, moved, a))
+            return executed & (a <= 0)
+
+        return step
+
+    def _coins(self, seed: int, on, at, a, before, asked) -> np.ndarray:
+        """Whether the draw of a placement and event (functions.draws) is below the shares ahead; drawn where that isn't certain."""
+        size = np.fmax(1, np.nan_to_num(before)).astype(np.int64)
+        ahead = np.floor(a).astype(np.int64)
+        yes = ahead >= size
+        open_ = np.flatnonzero(asked & ~yes & (ahead > 0))
+        if open_.size:
+            md5 = hashlib.md5
+            bits = b"".join([md5(b"%d-%d-%d" % (seed, s, e)).digest()[:4] for s, e in zip(self.seq[on[open_]].tolist(), self.at[at[open_]].tolist())])
+            yes[open_] = np.frombuffer(bits, ">u4").astype(np.int64) % size[open_] < ahead[open_]
+        return yes
+
+    def filled(self, model: str, till: np.ndarray, seed: int) -> np.ndarray:
+        if model == "exact":
+            return self.walk(till, lambda on, at: (self.kind[at] == _EXEC) & (self.start[at] > self.seq[on]))
+        return self.walk(till, self.fold(model, seed))
+
+
+_FILLS = "seq long, locate int, side string, price long, ts_ns long, depth long, spread long, model string, seed long, fill_seq long, fill_ts long, reason string"
+
+
+def fills(placed: DataFrame, moved: DataFrame, rule4: bool = False, seeds: tuple[int, ...] = (20190130,), models: list[str] = MODELS) -> DataFrame:
+    """placed: alive(). A row for each placement and model (bernoulli: and seed): fill_seq, fill_ts (null: expired) and reason."""
+    runs = [(m, s) for m in models for s in (seeds if m == "bernoulli" else seeds[:1])]
+
+    def of_side(rows: pa.Table) -> pa.Table:
+        x = _Side(rows)
+        none = np.iinfo(np.int64).max
+        when = lambda i: np.where(i >= 0, np.append(x.at, none)[i], none)
+        through = x.through()
+        till = x.until(np.minimum(x.last, when(through)))
+        printed = x.walk(till, lambda on, at: x.kind[at] == _PRINT) if rule4 else np.full(len(x.seq), -1)
+        out = []
+        with np.errstate(all="ignore"):
+            for model, seed in runs:
+                own = x.filled(model, till, seed)
+                fill = np.minimum(np.minimum(when(own), when(through)), when(printed))
+                got = fill < none
+                by = np.where(fill == when(own), own, np.where(fill == when(through), through, printed))
+                reason = np.where(~got, "expired", np.where(fill == when(through), "trade_through", np.where(fill == when(printed), "non_displayed_print", "execution_behind")))
+                ts = np.append(x.at_ts, 0)[by]
+                n = len(x.seq)
+                out.append(pa.table([x.placed["seq"], x.placed["locate"], x.placed["side"], x.placed["price"], x.placed["ts_ns"], x.placed["qty"], x.placed["after"], pa.array([model] * n, pa.string()), pa.array(np.full(n, seed, np.int64)), pa.array(fill, mask=~got), pa.array(ts, pa.int64(), mask=~got), pa.array(reason.astype(object), pa.string())], names=_FILL_NAMES))
+        return pa.concat_tables(out)
+
+    return _met(placed, moved).applyInArrow(of_side, _FILLS)
+
+
+_FILL_NAMES = [c.split()[0] for c in _FILLS.split(", ")]
 
 
 def rates(filled: DataFrame) -> DataFrame:
@@ -143,20 +252,30 @@ def reasons(filled: DataFrame) -> DataFrame:
     return filled.groupBy("model", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cancel_attribution(reach: DataFrame) -> DataFrame:
+def cancel_attribution(placed: DataFrame, moved: DataFrame) -> DataFrame:
     """By depth at entry: shares cancelled at the price while an order lived, how many were of orders ahead, and how many the proportional model takes to be. Its shares ahead move as
     its fold moves them, filled or not."""
-    start = F.struct(F.col("depth").cast("double").alias("a"), F.lit(0.0).alias("total"), F.lit(0.0).alias("ahead"), F.lit(0.0).alias("assumed"))
-
-    def step(s: Column, e: Column) -> Column:
-        a, q, before = s["a"], e["qty"], e["after"] + e["qty"]
-        c = (e["kind"] == "cancel") & (before > 0)
-        share = a / before
-        moved = F.when(c, F.greatest(F.lit(0.0), a - q * share)).when(e["kind"] == "exec", F.greatest(F.lit(0.0), a - q)).otherwise(a)
-        return F.struct(moved.alias("a"), (s["total"] + F.when(c, q).otherwise(0.0)).alias("total"), (s["ahead"] + F.when(c & ~e["behind"], q).otherwise(0.0)).alias("ahead"), (s["assumed"] + F.when(c, q * F.least(F.lit(1.0), share)).otherwise(0.0)).alias("assumed"))
 
-    d = reach.select(edge_bucket(F.col("depth"), DEPTH_EDGES).alias("depth_bucket"), F.aggregate("evs", start, step).alias("s"))
-    return d.groupBy("depth_bucket").agg(F.count(F.lit(1)).alias("placed"), F.sum("s.total").alias("cancelled"), F.sum("s.ahead").alias("ahead"), F.round(F.sum("s.assumed"), 3).alias("assumed"))
+    def of_side(rows: pa.Table) -> pa.Table:
+        x = _Side(rows)
+        a = x.depth.copy()
+        total, ahead, assumed = np.zeros((3, len(a)))
+
+        def step(on: np.ndarray, at: np.ndarray) -> np.ndarray:
+            q, before = x.qty[at], x.after[at] + x.qty[at]
+            c, share = (x.kind[at] == _CANCEL) & (before > 0), a[on] / before
+            total[on] += np.where(c, q, 0.0)
+            ahead[on] += np.where(c & ~(x.start[at] > x.seq[on]), q, 0.0)
+            assumed[on] += np.where(c, q * np.fmin(1.0, share), 0.0)
+            a[on] = np.where(c, np.fmax(0.0, a[on] - q * share), np.where(x.kind[at] == _EXEC, np.fmax(0.0, a[on] - q), a[on]))
+            return np.zeros(len(on), bool)
+
+        with np.errstate(all="ignore"):
+            x.walk(x.until(x.last), step)
+        return pa.table([x.placed["qty"], pa.array(total), pa.array(ahead), pa.array(assumed)], names=["depth", "total", "ahead", "assumed"])
+
+    d = _met(placed, moved).applyInArrow(of_side, "depth long, total double, ahead double, assumed double").withColumn("depth_bucket", edge_bucket(F.col("depth"), DEPTH_EDGES))
+    return d.groupBy("depth_bucket").agg(F.count(F.lit(1)).alias("placed"), F.sum("total").alias("cancelled"), F.sum("ahead").alias("ahead"), F.round(F.sum("assumed"), 3).alias("assumed"))
 
 
 def values(filled: DataFrame, inside: DataFrame, tape: DataFrame) -> DataFrame:

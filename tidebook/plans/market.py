@@ -48,12 +48,14 @@ class Book:
     def features(self, lag1: bool = False) -> DataFrame:
         return windows.labelled(self.windows(lag1))
 
-    def reached(self) -> DataFrame:
-        return self._kept("reached", lambda: queue.reached(queue.placements(self.inside, EVERY), queue.events(self.mods, self.states, self.tape), self.tape, LIFE_NS))
+    def alive(self) -> DataFrame:
+        return self._kept("alive", lambda: queue.alive(queue.placements(self.inside, EVERY), self.tape, LIFE_NS))
 
-    def fills(self, rule4: bool = False, models: list[str] | None = None) -> DataFrame:
-        return self._kept(f"fills-{rule4}-{'-'.join(models or ['all'])}", lambda: queue.fills(self.reached(), rule4, models=models or SQL_MODELS))
+    def moved(self) -> DataFrame:
+        return queue.events(self.mods, self.states, self.tape)
 
+    def fills(self, rule4: bool = False, models: list[str] | None = None, seeds: tuple[int, ...] = (20190130,)) -> DataFrame:
+        return self._kept(f"fills-{rule4}-{'-'.join(models or ['all'])}-{len(seeds)}", lambda: queue.fills(self.alive(), self.moved(), rule4, seeds, models or SQL_MODELS))
 
     def values(self) -> DataFrame:
         return self._kept("values", lambda: queue.values(self.fills(), self.inside, self.tape))
@@ -159,7 +161,7 @@ query("window_outcomes", _book("SELECT locate, count(*) AS windows, count(*) FIL
 
 _Q = "seq, locate, side, price, depth, fill_seq, reason"
 for _m in SQL_MODELS:
-    query(f"queue_{_m}", _book(f"SELECT {_Q} FROM fl", _QUEUE[0], S.fills([_m])))(lambda b, m=_m: b.fills(models=[m] if m == "exact" else ["exact", m]).filter(F.col("model") == m).select(*_Q.split(", ")))
+    query(f"queue_{_m}", _book(f"SELECT {_Q} FROM fl", _QUEUE[0], S.fills([_m])))(lambda b, m=_m: b.fills(models=[m]).select(*_Q.split(", ")))
 query("queue_rule4", _book(f"SELECT model, {_Q} FROM fl", _QUEUE[0], S.fills(SQL_MODELS, True), variant="full"), "full")(lambda b: b.fills(rule4=True).select("model", *_Q.split(", ")))
 query("fill_rate_grouping_sets", _book(f"SELECT model, depth_bucket, bin, symbol, CASE grouping_id(depth_bucket, bin, symbol) WHEN 7 THEN 'pooled' WHEN 3 THEN 'depth' WHEN 5 THEN 'bin' ELSE 'symbol' END AS \"by\", count(*) AS placed, sum(f)::BIGINT AS filled, round(sum(f)::DOUBLE / count(*), 6) AS fill_rate FROM (SELECT model, locate AS symbol, {S._buckets('depth', queue.DEPTH_EDGES[1:])} AS depth_bucket, {S._buckets('depth', queue.AHEAD_EDGES[1:])} AS bin, (fill_seq IS NOT NULL)::INTEGER AS f FROM fl) GROUP BY GROUPING SETS ((model), (model, depth_bucket), (model, bin), (model, symbol))", *_QUEUE))(lambda b: queue.rates(b.fills()))
 query("bias_vs_exact", _book("SELECT model, placed, filled, round(r, 6) AS fill_rate, round(r - e, 6) AS bias, round((r - e) / e, 6) AS relative_bias FROM (SELECT *, filled::DOUBLE / placed AS r, max(filled::DOUBLE / placed) FILTER (model = 'exact') OVER () AS e FROM (SELECT model, count(*) AS placed, count(fill_seq) AS filled FROM fl GROUP BY model))", *_QUEUE))(lambda b: queue.bias(b.fills()))

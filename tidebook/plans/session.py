@@ -117,18 +117,15 @@ _SEEDS = [20190130, 1, 2]
 
 
 def _seed_rates(b: Book):
-    out = None
-    for s in _SEEDS:
-        f = queue.fills(b.reached(), seed=s, models=["exact", "bernoulli"]).groupBy("model").agg(F.avg(F.col("fill_seq").isNotNull().cast("double")).alias("r")).withColumn("seed", F.lit(s))
-        out = f if out is None else out.unionByName(f)
-    r = out.groupBy("seed").agg(F.max(F.when(F.col("model") == "bernoulli", F.col("r"))).alias("r"), F.max(F.when(F.col("model") == "exact", F.col("r"))).alias("e"))
+    f = b.fills(models=["exact", "bernoulli"], seeds=tuple(_SEEDS)).groupBy("model", "seed").agg(F.avg(F.col("fill_seq").isNotNull().cast("double")).alias("r"))
+    r = f.filter("model = 'bernoulli'").crossJoin(F.broadcast(f.filter("model = 'exact'").select(F.col("r").alias("e"))))  # one row on the right
     return r.agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.min("r"), 6).alias("least"), F.round(F.max("r"), 6).alias("most"), F.round(F.max("r") - F.min("r"), 6).alias("spread"), (F.bool_and(F.col("r") >= F.col("e")) | F.bool_and(F.col("r") <= F.col("e"))).alias("same_sign"))
 
 
 _BERN = "LEFT JOIN thr USING (seq)"
 query("seed_spread", _book(f"SELECT count(*) AS seeds, round(avg(r), 6) AS mean, round(min(r), 6) AS least, round(max(r), 6) AS most, round(max(r) - min(r), 6) AS spread, bool_and(r >= e) OR bool_and(r <= e) AS same_sign FROM (SELECT seed, avg((least(bernoulli, through) IS NOT NULL)::INTEGER) AS r, avg((least(exact, through) IS NOT NULL)::INTEGER) AS e FROM bern {_BERN} GROUP BY seed)", _QUEUE[0], S.seeded(_SEEDS)), "plain")(_seed_rates)
-query("queue_bernoulli", _book(f"SELECT p.seq, p.locate, p.side, p.price, p.depth, least(bernoulli, through) AS fill_seq, CASE WHEN least(bernoulli, through) IS NULL THEN 'expired' WHEN least(bernoulli, through) = through THEN 'trade_through' ELSE 'execution_behind' END AS reason FROM pl p JOIN bern USING (seq) {_BERN}", _QUEUE[0], S.seeded(_SEEDS[:1])), "plain")(lambda b: b.fills(models=["exact", "bernoulli"]).filter("model = 'bernoulli'").select("seq", "locate", "side", "price", "depth", "fill_seq", "reason"))
-query("cancel_attribution", _book(f"SELECT {S._buckets('depth', queue.DEPTH_EDGES[1:])} AS depth_bucket, count(*) AS placed, sum(total) AS cancelled, sum(ahead) AS ahead, round(sum(assumed), 3) AS assumed FROM att GROUP BY 1", _QUEUE[0], S.CANCELS), "plain")(lambda b: queue.cancel_attribution(b.reached()))
+query("queue_bernoulli", _book(f"SELECT p.seq, p.locate, p.side, p.price, p.depth, least(bernoulli, through) AS fill_seq, CASE WHEN least(bernoulli, through) IS NULL THEN 'expired' WHEN least(bernoulli, through) = through THEN 'trade_through' ELSE 'execution_behind' END AS reason FROM pl p JOIN bern USING (seq) {_BERN}", _QUEUE[0], S.seeded(_SEEDS[:1])), "plain")(lambda b: b.fills(models=["bernoulli"]).select("seq", "locate", "side", "price", "depth", "fill_seq", "reason"))
+query("cancel_attribution", _book(f"SELECT {S._buckets('depth', queue.DEPTH_EDGES[1:])} AS depth_bucket, count(*) AS placed, sum(total) AS cancelled, sum(ahead) AS ahead, round(sum(assumed), 3) AS assumed FROM att GROUP BY 1", _QUEUE[0], S.CANCELS), "plain")(lambda b: queue.cancel_attribution(b.alive(), b.moved()))
 _GAP, _FRESH, _UNIVERSE, _SEED = 5_000_000_000, 60_000_000_000, 5, 77
 _SCHEDULE = f"""lim AS (SELECT max(ts_ns) AS last FROM tape WHERE mtype IN {S.TICKS}),
 tk AS (SELECT ts_ns, min(seq) AS seq FROM tape WHERE mtype IN {S.TICKS} GROUP BY ts_ns),
