@@ -67,6 +67,15 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
 
 
+def views(col: pa.Array, kind) -> list[np.ndarray]:
+    """Each row's bytes as numbers, where the batch has them: a batch of pairs of long sets is held once."""
+    if not len(col):
+        return []
+    _, at, data = col.buffers()
+    at = np.frombuffer(at, np.int32 if pa.types.is_binary(col.type) else np.int64)[col.offset : col.offset + len(col) + 1].tolist()
+    return [np.frombuffer(data, kind, (j - i) // np.dtype(kind).itemsize, i) if j > i else np.zeros(0, kind) for i, j in zip(at, at[1:])]
+
+
 def _concat(xs, kind=np.uint64) -> np.ndarray:
     return np.concatenate([*xs, np.zeros(0, kind)])
 
@@ -129,8 +138,8 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def measure(batches):
         for b in batches:
             far = []
-            for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist()):
-                s, t = np.unpackbits(np.frombuffer(s, np.uint8)), np.unpackbits(np.frombuffer(t, np.uint8))
+            for s, t in zip(views(b.column("s"), np.uint8), views(b.column("t"), np.uint8)):
+                s, t = np.unpackbits(s), np.unpackbits(t)
                 size = min(len(s), len(t))
                 far.append(int(np.count_nonzero(folded(s, size) != folded(t, size))))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("x", "y", "a", "c")), pa.array(far, pa.int64())], names=["x", "y", "a", "c", "far"])
@@ -160,8 +169,7 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def meet(batches):
         for b in batches:
             keep, differ = [], []
-            for k, (s, t) in enumerate(zip(b.column("s").to_pylist(), b.column("t").to_pylist())):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            for k, (s, t) in enumerate(zip(views(b.column("s"), np.uint64), views(b.column("t"), np.uint64))):
                 d = len(s) + len(t) - 2 * len(np.intersect1d(s, t, assume_unique=True))
                 if (DENOMINATOR + NUMERATOR) * d <= (DENOMINATOR - NUMERATOR) * (len(s) + len(t)):
                     keep.append(k)
